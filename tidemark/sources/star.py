@@ -12,7 +12,6 @@ aggregate over ``part``); nothing shuffles a fact table here.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,23 +39,36 @@ EVENT_TYPE_OTHER = "export"
 DEVICES = ["Web", "iOS", "Android"]
 
 
-@dataclass
 class Tables:
-    """The seven star tables (lazy DataFrames) plus a per-load cache of
-    anchor scalars and size checks, so a batch of views computes each once."""
-
-    accounts: DataFrame
-    subscriptions: DataFrame
-    events: DataFrame
-    contacts: DataFrame
-    products: DataFrame
-    plans: DataFrame
-    dates: DataFrame
-    cache: dict = field(default_factory=dict)
+    """The seven star tables plus a per-load cache of anchor scalars and size
+    checks, so a batch of views computes each once.
+
+    Each table is given as a DataFrame or as a zero-argument function building
+    one; functions run on first access, so a view only plans the tables it
+    reads.
+    """
+
+    NAMES = ("accounts", "subscriptions", "events", "contacts", "products", "plans", "dates")
+
+    def __init__(self, spark: SparkSession | None = None, **tables):
+        unknown = set(tables) - set(self.NAMES)
+        if unknown:
+            raise TypeError(f"unknown star tables: {sorted(unknown)}")
+        self._spark = spark
+        self._tables = dict(tables)
+        self.cache: dict = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in Tables.NAMES:
+            value = self._tables[name]
+            if not isinstance(value, DataFrame):
+                value = self._tables[name] = value()
+            return value
+        raise AttributeError(name)
 
     @property
     def spark(self) -> SparkSession:
-        return self.accounts.sparkSession
+        return self._spark or self.accounts.sparkSession
 
 
 def _days(n: Column) -> Column:
@@ -157,13 +169,18 @@ def dim_date(spark: SparkSession, start: date = CALENDAR_START, end: date = CALE
 
 
 def load_star(spark: SparkSession, sf_dir: str) -> Tables:
-    customer = read_raw(spark, sf_dir, "customer")
+    """The star over the raw tables in ``sf_dir`` (lazy: nothing is read or
+    planned until a table is used)."""
+    def read(name: str) -> DataFrame:
+        return read_raw(spark, sf_dir, name)
+
     return Tables(
-        accounts=dim_accounts(customer, read_raw(spark, sf_dir, "nation")),
-        subscriptions=fact_subscriptions(read_raw(spark, sf_dir, "orders")),
-        events=fact_events(read_raw(spark, sf_dir, "events")),
-        contacts=dim_contacts(customer),
-        products=dim_products(read_raw(spark, sf_dir, "part")),
-        plans=dim_plans(read_raw(spark, sf_dir, "region")),
-        dates=dim_date(spark),
+        spark,
+        accounts=lambda: dim_accounts(read("customer"), read("nation")),
+        subscriptions=lambda: fact_subscriptions(read("orders")),
+        events=lambda: fact_events(read("events")),
+        contacts=lambda: dim_contacts(read("customer")),
+        products=lambda: dim_products(read("part")),
+        plans=lambda: dim_plans(read("region")),
+        dates=lambda: dim_date(spark),
     )
