@@ -39,6 +39,26 @@ EVENT_TYPE_OTHER = "export"
 DEVICES = ["Web", "iOS", "Android"]
 
 
+# The star tables: attribute name -> (table name, schema).
+STAR_TABLES: dict[str, tuple[str, str]] = {
+    "accounts": ("dim_accounts",
+                 "account_sk BIGINT, segment STRING, industry STRING, hq_country STRING, created_at DATE"),
+    "subscriptions": ("fact_subscriptions",
+                      "subscription_id BIGINT, account_sk BIGINT, product_sk BIGINT, plan_sk BIGINT, "
+                      "start_date DATE, end_date DATE, status STRING, renewal_date DATE, "
+                      "net_mrr_usd DECIMAL(12,2), seat_commit BIGINT, seat_provisioned BIGINT, "
+                      "is_auto_renew BOOLEAN"),
+    "events": ("fact_events",
+               "event_sk BIGINT, contact_sk BIGINT, account_sk BIGINT, product_sk BIGINT, "
+               "feature_sk BIGINT, event_type STRING, device_type STRING, country STRING, "
+               "event_timestamp TIMESTAMP_NTZ, metadata STRING"),
+    "contacts": ("dim_contacts", "contact_sk BIGINT, account_sk BIGINT"),
+    "products": ("dim_products", "product_sk BIGINT, product_name STRING"),
+    "plans": ("dim_plans", "plan_sk BIGINT, plan_name STRING"),
+    "dates": ("dim_date", "date DATE"),
+}
+
+
 class Tables:
     """The seven star tables plus a per-load cache of anchor scalars and size
     checks, so a batch of views computes each once.
@@ -184,3 +204,13 @@ def load_star(spark: SparkSession, sf_dir: str) -> Tables:
         plans=lambda: dim_plans(read("region")),
         dates=lambda: dim_date(spark),
     )
+
+
+def read_star(spark: SparkSession, star_dir: str) -> Tables:
+    """A star already stored as parquet, one folder per table named as in the
+    report SQL (``dim_accounts``, ``fact_subscriptions``, ...)."""
+    def reader(table: str, schema: str):
+        return lambda: spark.read.schema(schema).parquet(f"{star_dir.rstrip('/')}/{table}")
+
+    return Tables(spark, **{attr: reader(table, schema)
+                            for attr, (table, schema) in STAR_TABLES.items()})
