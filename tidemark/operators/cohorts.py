@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
+from tidemark.functions.views import parent
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -63,7 +64,9 @@ def cohort_survival(t: Tables, p: Params) -> DataFrame:
     return _running(start.unionByName(cancels))
 
 
-sub_trend = cohort_survival  # V20 is the same statement as E4.
+def sub_trend(t: Tables, p: Params) -> DataFrame:
+    """The same statement as E4."""
+    return cohort_survival(t, p)
 
 
 def monthwise_cancelled(t: Tables, p: Params) -> DataFrame:
@@ -78,7 +81,7 @@ def retention_cohort(t: Tables, p: Params, trend: DataFrame | None = None) -> Da
     """Effective count at the first and at the last date of V20 and
     their ratio. Dates in V20 are unique, so this is one row (none if V20 is
     empty)."""
-    trend = sub_trend(t, p) if trend is None else trend
+    trend = parent(t, p, sub_trend) if trend is None else trend
     one = trend.groupBy(F.lit(1).alias("k")).agg(
         F.min_by("effective_sub_count", "date").alias("inital_sub_count"),
         F.max_by("effective_sub_count", "date").alias("final_sub_count"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import anchors as A
 from tidemark.functions.joins import semi
 from tidemark.functions.predicates import live_at, ratio
+from tidemark.functions.views import parent
 from tidemark.operators import cohorts, revenue
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -32,7 +33,7 @@ def nrr_account_level(t: Tables, p: Params) -> DataFrame:
     """NRR with each retained account's current MRR counted once: current MRR
     (live at D) of the accounts in the NRR base over the base's MRR."""
     d = A.latest_start(t)
-    base = revenue.previous_mrr_for_nrr(t, p)
+    base = parent(t, p, revenue.previous_mrr_for_nrr)
     current = semi(t.subscriptions.where(live_at(d, d)), base, "account_sk")
     tagged = (current.select(F.lit(True).alias("is_cur"), "net_mrr_usd")
               .unionByName(base.select(F.lit(False).alias("is_cur"), "net_mrr_usd")))

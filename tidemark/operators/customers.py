@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import anchors as A
 from tidemark.functions.joins import account_attrs, semi, small_dim
 from tidemark.functions.predicates import ATTRS, SLICE, is_active_status, open_at
+from tidemark.functions.views import parent
 from tidemark.operators.revenue import fact_mrr_accounts
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -46,8 +47,14 @@ def new_customers_by_segment(t: Tables, p: Params) -> DataFrame:
             .orderBy(F.col("customer_count").desc_nulls_first()))
 
 
-dim_segment_view = lambda t, p: t.accounts.select("segment").distinct()  # noqa: E731  V2
-dim_industry_view = lambda t, p: t.accounts.select("industry").distinct()  # noqa: E731  V3
+def dim_segment_view(t: Tables, p: Params) -> DataFrame:
+    """V2: distinct segments (a NULL segment is one row)."""
+    return t.accounts.select("segment").distinct()
+
+
+def dim_industry_view(t: Tables, p: Params) -> DataFrame:
+    """V3: distinct industries."""
+    return t.accounts.select("industry").distinct()
 
 
 # --------------------------------------------------------------------- churn
@@ -84,7 +91,7 @@ def churn_summary_ytd(t: Tables, p: Params) -> DataFrame:
 
 def churn_rate(t: Tables, p: Params) -> DataFrame:
     """V9: E2's churn rate alone."""
-    return churn_summary_ytd(t, p).select("churn_rate")
+    return parent(t, p, churn_summary_ytd).select("churn_rate")
 
 
 def churn_status(t: Tables, p: Params) -> DataFrame:
@@ -113,7 +120,7 @@ def _accounts_since_year_start(t: Tables, p: Params, status: str) -> DataFrame:
     y0 = A.year_start(A.latest_start(t))
     new = (t.accounts.where(F.col("created_at") >= A.date_lit(y0))
            .withColumn("year_begin_date", A.date_lit(y0)))
-    flags = churn_status(t, p).where(F.col("churned_status") == status)
+    flags = parent(t, p, churn_status).where(F.col("churned_status") == status)
     return new.join(flags, "account_sk").select(
         "account_sk", "segment", "industry", "hq_country", "created_at",
         "year_begin_date", "agg_status", "churned_status")
@@ -149,7 +156,7 @@ def renewals_due(t: Tables, p: Params) -> DataFrame:
 
 def renewal_pipeline(t: Tables, p: Params) -> DataFrame:
     """E3 without the subscription id (a plain view: as_of is read time)."""
-    return renewals_due(t, p).drop("subscription_id")
+    return parent(t, p, renewals_due).drop("subscription_id")
 
 
 def _auto_renew_counts(t: Tables, flag: bool, name: str) -> DataFrame:
@@ -190,7 +197,7 @@ def overall_utilization(t: Tables, p: Params) -> DataFrame:
     n(a) * seats(a). Both sides are aggregated per account first and joined
     1:1: no pair is ever materialised, and a large account is one row.
     """
-    n = fact_mrr_accounts(t, p).groupBy("account_sk").agg(F.count("*").alias("n"))
+    n = parent(t, p, fact_mrr_accounts).groupBy("account_sk").agg(F.count("*").alias("n"))
     j = n.join(_account_seats(t), "account_sk")
     return j.agg(
         F.sum(F.col("n") * F.col("commit")).alias("total_seat_commits"),
@@ -200,7 +207,7 @@ def overall_utilization(t: Tables, p: Params) -> DataFrame:
 def specific_utilization(t: Tables, p: Params) -> DataFrame:
     """V14 per slice of the fact_mrr_accounts side:
     sum over accounts of n(a, slice) * seats(a)."""
-    n = fact_mrr_accounts(t, p).groupBy("account_sk", *SLICE).agg(F.count("*").alias("n"))
+    n = parent(t, p, fact_mrr_accounts).groupBy("account_sk", *SLICE).agg(F.count("*").alias("n"))
     j = n.join(_account_seats(t), "account_sk")
     return j.groupBy(*SLICE).agg(
         F.sum(F.col("n") * F.col("commit")).alias("specific_seat_commits"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import ratio
+from tidemark.functions.views import parent
 from tidemark.operators import customers, revenue, usage
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -41,41 +42,41 @@ def _growth(cur: Column, prior: Column) -> Column:
 
 def kpi_mrr(t: Tables, p: Params) -> DataFrame:
     """K1: total MRR of the current snapshot (V1)."""
-    return sliced(revenue.mrr_arr_snapshot(t, p), p).agg(F.sum("net_mrr_usd").alias("mrr"))
+    return sliced(parent(t, p, revenue.mrr_arr_snapshot), p).agg(F.sum("net_mrr_usd").alias("mrr"))
 
 
 def kpi_arr(t: Tables, p: Params) -> DataFrame:
     """K2: ARR = 12 * MRR."""
-    return sliced(revenue.mrr_arr_snapshot(t, p), p).agg((F.sum("net_mrr_usd") * 12).alias("arr"))
+    return sliced(parent(t, p, revenue.mrr_arr_snapshot), p).agg((F.sum("net_mrr_usd") * 12).alias("arr"))
 
 
 def _mrr_growth(t: Tables, p: Params, prior: DataFrame) -> DataFrame:
-    s = _sum_pair(sliced(revenue.mrr_arr_snapshot(t, p), p), sliced(prior, p), "net_mrr_usd")
+    s = _sum_pair(sliced(parent(t, p, revenue.mrr_arr_snapshot), p), sliced(prior, p), "net_mrr_usd")
     return s.select(F.col("a").alias("mrr"), F.col("b").alias("prior_mrr"),
                     _growth(F.col("a"), F.col("b")).alias("mrr_growth"))
 
 
 def kpi_mrr_yoy(t: Tables, p: Params) -> DataFrame:
     """K3: MRR now over MRR in the same month a year earlier (V31), - 1."""
-    return _mrr_growth(t, p, revenue.previous_window_mrr_snapshot(t, p))
+    return _mrr_growth(t, p, parent(t, p, revenue.previous_window_mrr_snapshot))
 
 
 def kpi_mrr_mom(t: Tables, p: Params) -> DataFrame:
     """K4: MRR now over MRR at the end of the previous month (V5), - 1."""
-    return _mrr_growth(t, p, revenue.fact_previous_month_net_mrr(t, p))
+    return _mrr_growth(t, p, parent(t, p, revenue.fact_previous_month_net_mrr))
 
 
 def kpi_mrr_growth_vs_prior_december(t: Tables, p: Params) -> DataFrame:
     """K5: MRR now over MRR at Dec 31 of the previous year (V6), - 1."""
-    return _mrr_growth(t, p, revenue.previous_year_mrr(t, p))
+    return _mrr_growth(t, p, parent(t, p, revenue.previous_year_mrr))
 
 
 def kpi_nrr(t: Tables, p: Params) -> DataFrame:
     """K6: net revenue retention, SUM(V8) / SUM(V7), faithful to the original
     views (V8 counts an account's current MRR once per V7 row of the
     account; see `nrr_account_level` for the per-account version)."""
-    s = _sum_pair(sliced(revenue.current_mrr_for_nrr(t, p), p),
-                  sliced(revenue.previous_mrr_for_nrr(t, p), p), "net_mrr_usd")
+    s = _sum_pair(sliced(parent(t, p, revenue.current_mrr_for_nrr), p),
+                  sliced(parent(t, p, revenue.previous_mrr_for_nrr), p), "net_mrr_usd")
     return s.select(F.col("a").alias("current_mrr"), F.col("b").alias("prior_mrr"),
                     ratio(F.col("a"), F.col("b")).alias("nrr"))
 
@@ -89,14 +90,14 @@ def _share(df: DataFrame, key: str, value: str, share: str) -> DataFrame:
 
 def kpi_revenue_share_by_product(t: Tables, p: Params) -> DataFrame:
     """K7: each product's share of current MRR."""
-    per = (sliced(revenue.mrr_arr_snapshot(t, p), p).groupBy("product_sk")
+    per = (sliced(parent(t, p, revenue.mrr_arr_snapshot), p).groupBy("product_sk")
            .agg(F.sum("net_mrr_usd").alias("mrr")))
     return _share(per, "product_sk", "mrr", "revenue_share")
 
 
 def kpi_churned_revenue_by_industry(t: Tables, p: Params) -> DataFrame:
     """K8: churned revenue (V34) per industry."""
-    return (sliced(revenue.churn_revenue(t, p), p).groupBy("industry")
+    return (sliced(parent(t, p, revenue.churn_revenue), p).groupBy("industry")
             .agg(F.sum("churn_revenue").alias("churn_revenue")))
 
 
@@ -104,21 +105,21 @@ def kpi_active_base_share_by_segment(t: Tables, p: Params) -> DataFrame:
     """K9: distinct accounts with open Active subscriptions (V4) per segment,
     and their share of all such accounts (an account has one segment, so the
     per-segment counts add up to the total)."""
-    per = (sliced(revenue.fact_mrr_accounts(t, p), p).groupBy("segment")
+    per = (sliced(parent(t, p, revenue.fact_mrr_accounts), p).groupBy("segment")
            .agg(F.count_distinct("account_sk").alias("active_accounts")))
     return _share(per, "segment", "active_accounts", "active_share")
 
 
 def kpi_revenue_by_segment(t: Tables, p: Params) -> DataFrame:
     """Current MRR per segment."""
-    return (sliced(revenue.mrr_arr_snapshot(t, p), p).groupBy("segment")
+    return (sliced(parent(t, p, revenue.mrr_arr_snapshot), p).groupBy("segment")
             .agg(F.sum("net_mrr_usd").alias("mrr")))
 
 
 def kpi_seat_utilization(t: Tables, p: Params) -> DataFrame:
     """Provisioned / committed seats from the utilization view; summing
     V15's slices gives V14, and lets the slicers apply."""
-    s = sliced(customers.specific_utilization(t, p), p).agg(
+    s = sliced(parent(t, p, customers.specific_utilization), p).agg(
         F.sum("specific_seat_commits").alias("total_seat_commits"),
         F.sum("specific_seat_provisions").alias("total_seat_provisions"))
     return s.select("total_seat_commits", "total_seat_provisions",
@@ -129,8 +130,8 @@ def kpi_seat_utilization(t: Tables, p: Params) -> DataFrame:
 def kpi_auto_renew_share(t: Tables, p: Params) -> DataFrame:
     """Auto-renewing Active subscriptions and their share of those with
     the flag set either way."""
-    on = sliced(customers.renew_enabled(t, p), p).withColumnRenamed("renew_enabled_count", "n")
-    off = sliced(customers.renew_disabled(t, p), p).withColumnRenamed("renew_disabled_count", "n")
+    on = sliced(parent(t, p, customers.renew_enabled), p).withColumnRenamed("renew_enabled_count", "n")
+    off = sliced(parent(t, p, customers.renew_disabled), p).withColumnRenamed("renew_disabled_count", "n")
     s = _sum_pair(on, off, "n")
     return s.select(F.col("a").alias("auto_renew_count"), F.col("b").alias("manual_renew_count"),
                     ratio(F.col("a"), F.col("a") + F.col("b")).alias("auto_renew_share"))
@@ -139,9 +140,9 @@ def kpi_auto_renew_share(t: Tables, p: Params) -> DataFrame:
 def kpi_feature_adoption(t: Tables, p: Params) -> DataFrame:
     """Active (account, product) pairs that used a feature over all active
     pairs."""
-    adopted = sliced(usage.feature_usage_adopted_users(t, p), p).select(
+    adopted = sliced(parent(t, p, usage.feature_usage_adopted_users), p).select(
         F.col("feature_users").alias("account_sk"), "product_sk").distinct()
-    active = sliced(usage.feature_usage_active_users(t, p), p)
+    active = sliced(parent(t, p, usage.feature_usage_active_users), p)
     tagged = (adopted.select(F.lit(True).alias("is_a"))
               .unionByName(active.select(F.lit(False).alias("is_a"))))
     s = tagged.agg(F.count_if(F.col("is_a")).alias("adopted_accounts"),
@@ -167,7 +168,7 @@ def kpi_device_adoption(t: Tables, p: Params) -> DataFrame:
 def kpi_mrr_trend(t: Tables, p: Params) -> DataFrame:
     """MRR of open Active subscriptions (V4) by start month, with running
     totals of MRR and of accounts (an account counts from its first month)."""
-    v4 = sliced(revenue.fact_mrr_accounts(t, p), p).withColumn(
+    v4 = sliced(parent(t, p, revenue.fact_mrr_accounts), p).withColumn(
         "month", F.make_date(F.year("start_date"), F.month("start_date"), F.lit(1)))
     monthly = v4.groupBy("month").agg(F.sum("net_mrr_usd").alias("mrr"))
     first = (v4.groupBy("account_sk").agg(F.min("month").alias("month"))

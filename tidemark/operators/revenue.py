@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import anchors as A
 from tidemark.functions.joins import account_attrs
 from tidemark.functions.predicates import ATTRS, SLICE, live_at
+from tidemark.functions.views import parent
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -98,7 +99,7 @@ def current_mrr_for_nrr(t: Tables, p: Params) -> DataFrame:
     over the original rows gives the same total here.
     """
     d = A.latest_start(t)
-    prior = (previous_mrr_for_nrr(t, p)
+    prior = (parent(t, p, previous_mrr_for_nrr)
              .groupBy("account_sk", "product_sk", *ATTRS)
              .agg(F.count("*").alias("n_prior")))
     current = (t.subscriptions.where(live_at(d, d))

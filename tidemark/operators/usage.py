@@ -10,9 +10,9 @@ one task.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
@@ -21,6 +21,28 @@ from tidemark.functions.predicates import ATTRS, not_navigation, open_at, ratio
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
+# Stored fact_events are partitioned by this column (first day of the
+# event's month); see tidemark.plans.materialize.
+EVENT_MONTH = "event_month"
+
+
+def events_between(t: Tables, lo: datetime | None, hi: datetime | None,
+                   hi_inclusive: bool = False) -> DataFrame:
+    """fact_events with lo <= event_timestamp < hi (or <= hi). On a stored,
+    month-partitioned fact the same bounds are also put on the partition
+    column, so whole months are pruned before any file is opened."""
+    ts = F.col("event_timestamp")
+    upper = (ts <= A.ts_lit(hi)) if hi_inclusive else (ts < A.ts_lit(hi))
+    ev = t.events.where((ts >= A.ts_lit(lo)) & upper)
+    if EVENT_MONTH in t.events.columns:
+        first = None if lo is None else date(lo.year, lo.month, 1)
+        last = None
+        if hi is not None:
+            last = (hi if hi_inclusive else hi - timedelta(microseconds=1)).date()
+        ev = ev.where(F.col(EVENT_MONTH).between(A.date_lit(first), A.date_lit(last)))
+    return ev
+
+
 # ------------------------------------------------------- feature adoption
 
 def active_subscriptions(t: Tables, p: Params) -> DataFrame:
@@ -90,11 +112,8 @@ def stickiness(t: Tables, p: Params) -> DataFrame:
     T = A.latest_event(t)
     month_start = None if T is None else datetime(T.year, T.month, 1)
     day_start = None if T is None else datetime(T.year, T.month, T.day)
-    ev = t.events.where(
-        not_navigation()
-        & (F.col("event_timestamp") >= A.ts_lit(month_start))
-        & (F.col("event_timestamp") <= A.ts_lit(T))
-    ).select("product_sk", "contact_sk", "account_sk", "event_timestamp")
+    ev = (events_between(t, month_start, T, hi_inclusive=True).where(not_navigation())
+          .select("product_sk", "contact_sk", "account_sk", "event_timestamp"))
     ev = semi(semi(ev, t.contacts, "contact_sk"), t.accounts, "account_sk")
     dau = F.count_distinct(F.when(F.col("event_timestamp") >= A.ts_lit(day_start), F.col("contact_sk")))
     agg = ev.groupBy("product_sk").agg(dau.alias("dau"), F.count_distinct("contact_sk").alias("mau"))
@@ -115,10 +134,8 @@ def event_depth(t: Tables, p: Params) -> DataFrame:
     """Product-use events in [depth_start, depth_end] (timestamps, both
     inclusive; the default end is Dec 31 00:00:00, as written in the
     original) per slice: event count (float8) and distinct contacts."""
-    ev = t.events.where(
-        not_navigation()
-        & F.col("event_timestamp").between(A.ts_lit(p.depth_start), A.ts_lit(p.depth_end))
-    ).select("account_sk", "contact_sk", "product_sk", "event_sk")
+    ev = (events_between(t, p.depth_start, p.depth_end, hi_inclusive=True).where(not_navigation())
+          .select("account_sk", "contact_sk", "product_sk", "event_sk"))
     ev = semi(ev, t.contacts, "contact_sk")
     return (ev.join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy("product_sk", *ATTRS)
@@ -126,7 +143,7 @@ def event_depth(t: Tables, p: Params) -> DataFrame:
                  F.count_distinct("contact_sk").alias("user_count")))
 
 
-def _feature_use() -> F.Column:
+def _feature_use() -> Column:
     return (F.col("event_type") == "feature_use") & F.col("feature_sk").isNotNull()
 
 
@@ -183,10 +200,8 @@ def login_frequency(t: Tables, p: Params) -> DataFrame:
     latest event's year (half-open month), per product and segment."""
     T = A.latest_event(t)
     lo, hi = _december_before(None if T is None else T.year)
-    ev = t.events.where(
-        (F.col("event_type") == "login")
-        & (F.col("event_timestamp") >= A.ts_lit(lo)) & (F.col("event_timestamp") < A.ts_lit(hi))
-    ).select("account_sk", "product_sk", "contact_sk", "event_type")
+    ev = (events_between(t, lo, hi).where(F.col("event_type") == "login")
+          .select("account_sk", "product_sk", "contact_sk", "event_type"))
     return (ev.join(account_attrs(t, "segment"), "account_sk")
             .groupBy("product_sk", "segment")
             .agg(ratio(F.count("event_type"), F.count_distinct("contact_sk")).alias("login_frequency")))
@@ -212,9 +227,8 @@ def specific_page_usage(t: Tables, p: Params) -> DataFrame:
     """
     d = A.latest_start(t)
     lo, hi = _december_before(None if d is None else d.year)
-    pv = t.events.where(
+    pv = events_between(t, lo, hi).where(
         (F.col("event_type") == "page_view") & F.col("product_sk").isNotNull()
-        & (F.col("event_timestamp") >= A.ts_lit(lo)) & (F.col("event_timestamp") < A.ts_lit(hi))
     ).select("product_sk", "event_type",
              F.get_json_object("metadata", "$.page").alias("specific_page"))
     per_page = pv.groupBy("product_sk", "specific_page").agg(

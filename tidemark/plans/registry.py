@@ -92,6 +92,34 @@ CORRECTED: dict[str, Operator] = {
 
 ALL: dict[str, Operator] = {**VIEWS, **KPIS, **CORRECTED}
 
+# Views read by other views (child -> parents); materialization writes
+# parents first and children read the stored parent.
+DEPENDS: dict[str, tuple[str, ...]] = {
+    "churn_rate": ("churn_summary_ytd",),
+    "active_users": ("churn_status",),
+    "churned_users": ("churn_status",),
+    "overall_utilization": ("fact_mrr_accounts",),
+    "specific_utilization": ("fact_mrr_accounts",),
+    "renewal_pipeline": ("renewals_due",),
+    "current_mrr_for_nrr": ("previous_mrr_for_nrr",),
+    "retention_cohort": ("sub_trend",),
+    "kpi_mrr": ("mrr_arr_snapshot",),
+    "kpi_arr": ("mrr_arr_snapshot",),
+    "kpi_mrr_yoy": ("mrr_arr_snapshot", "previous_window_mrr_snapshot"),
+    "kpi_mrr_mom": ("mrr_arr_snapshot", "fact_previous_month_net_mrr"),
+    "kpi_mrr_growth_vs_prior_december": ("mrr_arr_snapshot", "previous_year_mrr"),
+    "kpi_nrr": ("current_mrr_for_nrr", "previous_mrr_for_nrr"),
+    "kpi_revenue_share_by_product": ("mrr_arr_snapshot",),
+    "kpi_churned_revenue_by_industry": ("churn_revenue",),
+    "kpi_active_base_share_by_segment": ("fact_mrr_accounts",),
+    "kpi_revenue_by_segment": ("mrr_arr_snapshot",),
+    "kpi_seat_utilization": ("specific_utilization",),
+    "kpi_auto_renew_share": ("renew_enabled", "renew_disabled"),
+    "kpi_feature_adoption": ("feature_usage_adopted_users", "feature_usage_active_users"),
+    "kpi_mrr_trend": ("fact_mrr_accounts",),
+    "nrr_account_level": ("previous_mrr_for_nrr",),
+}
+
 
 def publish(df: DataFrame) -> DataFrame:
     """Cast exact decimal columns to float8; leave everything else."""
