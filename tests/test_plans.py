@@ -94,3 +94,27 @@ def test_anchor_filters_reach_stored_star(spark, scratch):
     text = plan(registry.run("stickiness", star))
     pushed = " ".join(re.findall(r"PushedFilters: (.*)", text))
     assert "GreaterThanOrEqual(event_timestamp,2025-08-01T00:00)" in pushed
+
+
+def _scan_locations(text: str) -> dict[str, str]:
+    """node id -> scanned location, from the per-node detail blocks."""
+    out = {}
+    for block in re.split(r"\n(?=\(\d+\) )", text):
+        m = re.match(r"\((\d+)\) Scan parquet", block)
+        loc = re.search(r"Location: \S+ \[([^\]]*)\]", block)
+        if m and loc:
+            out[m.group(1)] = loc.group(1)
+    return out
+
+
+@pytest.mark.parametrize("name", ["adoption_devices", "cohort_survival", "cohort_survival_calendar",
+                                  "adoption_products", "specific_page_usage"])
+def test_fact_scanned_once(t, name):
+    df = registry.run(name, t)
+    df.collect()  # with AQE, exchange reuse shows in the final plan only
+    text = plan(df)
+    final_tree = text.split("== Initial Plan ==")[0]
+    in_final = set(re.findall(r"Scan parquet\s+\((\d+)\)", final_tree))
+    facts = [n for n, loc in _scan_locations(text).items()
+             if n in in_final and re.search(r"(orders|events)\.parquet", loc)]
+    assert len(facts) == 1, final_tree

@@ -57,11 +57,15 @@ def cohort_survival(t: Tables, p: Params) -> DataFrame:
                           F.month("end_date"))
     by_month = (cohort(t).groupBy(cancel_month.alias("cancel_month"))
                 .agg(F.count("subscription_id").alias("n")))
-    start = by_month.groupBy(A.date_lit(hi).alias("date")).agg(F.sum("n").alias("delta"))
-    cancels = by_month.where(F.col("cancel_month").isNotNull()).select(
-        F.make_date(F.lit(y), F.col("cancel_month"), F.lit(1)).alias("date"),
-        (-F.col("n")).alias("delta"))
-    return _running(start.unionByName(cancels))
+    # Each group adds n to the start row and, if it is a cancellation month,
+    # -n to that month's row; summing per date gives both kinds of row from
+    # the one aggregate (an empty cohort gives no rows, as GROUP BY does).
+    steps = by_month.select(F.explode(F.array(
+        F.struct(A.date_lit(hi).alias("date"), F.col("n").alias("delta")),
+        F.struct(F.make_date(F.lit(y), F.col("cancel_month"), F.lit(1)).alias("date"),
+                 (-F.col("n")).alias("delta")),
+    )).alias("s")).select("s.date", "s.delta").where(F.col("date").isNotNull())
+    return _running(steps.groupBy("date").agg(F.sum("delta").alias("delta")))
 
 
 def sub_trend(t: Tables, p: Params) -> DataFrame:

@@ -48,12 +48,15 @@ def cohort_survival_calendar(t: Tables, p: Params) -> DataFrame:
     month of end_date) and only cancellations up to D."""
     d = A.latest_start(t)
     hi = None if d is None else date(d.year - 1, 12, 31)
-    coh = cohorts.cohort(t)
-    start = coh.groupBy(A.date_lit(hi).alias("date")).agg(F.count("subscription_id").alias("delta"))
-    cancels = (coh.where((F.col("status") == "Cancelled") & (F.col("end_date") <= A.date_lit(d)))
-               .groupBy(F.make_date(F.year("end_date"), F.month("end_date"), F.lit(1)).alias("date"))
-               .agg((-F.count("subscription_id")).alias("delta")))
+    cancel_month = F.when((F.col("status") == "Cancelled") & (F.col("end_date") <= A.date_lit(d)),
+                          F.make_date(F.year("end_date"), F.month("end_date"), F.lit(1)))
+    by_month = (cohorts.cohort(t).groupBy(cancel_month.alias("m"))
+                .agg(F.count("subscription_id").alias("n")))
+    steps = by_month.select(F.explode(F.array(
+        F.struct(A.date_lit(hi).alias("date"), F.col("n").alias("delta")),
+        F.struct(F.col("m").alias("date"), (-F.col("n")).alias("delta")),
+    )).alias("s")).select("s.date", "s.delta").where(F.col("date").isNotNull())
+    steps = steps.groupBy("date").agg(F.sum("delta").alias("delta"))
     # Months between the cohort year and D: bounded by the calendar.
     w = Window.orderBy("date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return start.unionByName(cancels).select(
-        "date", F.sum("delta").over(w).cast("bigint").alias("effective_sub_count"))
+    return steps.select("date", F.sum("delta").over(w).cast("bigint").alias("effective_sub_count"))

@@ -152,22 +152,29 @@ def adoption_devices(t: Tables, p: Params) -> DataFrame:
     events on the feature, over distinct contacts with any event on the
     (product, device).
 
-    One scan: events are reduced to distinct (product, device, contact,
-    feature-if-feature-use) rows once (map-side partial, then one shuffle);
-    both counts read that reduced set, whose exchange is reused.
+    One scan of events: first one row per (product, device, contact) with the
+    set of features it used (de-duplicated map-side; the set is bounded by the
+    number of features), then each such row is exploded into a NULL marker
+    (counts toward the total) plus one row per used feature, and one count per
+    (product, device, item) gives both numbers. NULL contacts make groups but
+    are not counted, as in COUNT(DISTINCT).
     """
-    base = t.events.select(
-        "product_sk", "device_type", "contact_sk",
-        F.when(_feature_use(), F.col("feature_sk")).alias("used_feature"),
-    ).distinct()
-    used = (base.where(F.col("used_feature").isNotNull())
-            .groupBy("product_sk", "device_type", F.col("used_feature").alias("feature_sk"))
-            .agg(F.count("contact_sk").alias("feature_employees_count")))
-    total = (base.groupBy("product_sk", "device_type")
-             .agg(F.count_distinct("contact_sk").alias("total_employees_count")))
-    return used.join(total, ["product_sk", "device_type"]).select(
-        "product_sk", "device_type", "feature_sk", "feature_employees_count",
-        "total_employees_count",
+    keys = ["product_sk", "device_type"]
+    per_contact = (t.events
+                   .select(*keys, "contact_sk",
+                           F.when(_feature_use(), F.col("feature_sk")).alias("f"))
+                   .groupBy(*keys, "contact_sk").agg(F.collect_set("f").alias("feats")))
+    items = F.concat(F.array(F.lit(None).cast("bigint")), F.col("feats"))
+    counts = (per_contact
+              .select(*keys, F.col("contact_sk").isNotNull().cast("int").alias("c"),
+                      F.explode(items).alias("item"))
+              .groupBy(*keys, "item").agg(F.sum("c").cast("bigint").alias("n")))
+    used = counts.where(F.col("item").isNotNull()).select(
+        *keys, F.col("item").alias("feature_sk"), F.col("n").alias("feature_employees_count"))
+    total = counts.where(F.col("item").isNull()).select(
+        *keys, F.col("n").alias("total_employees_count"))
+    return used.join(total, keys).select(
+        *keys, "feature_sk", "feature_employees_count", "total_employees_count",
         ratio(F.col("feature_employees_count"), F.col("total_employees_count")).alias("adoption_rate"))
 
 
