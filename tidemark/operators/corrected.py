@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
-from tidemark.functions.joins import semi
+from tidemark.functions.joins import in_dim
 from tidemark.functions.predicates import live_at, ratio
 from tidemark.functions.views import parent
 from tidemark.operators import cohorts, revenue
@@ -20,7 +20,7 @@ from tidemark.sources.star import Tables
 def seat_utilization_exact(t: Tables, p: Params) -> DataFrame:
     """Seats of the open Active subscriptions (V4's rows) counted once each,
     instead of once per open Active subscription of the account (V14)."""
-    subs = semi(t.subscriptions.where((F.col("status") == "Active") & F.col("end_date").isNull()),
+    subs = in_dim(t.subscriptions.where((F.col("status") == "Active") & F.col("end_date").isNull()),
                 t.accounts, "account_sk")
     s = subs.agg(F.sum("seat_commit").alias("total_seat_commits"),
                  F.sum("seat_provisioned").alias("total_seat_provisions"))
@@ -34,7 +34,9 @@ def nrr_account_level(t: Tables, p: Params) -> DataFrame:
     (live at D) of the accounts in the NRR base over the base's MRR."""
     d = A.latest_start(t)
     base = parent(t, p, revenue.previous_mrr_for_nrr)
-    current = semi(t.subscriptions.where(live_at(d, d)), base, "account_sk")
+    # Accounts present in the base (several base rows per account): a
+    # left-semi join, so each current subscription counts once.
+    current = t.subscriptions.where(live_at(d, d)).join(base.select("account_sk"), "account_sk", "left_semi")
     tagged = (current.select(F.lit(True).alias("is_cur"), "net_mrr_usd")
               .unionByName(base.select(F.lit(False).alias("is_cur"), "net_mrr_usd")))
     s = tagged.agg(F.sum(F.when(F.col("is_cur"), F.col("net_mrr_usd"))).alias("current_mrr"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
-from tidemark.functions.joins import account_attrs, semi, small_dim
+from tidemark.functions.joins import account_attrs, in_dim, small_dim
 from tidemark.functions.predicates import ATTRS, SLICE, is_active_status, open_at
 from tidemark.functions.views import parent
 from tidemark.operators.revenue import fact_mrr_accounts
@@ -72,7 +72,7 @@ def churn_flags_ytd(t: Tables) -> DataFrame:
     base = (t.subscriptions
             .where((F.col("start_date") <= A.date_lit(b)) & open_at(b))
             .select("account_sk", "status"))
-    return (semi(base, t.accounts, "account_sk")
+    return (in_dim(base, t.accounts, "account_sk")
             .groupBy("account_sk")
             .agg(F.max(is_active_status()).alias("has_active")))
 
@@ -147,7 +147,7 @@ def renewals_due(t: Tables, p: Params) -> DataFrame:
     subs = t.subscriptions.where(
         (F.col("status") == "Active")
         & F.col("renewal_date").between(A.date_lit(lo), A.date_lit(hi)))
-    return (semi(subs, t.accounts, "account_sk")
+    return (in_dim(subs, t.accounts, "account_sk")
             .join(small_dim(t, "products"), "product_sk")
             .join(small_dim(t, "plans"), "plan_sk")
             .select("account_sk", "subscription_id", "product_name", "plan_name",

@@ -127,24 +127,28 @@ def _ytd_active(t: Tables) -> DataFrame:
         & F.col("start_date").between(A.date_lit(A.year_start(d)), A.date_lit(d)))
 
 
+def _per_account_product(subs: DataFrame) -> DataFrame:
+    """MRR summed per (account, product) before the dimension join: the join
+    then carries at most one row per product for an account of any size."""
+    return subs.groupBy("account_sk", "product_sk").agg(F.sum("net_mrr_usd").alias("mrr"))
+
+
 def acv(t: Tables, p: Params) -> DataFrame:
     """Annualised MRR of Active subs started this year (Jan 1 of D's year
     .. D), per account and slice. The account key is grouped on but not
     output, as in the original, so a slice repeats once per account."""
-    return (_ytd_active(t).select("account_sk", "product_sk", "net_mrr_usd")
+    return (_per_account_product(_ytd_active(t))
             .join(account_attrs(t, *ATTRS), "account_sk")
-            .groupBy("account_sk", *SLICE)
-            .agg((F.sum("net_mrr_usd") * 12).alias("total_acv"))
-            .select(*SLICE, "total_acv"))
+            .select(*SLICE, (F.col("mrr") * 12).alias("total_acv")))
 
 
 def arpa(t: Tables, p: Params) -> DataFrame:
     """Annual revenue per account, per slice: SUM(net_mrr)*12 over the
     distinct accounts of the slice. Published as float8."""
-    return (_ytd_active(t).select("account_sk", "product_sk", "net_mrr_usd")
+    return (_per_account_product(_ytd_active(t))
             .join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy(*SLICE)
-            .agg(((F.sum("net_mrr_usd") * 12).cast("double")
+            .agg(((F.sum("mrr") * 12).cast("double")
                   / F.count_distinct("account_sk")).alias("annual_arpa")))
 
 
@@ -155,7 +159,7 @@ def churn_revenue(t: Tables, p: Params) -> DataFrame:
     ended = t.subscriptions.where(
         (F.col("status") == "Cancelled")
         & F.col("end_date").between(A.date_lit(A.year_start(d)), A.date_lit(d)))
-    return (ended.select("account_sk", "product_sk", "net_mrr_usd")
+    return (_per_account_product(ended)
             .join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy(*SLICE)
-            .agg((F.sum("net_mrr_usd") * 12).alias("churn_revenue")))
+            .agg((F.sum("mrr") * 12).alias("churn_revenue")))

@@ -2,10 +2,13 @@
 
 Every view scans events once, pruned to the columns it needs, with its time
 window as a literal range (pushed to parquet) before any join or shuffle.
-Distinct counts are exact (count_distinct). Spark plans them as a partial
-aggregate on (group, counted column) before the shuffle, so a group holding a
-third of all rows is spread over its distinct values, never sent whole to
-one task.
+Events are first reduced, map-side, to the distinct keys the view needs (one
+row per account/product/contact, with the counts or flags it uses), so a
+dimension join carries reduced rows, not events, and an account or product
+holding a third of all events costs a few rows per task. Distinct counts are
+exact (count_distinct); Spark plans them as a partial aggregate on (group,
+counted column) before the shuffle, so a hot group is spread over its
+distinct values, never sent whole to one task.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
-from tidemark.functions.joins import account_attrs, semi
+from tidemark.functions.joins import account_attrs, in_dim
 from tidemark.functions.predicates import ATTRS, not_navigation, open_at, ratio
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -112,10 +115,13 @@ def stickiness(t: Tables, p: Params) -> DataFrame:
     T = A.latest_event(t)
     month_start = None if T is None else datetime(T.year, T.month, 1)
     day_start = None if T is None else datetime(T.year, T.month, T.day)
+    # Reduced map-side to one row per (product, contact, account) before the
+    # existence joins; then one aggregate per product.
     ev = (events_between(t, month_start, T, hi_inclusive=True).where(not_navigation())
-          .select("product_sk", "contact_sk", "account_sk", "event_timestamp"))
-    ev = semi(semi(ev, t.contacts, "contact_sk"), t.accounts, "account_sk")
-    dau = F.count_distinct(F.when(F.col("event_timestamp") >= A.ts_lit(day_start), F.col("contact_sk")))
+          .groupBy("product_sk", "contact_sk", "account_sk")
+          .agg(F.max(F.col("event_timestamp") >= A.ts_lit(day_start)).alias("today")))
+    ev = in_dim(in_dim(ev, t.contacts, "contact_sk"), t.accounts, "account_sk")
+    dau = F.count_distinct(F.when(F.col("today"), F.col("contact_sk")))
     agg = ev.groupBy("product_sk").agg(dau.alias("dau"), F.count_distinct("contact_sk").alias("mau"))
     return agg.select(
         "product_sk",
@@ -135,11 +141,12 @@ def event_depth(t: Tables, p: Params) -> DataFrame:
     inclusive; the default end is Dec 31 00:00:00, as written in the
     original) per slice: event count (float8) and distinct contacts."""
     ev = (events_between(t, p.depth_start, p.depth_end, hi_inclusive=True).where(not_navigation())
-          .select("account_sk", "contact_sk", "product_sk", "event_sk"))
-    ev = semi(ev, t.contacts, "contact_sk")
+          .groupBy("account_sk", "contact_sk", "product_sk")
+          .agg(F.count("event_sk").alias("n")))
+    ev = in_dim(ev, t.contacts, "contact_sk")
     return (ev.join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy("product_sk", *ATTRS)
-            .agg(F.count("event_sk").cast("double").alias("events_count"),
+            .agg(F.sum("n").cast("double").alias("events_count"),
                  F.count_distinct("contact_sk").alias("user_count")))
 
 
@@ -182,8 +189,8 @@ def adoption_products(t: Tables, p: Params) -> DataFrame:
     """Per (product, device, segment): distinct contacts with feature_use
     events over distinct contacts with any event; only groups that have a
     feature_use event (the original's inner join)."""
-    ev = t.events.select("account_sk", "product_sk", "device_type", "contact_sk",
-                         _feature_use().alias("used"))
+    ev = (t.events.groupBy("account_sk", "product_sk", "device_type", "contact_sk")
+          .agg(F.max(_feature_use()).alias("used")))
     joined = ev.join(account_attrs(t, "segment"), "account_sk")
     keys = ["product_sk", "device_type", "segment"]
     agg = joined.where(F.col("product_sk").isNotNull() & F.col("device_type").isNotNull()
@@ -208,16 +215,17 @@ def login_frequency(t: Tables, p: Params) -> DataFrame:
     T = A.latest_event(t)
     lo, hi = _december_before(None if T is None else T.year)
     ev = (events_between(t, lo, hi).where(F.col("event_type") == "login")
-          .select("account_sk", "product_sk", "contact_sk", "event_type"))
+          .groupBy("account_sk", "product_sk", "contact_sk")
+          .agg(F.count("event_type").alias("n")))
     return (ev.join(account_attrs(t, "segment"), "account_sk")
             .groupBy("product_sk", "segment")
-            .agg(ratio(F.count("event_type"), F.count_distinct("contact_sk")).alias("login_frequency")))
+            .agg(ratio(F.sum("n"), F.count_distinct("contact_sk")).alias("login_frequency")))
 
 
 def product_users_by_country(t: Tables, p: Params) -> DataFrame:
     """Distinct contacts per product, event country and account segment,
     all events, all time."""
-    ev = t.events.select("account_sk", "product_sk", "country", "contact_sk")
+    ev = t.events.select("account_sk", "product_sk", "country", "contact_sk").distinct()
     return (ev.join(account_attrs(t, "segment"), "account_sk")
             .groupBy("product_sk", "country", "segment")
             .agg(F.count_distinct("contact_sk").alias("user_count")))
