@@ -54,12 +54,12 @@ def _star_frame(t: Tables, attr: str) -> tuple[DataFrame, list[str]]:
     return df, []
 
 
-def write_star(t: Tables, out_dir: str, resume: bool = False) -> Tables:
-    """Write the seven star tables under ``out_dir`` and return Tables reading
-    them back."""
+def write_star(t: Tables, out_dir: str, resume: bool = False, skip=()) -> Tables:
+    """Write the star tables under ``out_dir`` (except the attributes in
+    ``skip``, e.g. events fed by a stream) and return Tables reading them."""
     for attr, (table, _) in STAR_TABLES.items():
         path = os.path.join(out_dir, table)
-        if resume and _done(path):
+        if attr in skip or (resume and _done(path)):
             continue
         df, parts = _star_frame(t, attr)
         writer = df.write.mode("overwrite")
