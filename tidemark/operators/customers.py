@@ -66,15 +66,15 @@ def churn_flags_ytd(t: Tables) -> DataFrame:
     The original string-aggregates the statuses and self-joins to de-duplicate;
     only "any status LIKE '%Active%'" is used, which is a max() per account:
     a plain hash aggregate with map-side partial aggregation, so a very large
-    account costs one partial row per task.
+    account costs one partial row per task, and the dimension join then
+    carries one row per account.
     """
     b = A.year_start(A.latest_start(t))
     base = (t.subscriptions
             .where((F.col("start_date") <= A.date_lit(b)) & open_at(b))
             .select("account_sk", "status"))
-    return (in_dim(base, t.accounts, "account_sk")
-            .groupBy("account_sk")
-            .agg(F.max(is_active_status()).alias("has_active")))
+    flags = base.groupBy("account_sk").agg(F.max(is_active_status()).alias("has_active"))
+    return in_dim(flags, t.accounts, "account_sk")
 
 
 def churn_summary_ytd(t: Tables, p: Params) -> DataFrame:

@@ -61,9 +61,12 @@ def feature_usage_active_users(t: Tables, p: Params) -> DataFrame:
 def adopted_triples(t: Tables, p: Params) -> DataFrame:
     """Distinct (account, product, feature) of feature events by active
     (account, product) pairs."""
-    ev = t.events.where(F.col("feature_sk").isNotNull()).select("account_sk", "product_sk", "feature_sk")
-    pairs = feature_usage_active_users(t, p)
-    return ev.join(pairs, ["account_sk", "product_sk"], "left_semi").distinct()
+    # Events are reduced to distinct triples first; the active pairs are
+    # distinct, so the inner join keeps each triple once (a left-semi join
+    # would be moved below the reduction by the optimizer).
+    ev = (t.events.where(F.col("feature_sk").isNotNull())
+          .select("account_sk", "product_sk", "feature_sk").distinct())
+    return ev.join(feature_usage_active_users(t, p), ["account_sk", "product_sk"])
 
 
 def feature_usage_adopted_users(t: Tables, p: Params) -> DataFrame:
