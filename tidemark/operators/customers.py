@@ -188,6 +188,13 @@ def _account_seats(t: Tables) -> DataFrame:
         F.sum("seat_commit").alias("commit"), F.sum("seat_provisioned").alias("provisioned"))
 
 
+def _fanned(seats: str):
+    """n(a) * seats(a) as an exact decimal(38,0): with one account holding a
+    large share of all subscriptions, the fan-out sums pass the bigint range
+    (published as float8, like money)."""
+    return F.col("n").cast("decimal(38,0)") * F.col(seats)
+
+
 def overall_utilization(t: Tables, p: Params) -> DataFrame:
     """SUM of seats over `fact_mrr_accounts JOIN fact_subscriptions USING
     (account_sk)`.
@@ -200,8 +207,8 @@ def overall_utilization(t: Tables, p: Params) -> DataFrame:
     n = parent(t, p, fact_mrr_accounts).groupBy("account_sk").agg(F.count("*").alias("n"))
     j = n.join(_account_seats(t), "account_sk")
     return j.agg(
-        F.sum(F.col("n") * F.col("commit")).alias("total_seat_commits"),
-        F.sum(F.col("n") * F.col("provisioned")).alias("total_seat_provisions"))
+        F.sum(_fanned("commit")).alias("total_seat_commits"),
+        F.sum(_fanned("provisioned")).alias("total_seat_provisions"))
 
 
 def specific_utilization(t: Tables, p: Params) -> DataFrame:
@@ -210,5 +217,5 @@ def specific_utilization(t: Tables, p: Params) -> DataFrame:
     n = parent(t, p, fact_mrr_accounts).groupBy("account_sk", *SLICE).agg(F.count("*").alias("n"))
     j = n.join(_account_seats(t), "account_sk")
     return j.groupBy(*SLICE).agg(
-        F.sum(F.col("n") * F.col("commit")).alias("specific_seat_commits"),
-        F.sum(F.col("n") * F.col("provisioned")).alias("specific_seat_provisions"))
+        F.sum(_fanned("commit")).alias("specific_seat_commits"),
+        F.sum(_fanned("provisioned")).alias("specific_seat_provisions"))

@@ -108,7 +108,8 @@ def current_mrr_for_nrr(t: Tables, p: Params) -> DataFrame:
     return prior.join(current, "account_sk").select(
         "account_sk", "product_sk", *ATTRS,
         (F.col("n_prior") * F.col("mrr_now")).alias("net_mrr_usd"),
-        (F.col("n_prior") * F.col("n_now")).alias("pair_count"),
+        # exact; a large account's pair count can pass the bigint range
+        (F.col("n_prior").cast("decimal(38,0)") * F.col("n_now")).alias("pair_count"),
     )
 
 
