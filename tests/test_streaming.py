@@ -13,7 +13,7 @@ from tidemark.oracle.compare import norm
 from tidemark.params import Params
 from tidemark.plans import materialize, registry
 from tidemark.sources.raw import read_raw
-from tidemark.sources.star import Tables, fact_events, load_star, read_star
+from tidemark.sources.star import fact_events, load_star, read_star
 from tidemark.streaming.refresh import ingest_events, refresh_event_views
 
 

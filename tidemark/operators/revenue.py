@@ -24,8 +24,6 @@ from tidemark.functions.views import parent
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
-SNAPSHOT_COLS = ["account_sk", "product_sk", *ATTRS, "net_mrr_usd"]
-
 
 def snapshot(t: Tables, start_by: date | None, open_from: date | None,
              with_start_date: bool = False) -> DataFrame:
