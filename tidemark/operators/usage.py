@@ -58,6 +58,14 @@ def feature_usage_active_users(t: Tables, p: Params) -> DataFrame:
     return active_subscriptions(t, p).select("account_sk", "product_sk").distinct()
 
 
+def _joinable_pairs(t: Tables, p: Params) -> DataFrame:
+    """Active pairs with both keys set: the only ones an equi-join can match.
+    Stating the filter makes every use of the pairs the same plan, so the
+    subscriptions are scanned and shuffled once per view."""
+    return feature_usage_active_users(t, p).where(
+        F.col("account_sk").isNotNull() & F.col("product_sk").isNotNull())
+
+
 def adopted_triples(t: Tables, p: Params) -> DataFrame:
     """Distinct (account, product, feature) of feature events by active
     (account, product) pairs."""
@@ -66,7 +74,7 @@ def adopted_triples(t: Tables, p: Params) -> DataFrame:
     # would be moved below the reduction by the optimizer).
     ev = (t.events.where(F.col("feature_sk").isNotNull())
           .select("account_sk", "product_sk", "feature_sk").distinct())
-    return ev.join(feature_usage_active_users(t, p), ["account_sk", "product_sk"])
+    return ev.join(_joinable_pairs(t, p), ["account_sk", "product_sk"])
 
 
 def feature_usage_adopted_users(t: Tables, p: Params) -> DataFrame:
@@ -79,8 +87,13 @@ def feature_usage_adopted_users(t: Tables, p: Params) -> DataFrame:
 def _adoption(t: Tables, p: Params) -> DataFrame:
     feat = (adopted_triples(t, p).groupBy("product_sk", "feature_sk")
             .agg(F.count_distinct("account_sk").alias("feature_users")))
-    users = (active_subscriptions(t, p).groupBy("product_sk")
-             .agg(F.count_distinct("account_sk").alias("users_per_product")))
+    # From the same pairs the triples join to (a NULL account is not counted
+    # and a NULL product finds no feature row either way): one scan of the
+    # subscriptions, whose exchange both branches share.
+    # The pairs are distinct, so counting accounts per product is the
+    # distinct count.
+    users = (_joinable_pairs(t, p).groupBy("product_sk")
+             .agg(F.count("account_sk").alias("users_per_product")))
     return feat.join(users, "product_sk")
 
 
