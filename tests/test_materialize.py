@@ -57,3 +57,15 @@ def test_resume_skips_finished(spark, built):
     mtime = os.path.getmtime(os.path.join(paths["mrr_arr_snapshot"], "_SUCCESS"))
     materialize.build_all(src, Params(), out, names=["mrr_arr_snapshot"], resume=True)
     assert os.path.getmtime(os.path.join(paths["mrr_arr_snapshot"], "_SUCCESS")) == mtime
+
+
+def test_views_by_name(spark, built):
+    from tidemark.plans import catalog
+    src, out, _ = built
+    names = catalog.register_views(src, Params(), names=["mrr_arr_snapshot", "kpi_mrr"], prefix="live_")
+    assert names == ["live_mrr_arr_snapshot", "live_kpi_mrr"]
+    live = spark.sql("SELECT sum(net_mrr_usd) AS s FROM live_mrr_arr_snapshot").collect()[0].s
+    assert live == pytest.approx(spark.sql("SELECT mrr FROM live_kpi_mrr").collect()[0].mrr)
+    stored = catalog.register_stored(spark, os.path.join(out, "views"), prefix="mv_")
+    assert len(stored) == len(ALL)
+    assert spark.sql("SELECT count(*) AS n FROM mv_dim_device").collect()[0].n == 3
