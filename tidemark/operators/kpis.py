@@ -37,7 +37,8 @@ def _sum_pair(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
 
 
 def _growth(cur: Column, prior: Column) -> Column:
-    return cur.cast("double") / prior.cast("double") - 1
+    """cur / prior - 1; NULL when the prior total is 0 or missing."""
+    return ratio(cur, prior) - 1
 
 
 def kpi_mrr(t: Tables, p: Params) -> DataFrame:
