@@ -29,6 +29,36 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cluster_settings(total_cores: int) -> dict[str, str]:
+    """Settings for a large cluster (e.g. 1000 executors over ~100 TB).
+
+    Shuffles start with many partitions (8 per core, at least 2000) and AQE
+    coalesces them toward ~128 MB each, so the largest shuffle never puts more
+    than a partition's worth into one task's memory (spill stays rare) while
+    small shuffles do not create tiny tasks. Scans split files at 256 MB.
+    Skewed partitions above 256 MB and 5x the median are split. Only
+    inputs AQE measures below 64 MB are broadcast.
+    """
+    mb = 1 << 20
+    return {
+        "spark.sql.shuffle.partitions": str(max(2000, 8 * total_cores)),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * mb),
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * mb),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * mb),
+    }
+
+
+def configure_cluster(spark: SparkSession, total_cores: int) -> SparkSession:
+    configure(spark)
+    for k, v in cluster_settings(total_cores).items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   driver_memory: str = "16g", app: str = "tidemark") -> SparkSession:
     builder = (
