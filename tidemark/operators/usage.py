@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
@@ -253,8 +253,10 @@ def specific_page_usage(t: Tables, p: Params) -> DataFrame:
     page group), with the product's total. NULL products are dropped by the
     original's join.
 
-    One aggregate by (product, page); the product total is a window sum over
-    those aggregated rows, so the window's exchange carries pages, not events.
+    One aggregate by (product, page); the product totals are summed from it
+    (one row per product, which AQE broadcasts once measured) and joined back
+    on the product, so a product with very many distinct pages is never
+    gathered into one task, as a window per product would do.
     """
     d = A.latest_start(t)
     lo, hi = _december_before(None if d is None else d.year)
@@ -264,6 +266,7 @@ def specific_page_usage(t: Tables, p: Params) -> DataFrame:
              F.get_json_object("metadata", "$.page").alias("specific_page"))
     per_page = pv.groupBy("product_sk", "specific_page").agg(
         F.count("event_type").alias("specific_page_views"))
-    total = F.sum("specific_page_views").over(Window.partitionBy("product_sk"))
-    return per_page.select("product_sk", total.alias("total_page_views"),
-                           "specific_page", "specific_page_views")
+    totals = per_page.groupBy("product_sk").agg(
+        F.sum("specific_page_views").alias("total_page_views"))
+    return per_page.join(totals, "product_sk").select(
+        "product_sk", "total_page_views", "specific_page", "specific_page_views")
