@@ -4,6 +4,8 @@ result is capped or dropped."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 
 import pytest
@@ -32,7 +34,9 @@ def skewed(spark, scratch):
     }
     out = os.path.join(scratch, "skewed")
     for attr, (table, _) in STAR_TABLES.items():
-        frames.get(attr, getattr(t, attr)).write.mode("overwrite").parquet(f"{out}/{table}")
+        # several files per table, so a skewed shuffle partition has several
+        # map outputs to split by
+        frames.get(attr, getattr(t, attr)).repartition(8).write.mode("overwrite").parquet(f"{out}/{table}")
     return read_star(spark, out), duck_for_star(out, STAR_NAMES)
 
 
@@ -49,3 +53,58 @@ def test_skewed_parity(skewed, name):
     t, con = skewed
     ok, msg = compare(registry.run(name, t), con, oracle.QUERIES[name], strict=True)
     assert ok, msg
+
+
+SKEW_CONF = {
+    # small-data stand-ins for the cluster thresholds, and no broadcasts, so
+    # the account joins are shuffle joins as at scale
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1024",
+}
+
+
+@contextlib.contextmanager
+def conf(spark, settings):
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def final_joins(df) -> list[str]:
+    df.collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    final = buf.getvalue().split("== Initial Plan ==")[0]
+    return [line.strip() for line in final.splitlines() if "SortMergeJoin" in line and "(" in line]
+
+
+def test_hot_account_join_is_split(spark, skewed):
+    """Row-level views must join every row of the hot account to its
+    dimension row: AQE splits that partition (skew=true)."""
+    t, _ = skewed
+    with conf(spark, SKEW_CONF):
+        for name in ("mrr_arr_snapshot", "renewals_due"):
+            joins = final_joins(registry.run(name, t))
+            assert any("skew=true" in j for j in joins), (name, joins)
+
+
+def test_reduced_views_have_no_skew_left(spark, skewed):
+    """Views that reduce per (account, product) first join a handful of rows
+    for the hot account: no skewed partition remains to split."""
+    t, _ = skewed
+    with conf(spark, SKEW_CONF):
+        for name in ("acv", "arpa", "churn_revenue"):
+            joins = final_joins(registry.run(name, t))
+            assert joins and not any("skew=true" in j for j in joins), (name, joins)
