@@ -143,3 +143,23 @@ def test_slicers(star):
     full = registry.run("kpi_mrr", star[1]).collect()[0].mrr
     ent = registry.run("kpi_mrr", star[1], p).collect()[0].mrr
     assert 0 < ent < full
+
+
+def test_nrr_pairs_are_counted_not_emitted(star):
+    # account 1: two base-period rows (101, 114 live at 2024-08-31) and three
+    # current subscriptions (101, 102, 114): 6 pairs, published as 2 rows.
+    rows_1 = [r for r in registry.run("current_mrr_for_nrr", star[1]).collect() if r.account_sk == 1]
+    assert len(rows_1) == 2
+    assert sum(r.pair_count for r in rows_1) == 6
+    assert sum(r.net_mrr_usd for r in rows_1) == pytest.approx(2 * (100.00 + 50.10 + 70.00))
+
+
+def test_seat_fanout(star):
+    # account 1 has 3 open Active subs (101, 102, 114); its seats over all 4
+    # subs are counted 3 times by the original's join.
+    got = {r.product_sk: r.specific_seat_commits
+           for r in registry.run("specific_utilization", star[1]).collect() if r.segment == "Enterprise"}
+    assert got == {1: 26.0, 2: 26.0, 3: 26.0}
+    exact = registry.run("seat_utilization_exact", star[1]).collect()[0]
+    fan = registry.run("overall_utilization", star[1]).collect()[0]
+    assert exact.total_seat_commits < fan.total_seat_commits
