@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
@@ -188,7 +188,7 @@ def _account_seats(t: Tables) -> DataFrame:
         F.sum("seat_commit").alias("commit"), F.sum("seat_provisioned").alias("provisioned"))
 
 
-def _fanned(seats: str):
+def _fanned(seats: str) -> Column:
     """n(a) * seats(a) as an exact decimal(38,0): with one account holding a
     large share of all subscriptions, the fan-out sums pass the bigint range
     (published as float8, like money)."""
