@@ -8,21 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.anchors import date_lit
+from tidemark.functions.fixed import ACTIVE, ACTIVE_LIKE, NAVIGATION_EVENTS
 
 # Account attributes carried by most views, and the dashboard slice.
 ATTRS = ["industry", "segment", "hq_country"]
 SLICE = ["product_sk", *ATTRS]
 
-# Event types that are navigation, not product use (fixed values).
-NAVIGATION_EVENTS = ["login", "logout", "page_view"]
-
 
 def open_at(d: date | None) -> Column:
     """`end_date IS NULL OR end_date >= d`."""
     return F.col("end_date").isNull() | (F.col("end_date") >= date_lit(d))
 
 
-def live_at(start_by: date | None, open_from: date | None, status: str = "Active") -> Column:
+def live_at(start_by: date | None, open_from: date | None, status: str = ACTIVE) -> Column:
     """Subscription of `status`, started on or before `start_by` and not ended
     before `open_from` (the MRR snapshot rule)."""
     return ((F.col("status") == status)
@@ -32,7 +30,7 @@ def live_at(start_by: date | None, open_from: date | None, status: str = "Active
 
 def is_active_status() -> Column:
     """`status LIKE '%Active%'` as a non-null flag (NULL status -> false)."""
-    return F.coalesce(F.col("status").like("%Active%"), F.lit(False))
+    return F.coalesce(F.col("status").like(ACTIVE_LIKE), F.lit(False))
 
 
 def not_navigation() -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
 from tidemark.functions.views import parent
+from tidemark.functions.fixed import CANCELLED
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -53,7 +54,7 @@ def cohort_survival(t: Tables, p: Params) -> DataFrame:
     groups); the start row is the sum of those groups.
     """
     y, _, hi = _prev_year(t)
-    cancel_month = F.when((F.col("status") == "Cancelled") & F.col("end_date").isNotNull(),
+    cancel_month = F.when((F.col("status") == CANCELLED) & F.col("end_date").isNotNull(),
                           F.month("end_date"))
     by_month = (cohort(t).groupBy(cancel_month.alias("cancel_month"))
                 .agg(F.count("subscription_id").alias("n")))

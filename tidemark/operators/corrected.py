@@ -13,6 +13,7 @@ from tidemark.functions.joins import in_dim
 from tidemark.functions.predicates import live_at, ratio
 from tidemark.functions.views import parent
 from tidemark.operators import cohorts, revenue
+from tidemark.functions.fixed import ACTIVE, CANCELLED
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -20,7 +21,7 @@ from tidemark.sources.star import Tables
 def seat_utilization_exact(t: Tables, p: Params) -> DataFrame:
     """Seats of the open Active subscriptions (V4's rows) counted once each,
     instead of once per open Active subscription of the account (V14)."""
-    subs = in_dim(t.subscriptions.where((F.col("status") == "Active") & F.col("end_date").isNull()),
+    subs = in_dim(t.subscriptions.where((F.col("status") == ACTIVE) & F.col("end_date").isNull()),
                 t.accounts, "account_sk")
     s = subs.agg(F.sum("seat_commit").alias("total_seat_commits"),
                  F.sum("seat_provisioned").alias("total_seat_provisions"))
@@ -50,7 +51,7 @@ def cohort_survival_calendar(t: Tables, p: Params) -> DataFrame:
     month of end_date) and only cancellations up to D."""
     d = A.latest_start(t)
     hi = None if d is None else date(d.year - 1, 12, 31)
-    cancel_month = F.when((F.col("status") == "Cancelled") & (F.col("end_date") <= A.date_lit(d)),
+    cancel_month = F.when((F.col("status") == CANCELLED) & (F.col("end_date") <= A.date_lit(d)),
                           F.make_date(F.year("end_date"), F.month("end_date"), F.lit(1)))
     by_month = (cohorts.cohort(t).groupBy(cancel_month.alias("m"))
                 .agg(F.count("subscription_id").alias("n")))

@@ -17,12 +17,10 @@ from tidemark.functions.joins import account_attrs, in_dim, small_dim
 from tidemark.functions.predicates import ATTRS, SLICE, is_active_status, open_at
 from tidemark.functions.views import parent
 from tidemark.operators.revenue import fact_mrr_accounts
+from tidemark.functions.fixed import ACTIVE, ACTIVE_LIKE, CHURNED, NOT_CHURNED
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
-NOT_CHURNED, CHURNED = "Not Churned", "Churned"
-
-
 # --------------------------------------------------------------- acquisition
 
 def new_customers_window(t: Tables) -> tuple[date | None, date | None]:
@@ -111,7 +109,7 @@ def churn_status(t: Tables, p: Params) -> DataFrame:
     return agg.select(
         "account_sk",
         F.when(F.size("s") > 0, F.array_join("s", ",")).alias("agg_status"),
-        F.when(F.exists("s", lambda x: x.like("%Active%")), NOT_CHURNED)
+        F.when(F.exists("s", lambda x: x.like(ACTIVE_LIKE)), NOT_CHURNED)
         .otherwise(CHURNED).alias("churned_status"),
     )
 
@@ -145,7 +143,7 @@ def renewals_due(t: Tables, p: Params) -> DataFrame:
     Inner joins drop subscriptions without account/product/plan rows."""
     lo, hi = p.as_of, p.as_of + timedelta(days=p.renewal_days)
     subs = t.subscriptions.where(
-        (F.col("status") == "Active")
+        (F.col("status") == ACTIVE)
         & F.col("renewal_date").between(A.date_lit(lo), A.date_lit(hi)))
     return (in_dim(subs, t.accounts, "account_sk")
             .join(small_dim(t, "products"), "product_sk")
@@ -161,7 +159,7 @@ def renewal_pipeline(t: Tables, p: Params) -> DataFrame:
 
 def _auto_renew_counts(t: Tables, flag: bool, name: str) -> DataFrame:
     subs = t.subscriptions.where(
-        (F.col("is_auto_renew") == F.lit(flag)) & (F.col("status") == "Active"))
+        (F.col("is_auto_renew") == F.lit(flag)) & (F.col("status") == ACTIVE))
     return (subs.select("subscription_id", "account_sk", "product_sk")
             .join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy(*SLICE)

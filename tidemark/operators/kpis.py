@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.predicates import ratio
 from tidemark.functions.views import parent
 from tidemark.operators import customers, revenue, usage
+from tidemark.functions.fixed import FEATURE_USE, MONTHS_PER_YEAR
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -48,7 +49,8 @@ def kpi_mrr(t: Tables, p: Params) -> DataFrame:
 
 def kpi_arr(t: Tables, p: Params) -> DataFrame:
     """K2: ARR = 12 * MRR."""
-    return sliced(parent(t, p, revenue.mrr_arr_snapshot), p).agg((F.sum("net_mrr_usd") * 12).alias("arr"))
+    return sliced(parent(t, p, revenue.mrr_arr_snapshot), p).agg(
+        (F.sum("net_mrr_usd") * MONTHS_PER_YEAR).alias("arr"))
 
 
 def _mrr_growth(t: Tables, p: Params, prior: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def kpi_device_adoption(t: Tables, p: Params) -> DataFrame:
     rows, so this is recomputed from events (a rate per device, not a split:
     the rates of all devices may sum past 100 %)."""
     ev = sliced(t.events, p)
-    used = (F.col("event_type") == "feature_use") & F.col("feature_sk").isNotNull()
+    used = (F.col("event_type") == FEATURE_USE) & F.col("feature_sk").isNotNull()
     agg = ev.groupBy("device_type").agg(
         F.count_distinct(F.when(used, F.col("contact_sk"))).alias("feature_users"),
         F.count_distinct("contact_sk").alias("total_users"))

@@ -21,6 +21,7 @@ from tidemark.functions import anchors as A
 from tidemark.functions.joins import account_attrs
 from tidemark.functions.predicates import ATTRS, SLICE, live_at
 from tidemark.functions.views import parent
+from tidemark.functions.fixed import ACTIVE, CANCELLED, MONTHS_PER_YEAR
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -44,7 +45,7 @@ def mrr_arr_snapshot(t: Tables, p: Params) -> DataFrame:
 def fact_mrr_accounts(t: Tables, p: Params) -> DataFrame:
     """V4: Active subscriptions with no end date (stricter than V1: no anchor,
     and a future end date excludes)."""
-    subs = t.subscriptions.where((F.col("status") == "Active") & F.col("end_date").isNull())
+    subs = t.subscriptions.where((F.col("status") == ACTIVE) & F.col("end_date").isNull())
     return (subs.select("account_sk", "product_sk", "start_date", "net_mrr_usd")
             .join(account_attrs(t, *ATTRS), "account_sk")
             .select("account_sk", "product_sk", *ATTRS, "start_date", "net_mrr_usd"))
@@ -122,7 +123,7 @@ def previous_window_mrr_snapshot(t: Tables, p: Params) -> DataFrame:
 def _ytd_active(t: Tables) -> DataFrame:
     d = A.latest_start(t)
     return t.subscriptions.where(
-        (F.col("status") == "Active")
+        (F.col("status") == ACTIVE)
         & F.col("start_date").between(A.date_lit(A.year_start(d)), A.date_lit(d)))
 
 
@@ -138,7 +139,7 @@ def acv(t: Tables, p: Params) -> DataFrame:
     output, as in the original, so a slice repeats once per account."""
     return (_per_account_product(_ytd_active(t))
             .join(account_attrs(t, *ATTRS), "account_sk")
-            .select(*SLICE, (F.col("mrr") * 12).alias("total_acv")))
+            .select(*SLICE, (F.col("mrr") * MONTHS_PER_YEAR).alias("total_acv")))
 
 
 def arpa(t: Tables, p: Params) -> DataFrame:
@@ -147,7 +148,7 @@ def arpa(t: Tables, p: Params) -> DataFrame:
     return (_per_account_product(_ytd_active(t))
             .join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy(*SLICE)
-            .agg(((F.sum("mrr") * 12).cast("double")
+            .agg(((F.sum("mrr") * MONTHS_PER_YEAR).cast("double")
                   / F.count_distinct("account_sk")).alias("annual_arpa")))
 
 
@@ -156,9 +157,9 @@ def churn_revenue(t: Tables, p: Params) -> DataFrame:
     D's year .. D), per slice."""
     d = A.latest_start(t)
     ended = t.subscriptions.where(
-        (F.col("status") == "Cancelled")
+        (F.col("status") == CANCELLED)
         & F.col("end_date").between(A.date_lit(A.year_start(d)), A.date_lit(d)))
     return (_per_account_product(ended)
             .join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy(*SLICE)
-            .agg((F.sum("mrr") * 12).alias("churn_revenue")))
+            .agg((F.sum("mrr") * MONTHS_PER_YEAR).alias("churn_revenue")))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import anchors as A
 from tidemark.functions.joins import account_attrs, in_dim
 from tidemark.functions.predicates import ATTRS, not_navigation, open_at, ratio
+from tidemark.functions.fixed import ACTIVE, FEATURE_USE, LOGIN, PAGE_PATH, PAGE_VIEW
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -49,7 +50,7 @@ def events_between(t: Tables, lo: datetime | None, hi: datetime | None,
 # ------------------------------------------------------- feature adoption
 
 def active_subscriptions(t: Tables, p: Params) -> DataFrame:
-    return t.subscriptions.where((F.col("status") == "Active") & open_at(p.as_of))
+    return t.subscriptions.where((F.col("status") == ACTIVE) & open_at(p.as_of))
 
 
 def feature_usage_active_users(t: Tables, p: Params) -> DataFrame:
@@ -167,7 +168,7 @@ def event_depth(t: Tables, p: Params) -> DataFrame:
 
 
 def _feature_use() -> Column:
-    return (F.col("event_type") == "feature_use") & F.col("feature_sk").isNotNull()
+    return (F.col("event_type") == FEATURE_USE) & F.col("feature_sk").isNotNull()
 
 
 def adoption_devices(t: Tables, p: Params) -> DataFrame:
@@ -230,7 +231,7 @@ def login_frequency(t: Tables, p: Params) -> DataFrame:
     latest event's year (half-open month), per product and segment."""
     T = A.latest_event(t)
     lo, hi = _december_before(None if T is None else T.year)
-    ev = (events_between(t, lo, hi).where(F.col("event_type") == "login")
+    ev = (events_between(t, lo, hi).where(F.col("event_type") == LOGIN)
           .groupBy("account_sk", "product_sk", "contact_sk")
           .agg(F.count("event_type").alias("n")))
     return (ev.join(account_attrs(t, "segment"), "account_sk")
@@ -261,9 +262,9 @@ def specific_page_usage(t: Tables, p: Params) -> DataFrame:
     d = A.latest_start(t)
     lo, hi = _december_before(None if d is None else d.year)
     pv = events_between(t, lo, hi).where(
-        (F.col("event_type") == "page_view") & F.col("product_sk").isNotNull()
+        (F.col("event_type") == PAGE_VIEW) & F.col("product_sk").isNotNull()
     ).select("product_sk", "event_type",
-             F.get_json_object("metadata", "$.page").alias("specific_page"))
+             F.get_json_object("metadata", PAGE_PATH).alias("specific_page"))
     per_page = pv.groupBy("product_sk", "specific_page").agg(
         F.count("event_type").alias("specific_page_views"))
     totals = per_page.groupBy("product_sk").agg(
