@@ -5,7 +5,7 @@ of each edge case."""
 from __future__ import annotations
 
 import os
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 
@@ -67,13 +67,21 @@ def test_renewal_window_and_orphans(star):
     assert got == [(101,), (102,), (111,), (114,)]
 
 
+def natural(name, t):
+    """The operator's own output (dates as dates), before publishing."""
+    return registry.ALL[name](t, Params())
+
+
 def test_cohort_survival(star):
-    got = rows(registry.run("cohort_survival", star[1]), "date", "effective_sub_count")
+    got = rows(natural("cohort_survival", star[1]), "date", "effective_sub_count")
     assert got == [(date(2024, 12, 31), 14), (date(2025, 1, 1), 13), (date(2025, 2, 1), 12),
                    (date(2025, 10, 1), 11), (date(2025, 11, 1), 10), (date(2025, 12, 1), 9)]
     r = registry.run("retention_cohort", star[1]).collect()[0]
     assert (r.inital_sub_count, r.final_sub_count) == (14, 9)
-    cal = rows(registry.run("cohort_survival_calendar", star[1]), "date", "effective_sub_count")
+    # published form: the same days as midnight timestamps
+    pub = rows(registry.run("cohort_survival", star[1]), "date")
+    assert [d[0] for d in pub] == [datetime.combine(g[0], datetime.min.time()) for g in got]
+    cal = rows(natural("cohort_survival_calendar", star[1]), "date", "effective_sub_count")
     assert cal == [(date(2024, 12, 31), 14), (date(2025, 2, 1), 13)]
 
 

@@ -1,9 +1,10 @@
 """Query keys -> operators, and the published form of each result.
 
-Operators return their natural types (money as exact decimals). ``publish``
-casts decimal columns to float8 at the very end, after all arithmetic is done
-exactly, so the published number is the correctly rounded double of the exact
-value on any engine.
+Operators return their natural types (money as exact decimals, calendar days
+as dates). ``publish`` casts decimal columns to float8 at the very end, after
+all arithmetic is done exactly, so the published number is the correctly
+rounded double of the exact value on any engine, and dates to timestamps at
+midnight.
 """
 
 from __future__ import annotations
@@ -121,10 +122,18 @@ DEPENDS: dict[str, tuple[str, ...]] = {
 }
 
 
+# Published type of each natural type that differs between engines' clients.
+_PUBLISHED = {T.DecimalType: "double", T.DateType: "timestamp_ntz"}
+
+
 def publish(df: DataFrame) -> DataFrame:
-    """Cast exact decimal columns to float8; leave everything else."""
-    cols = [F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name) for f in df.schema.fields]
+    """The published form: exact decimals as float8, dates as midnight
+    timestamps (the types every client reads alike); everything else as is.
+    Stored views keep the natural types."""
+    cols = []
+    for f in df.schema.fields:
+        target = next((t for cls, t in _PUBLISHED.items() if isinstance(f.dataType, cls)), None)
+        cols.append(F.col(f.name).cast(target).alias(f.name) if target else F.col(f.name))
     return df.select(*cols)
 
 
