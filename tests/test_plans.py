@@ -70,15 +70,41 @@ def _reaches_aggregate_first(tree, i):
     return False
 
 
-@pytest.mark.parametrize("name", ["overall_utilization", "specific_utilization", "current_mrr_for_nrr"])
-def test_fanout_views_join_aggregates_only(t, name):
-    tree = _tree(plan(registry.run(name, t), "extended"))
+def test_nrr_pairs_join_aggregates_only(t):
+    """V8 joins the per-account base rows to per-account current MRR."""
+    tree = _tree(plan(registry.run("current_mrr_for_nrr", t), "extended"))
     top_join = next(i for i, (_, n) in enumerate(tree) if n == "Join")
     kids = _children(tree, top_join)
     assert len(kids) == 2
     assert all(_reaches_aggregate_first(tree, k) for k in kids), tree
 
 
+def _subtree_lines(lines, tree, i):
+    d = tree[i][0]
+    out = [lines[i]]
+    for j in range(i + 1, len(tree)):
+        if tree[j][0] <= d:
+            break
+        out.append(lines[j])
+    return out
+
+
+@pytest.mark.parametrize("name", ["overall_utilization", "specific_utilization", "kpi_seat_utilization"])
+def test_seat_fanout_joins_no_raw_subscriptions(t, name):
+    """The seat views never join subscription rows: every join input that
+    reads subscriptions is aggregated first."""
+    text = plan(registry.run(name, t), "extended")
+    body = text.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    lines = body.strip("\n").splitlines()
+    tree = _tree(text)
+    joins = [i for i, (_, n) in enumerate(tree) if n == "Join"]
+    assert joins
+    for i in joins:
+        for k in _children(tree, i):
+            if any("o_orderkey" in line for line in _subtree_lines(lines, tree, k)):
+                assert _reaches_aggregate_first(tree, k), body
+
+
 def test_scans_are_pruned(t):
     text = plan(registry.run("dim_device", t))
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", text)
@@ -109,7 +135,8 @@ def _scan_locations(text: str) -> dict[str, str]:
 
 @pytest.mark.parametrize("name", ["adoption_devices", "cohort_survival", "cohort_survival_calendar",
                                   "adoption_products", "specific_page_usage", "stickiness",
-                                  "feature_adoption_pct", "adoption_rates", "event_depth"])
+                                  "feature_adoption_pct", "adoption_rates", "event_depth",
+                                  "overall_utilization", "specific_utilization"])
 def test_each_fact_scanned_once(t, name):
     df = registry.run(name, t)
     df.collect()  # with AQE, exchange reuse shows in the final plan only

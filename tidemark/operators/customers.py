@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
 from tidemark.functions.joins import account_attrs, in_dim, small_dim
 from tidemark.functions.predicates import ATTRS, SLICE, is_active_status, open_at
 from tidemark.functions.views import parent
-from tidemark.operators.revenue import fact_mrr_accounts
 from tidemark.functions.fixed import ACTIVE, ACTIVE_LIKE, CHURNED, NOT_CHURNED
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -180,40 +179,50 @@ def renew_enabled(t: Tables, p: Params) -> DataFrame:
 
 # --------------------------------------------------------- seat utilization
 
-def _account_seats(t: Tables) -> DataFrame:
-    """Seats per account over all its subscriptions (any status)."""
-    return t.subscriptions.groupBy("account_sk").agg(
-        F.sum("seat_commit").alias("commit"), F.sum("seat_provisioned").alias("provisioned"))
-
-
 def _fanned(seats: str) -> Column:
-    """n(a) * seats(a) as an exact decimal(38,0): with one account holding a
-    large share of all subscriptions, the fan-out sums pass the bigint range
+    """n * seats as an exact decimal(38,0): with one account holding a large
+    share of all subscriptions, the fan-out sums pass the bigint range
     (published as float8, like money)."""
     return F.col("n").cast("decimal(38,0)") * F.col(seats)
 
 
-def overall_utilization(t: Tables, p: Params) -> DataFrame:
-    """SUM of seats over `fact_mrr_accounts JOIN fact_subscriptions USING
-    (account_sk)`.
+def _seat_fanout(t: Tables) -> DataFrame:
+    """Per (account, product) with open Active subscriptions: n, their count
+    (the account's fact_mrr_accounts rows for that product), and the seats of
+    all the account's subscriptions, any status.
 
-    That join pairs each open Active subscription of an account (n) with every
-    subscription of the account, so the sums are sum over accounts of
-    n(a) * seats(a). Both sides are aggregated per account first and joined
-    1:1: no pair is ever materialised, and a large account is one row.
+    The original joins fact_mrr_accounts to fact_subscriptions on the account,
+    pairing each open Active subscription with every subscription of the
+    account, so its sums are sum over (account, product) of n * seats(account).
+    One scan: subscriptions are aggregated per (account, product) (partial
+    aggregation map-side), the account's seat totals are a window sum over its
+    few product rows, and the pairs are never materialised.
     """
-    n = parent(t, p, fact_mrr_accounts).groupBy("account_sk").agg(F.count("*").alias("n"))
-    j = n.join(_account_seats(t), "account_sk")
-    return j.agg(
+    open_active = (F.col("status") == ACTIVE) & F.col("end_date").isNull()
+    per_product = t.subscriptions.groupBy("account_sk", "product_sk").agg(
+        F.count_if(open_active).alias("n"),
+        F.sum("seat_commit").alias("commit"), F.sum("seat_provisioned").alias("provisioned"))
+    account = Window.partitionBy("account_sk")
+    return (per_product
+            .select("account_sk", "product_sk", "n",
+                    F.sum("commit").over(account).alias("commit"),
+                    F.sum("provisioned").over(account).alias("provisioned"))
+            .where(F.col("n") > 0))
+
+
+def overall_utilization(t: Tables, p: Params) -> DataFrame:
+    """SUM of seats over `fact_mrr_accounts JOIN fact_subscriptions USING
+    (account_sk)` (see `_seat_fanout`); accounts must be in dim_accounts, as
+    fact_mrr_accounts requires."""
+    return in_dim(_seat_fanout(t), t.accounts, "account_sk").agg(
         F.sum(_fanned("commit")).alias("total_seat_commits"),
         F.sum(_fanned("provisioned")).alias("total_seat_provisions"))
 
 
 def specific_utilization(t: Tables, p: Params) -> DataFrame:
-    """V14 per slice of the fact_mrr_accounts side:
-    sum over accounts of n(a, slice) * seats(a)."""
-    n = parent(t, p, fact_mrr_accounts).groupBy("account_sk", *SLICE).agg(F.count("*").alias("n"))
-    j = n.join(_account_seats(t), "account_sk")
-    return j.groupBy(*SLICE).agg(
-        F.sum(_fanned("commit")).alias("specific_seat_commits"),
-        F.sum(_fanned("provisioned")).alias("specific_seat_provisions"))
+    """V14 per slice of the fact_mrr_accounts side (its product and the
+    account's attributes)."""
+    return (_seat_fanout(t).join(account_attrs(t, *ATTRS), "account_sk")
+            .groupBy(*SLICE).agg(
+                F.sum(_fanned("commit")).alias("specific_seat_commits"),
+                F.sum(_fanned("provisioned")).alias("specific_seat_provisions")))

@@ -99,8 +99,6 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "churn_rate": ("churn_summary_ytd",),
     "active_users": ("churn_status",),
     "churned_users": ("churn_status",),
-    "overall_utilization": ("fact_mrr_accounts",),
-    "specific_utilization": ("fact_mrr_accounts",),
     "renewal_pipeline": ("renewals_due",),
     "current_mrr_for_nrr": ("previous_mrr_for_nrr",),
     "retention_cohort": ("sub_trend",),
