@@ -70,15 +70,6 @@ def _reaches_aggregate_first(tree, i):
     return False
 
 
-def test_nrr_pairs_join_aggregates_only(t):
-    """V8 joins the per-account base rows to per-account current MRR."""
-    tree = _tree(plan(registry.run("current_mrr_for_nrr", t), "extended"))
-    top_join = next(i for i, (_, n) in enumerate(tree) if n == "Join")
-    kids = _children(tree, top_join)
-    assert len(kids) == 2
-    assert all(_reaches_aggregate_first(tree, k) for k in kids), tree
-
-
 def _subtree_lines(lines, tree, i):
     d = tree[i][0]
     out = [lines[i]]
@@ -89,10 +80,11 @@ def _subtree_lines(lines, tree, i):
     return out
 
 
-@pytest.mark.parametrize("name", ["overall_utilization", "specific_utilization", "kpi_seat_utilization"])
-def test_seat_fanout_joins_no_raw_subscriptions(t, name):
-    """The seat views never join subscription rows: every join input that
-    reads subscriptions is aggregated first."""
+@pytest.mark.parametrize("name", ["overall_utilization", "specific_utilization", "kpi_seat_utilization",
+                                  "current_mrr_for_nrr", "nrr_account_level"])
+def test_fanout_views_join_no_raw_subscriptions(t, name):
+    """The fan-out views (seat sums, NRR pairs) never join subscription rows:
+    every join input that reads subscriptions is aggregated first."""
     text = plan(registry.run(name, t), "extended")
     body = text.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     lines = body.strip("\n").splitlines()
@@ -136,7 +128,8 @@ def _scan_locations(text: str) -> dict[str, str]:
 @pytest.mark.parametrize("name", ["adoption_devices", "cohort_survival", "cohort_survival_calendar",
                                   "adoption_products", "specific_page_usage", "stickiness",
                                   "feature_adoption_pct", "adoption_rates", "event_depth",
-                                  "overall_utilization", "specific_utilization"])
+                                  "overall_utilization", "specific_utilization",
+                                  "current_mrr_for_nrr", "nrr_account_level"])
 def test_each_fact_scanned_once(t, name):
     df = registry.run(name, t)
     df.collect()  # with AQE, exchange reuse shows in the final plan only

@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
+from tidemark.functions.fixed import ACTIVE, CANCELLED
 from tidemark.functions.joins import in_dim
 from tidemark.functions.predicates import live_at, ratio
-from tidemark.functions.views import parent
 from tidemark.operators import cohorts, revenue
-from tidemark.functions.fixed import ACTIVE, CANCELLED
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -32,16 +31,17 @@ def seat_utilization_exact(t: Tables, p: Params) -> DataFrame:
 
 def nrr_account_level(t: Tables, p: Params) -> DataFrame:
     """NRR with each retained account's current MRR counted once: current MRR
-    (live at D) of the accounts in the NRR base over the base's MRR."""
-    d = A.latest_start(t)
-    base = parent(t, p, revenue.previous_mrr_for_nrr)
-    # Accounts present in the base (several base rows per account): a
-    # left-semi join, so each current subscription counts once.
-    current = t.subscriptions.where(live_at(d, d)).join(base.select("account_sk"), "account_sk", "left_semi")
-    tagged = (current.select(F.lit(True).alias("is_cur"), "net_mrr_usd")
-              .unionByName(base.select(F.lit(False).alias("is_cur"), "net_mrr_usd")))
-    s = tagged.agg(F.sum(F.when(F.col("is_cur"), F.col("net_mrr_usd"))).alias("current_mrr"),
-                   F.sum(F.when(~F.col("is_cur"), F.col("net_mrr_usd"))).alias("prior_mrr"))
+    (live at D) of the accounts in the NRR base over the base's MRR. One scan
+    of the subscriptions, reduced to one row per account."""
+    d, base = A.latest_start(t), revenue.nrr_base_day(t, p)
+    now, then = live_at(d, d), live_at(base, base)
+    per_account = in_dim(t.subscriptions.groupBy("account_sk").agg(
+        F.count_if(then).alias("n_prior"),
+        F.sum(F.when(then, F.col("net_mrr_usd"))).alias("mrr_prior"),
+        F.sum(F.when(now, F.col("net_mrr_usd"))).alias("mrr_now")), t.accounts, "account_sk")
+    s = per_account.agg(
+        F.sum(F.when(F.col("n_prior") > 0, F.col("mrr_now"))).alias("current_mrr"),
+        F.sum("mrr_prior").alias("prior_mrr"))
     return s.select("current_mrr", "prior_mrr",
                     ratio(F.col("current_mrr"), F.col("prior_mrr")).alias("nrr"))
 

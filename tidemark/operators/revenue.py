@@ -14,14 +14,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
+from tidemark.functions.fixed import ACTIVE, CANCELLED, MONTHS_PER_YEAR
 from tidemark.functions.joins import account_attrs
 from tidemark.functions.predicates import ATTRS, SLICE, live_at
-from tidemark.functions.views import parent
-from tidemark.functions.fixed import ACTIVE, CANCELLED, MONTHS_PER_YEAR
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -85,6 +84,26 @@ def previous_mrr_for_nrr(t: Tables, p: Params) -> DataFrame:
     return snapshot(t, day, day)
 
 
+def nrr_by_account_product(t: Tables, p: Params) -> DataFrame:
+    """Per (account, product), from one scan of the subscriptions: n_prior,
+    the subscriptions live at the NRR base day (the account's V7 rows for the
+    product), and the account's subscriptions live at D: their count n_now
+    and MRR mrr_now (a window sum over the account's few product rows).
+    mrr_prior is the base-day MRR of the product's rows."""
+    d, base = A.latest_start(t), nrr_base_day(t, p)
+    now, then = live_at(d, d), live_at(base, base)
+    per_product = t.subscriptions.groupBy("account_sk", "product_sk").agg(
+        F.count_if(then).alias("n_prior"),
+        F.sum(F.when(then, F.col("net_mrr_usd"))).alias("mrr_prior"),
+        F.count_if(now).alias("n_now_p"),
+        F.sum(F.when(now, F.col("net_mrr_usd"))).alias("mrr_now_p"))
+    account = Window.partitionBy("account_sk")
+    return per_product.select(
+        "account_sk", "product_sk", "n_prior", "mrr_prior",
+        F.sum("n_now_p").over(account).alias("n_now"),
+        F.sum("mrr_now_p").over(account).alias("mrr_now"))
+
+
 def current_mrr_for_nrr(t: Tables, p: Params) -> DataFrame:
     """V8: current MRR of the accounts in the NRR base.
 
@@ -95,16 +114,11 @@ def current_mrr_for_nrr(t: Tables, p: Params) -> DataFrame:
     is published pre-summed at the V7 grain instead: per (account, V7 product,
     attributes) the pair sum of net_mrr_usd (= count of such V7 rows * the
     account's current MRR) and the number of pairs. Every sum or slicer filter
-    over the original rows gives the same total here.
+    over the original rows gives the same total here. One scan of the
+    subscriptions (`nrr_by_account_product`); no pair is materialised.
     """
-    d = A.latest_start(t)
-    prior = (parent(t, p, previous_mrr_for_nrr)
-             .groupBy("account_sk", "product_sk", *ATTRS)
-             .agg(F.count("*").alias("n_prior")))
-    current = (t.subscriptions.where(live_at(d, d))
-               .groupBy("account_sk")
-               .agg(F.sum("net_mrr_usd").alias("mrr_now"), F.count("*").alias("n_now")))
-    return prior.join(current, "account_sk").select(
+    rows = nrr_by_account_product(t, p).where((F.col("n_prior") > 0) & (F.col("n_now") > 0))
+    return rows.join(account_attrs(t, *ATTRS), "account_sk").select(
         "account_sk", "product_sk", *ATTRS,
         (F.col("n_prior") * F.col("mrr_now")).alias("net_mrr_usd"),
         # exact; a large account's pair count can pass the bigint range

@@ -100,7 +100,6 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "active_users": ("churn_status",),
     "churned_users": ("churn_status",),
     "renewal_pipeline": ("renewals_due",),
-    "current_mrr_for_nrr": ("previous_mrr_for_nrr",),
     "retention_cohort": ("sub_trend",),
     "kpi_mrr": ("mrr_arr_snapshot",),
     "kpi_arr": ("mrr_arr_snapshot",),
@@ -116,7 +115,6 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "kpi_auto_renew_share": ("renew_enabled", "renew_disabled"),
     "kpi_feature_adoption": ("feature_usage_adopted_users", "feature_usage_active_users"),
     "kpi_mrr_trend": ("fact_mrr_accounts",),
-    "nrr_account_level": ("previous_mrr_for_nrr",),
 }
 
 
