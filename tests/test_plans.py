@@ -81,7 +81,7 @@ def _subtree_lines(lines, tree, i):
 
 
 @pytest.mark.parametrize("name", ["overall_utilization", "specific_utilization", "kpi_seat_utilization",
-                                  "current_mrr_for_nrr", "nrr_account_level"])
+                                  "current_mrr_for_nrr", "nrr_account_level", "kpi_nrr"])
 def test_fanout_views_join_no_raw_subscriptions(t, name):
     """The fan-out views (seat sums, NRR pairs) never join subscription rows:
     every join input that reads subscriptions is aggregated first."""
@@ -129,7 +129,8 @@ def _scan_locations(text: str) -> dict[str, str]:
                                   "adoption_products", "specific_page_usage", "stickiness",
                                   "feature_adoption_pct", "adoption_rates", "event_depth",
                                   "overall_utilization", "specific_utilization",
-                                  "current_mrr_for_nrr", "nrr_account_level"])
+                                  "current_mrr_for_nrr", "nrr_account_level", "kpi_mrr_yoy", "kpi_mrr_mom",
+                                  "kpi_mrr_growth_vs_prior_december", "kpi_nrr", "kpi_auto_renew_share"])
 def test_each_fact_scanned_once(t, name):
     df = registry.run(name, t)
     df.collect()  # with AQE, exchange reuse shows in the final plan only

@@ -20,3 +20,8 @@ def stored_key(name: str, p) -> tuple:
 def parent(t, p, fn: Callable) -> DataFrame:
     stored = t.cache.get(stored_key(fn.__name__, p))
     return stored if stored is not None else fn(t, p)
+
+
+def stored(t, p, fn) -> DataFrame | None:
+    """fn's stored result for (t, p), if a materialization run wrote it."""
+    return t.cache.get(stored_key(fn.__name__, p))

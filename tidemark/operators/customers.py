@@ -156,11 +156,16 @@ def renewal_pipeline(t: Tables, p: Params) -> DataFrame:
     return parent(t, p, renewals_due).drop("subscription_id")
 
 
+def auto_renew_subscriptions(t: Tables) -> DataFrame:
+    """Active subscriptions with the auto-renew flag set either way, with
+    their account's slice (NULL flag: in neither view)."""
+    subs = t.subscriptions.where((F.col("status") == ACTIVE) & F.col("is_auto_renew").isNotNull())
+    return (subs.select("subscription_id", "account_sk", "product_sk", "is_auto_renew")
+            .join(account_attrs(t, *ATTRS), "account_sk"))
+
+
 def _auto_renew_counts(t: Tables, flag: bool, name: str) -> DataFrame:
-    subs = t.subscriptions.where(
-        (F.col("is_auto_renew") == F.lit(flag)) & (F.col("status") == ACTIVE))
-    return (subs.select("subscription_id", "account_sk", "product_sk")
-            .join(account_attrs(t, *ATTRS), "account_sk")
+    return (auto_renew_subscriptions(t).where(F.col("is_auto_renew") == F.lit(flag))
             .groupBy(*SLICE)
             .agg(F.count_distinct("subscription_id").alias(name))
             .select(name, *SLICE))

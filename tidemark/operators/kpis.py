@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import anchors as A
 from tidemark.functions.fixed import FEATURE_USE, MONTHS_PER_YEAR
-from tidemark.functions.predicates import ratio
-from tidemark.functions.views import parent
+from tidemark.functions.joins import account_attrs
+from tidemark.functions.predicates import ATTRS, SLICE, live_at, ratio
+from tidemark.functions.views import parent, stored
 from tidemark.operators import customers, revenue, usage
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -53,33 +55,65 @@ def kpi_arr(t: Tables, p: Params) -> DataFrame:
         (F.sum("net_mrr_usd") * MONTHS_PER_YEAR).alias("arr"))
 
 
-def _mrr_growth(t: Tables, p: Params, prior: DataFrame) -> DataFrame:
-    s = _sum_pair(sliced(parent(t, p, revenue.mrr_arr_snapshot), p), sliced(prior, p), "net_mrr_usd")
+def _mrr_growth(t: Tables, p: Params, prior_view, prior_bounds) -> DataFrame:
+    """MRR at D and at a prior snapshot, and the growth. From the two stored
+    views when a materialization wrote them; otherwise in one pass: one scan
+    of the subscriptions, one account join, a conditional sum per snapshot
+    (the same `live_at` rules as the views)."""
+    cur_v, prior_v = stored(t, p, revenue.mrr_arr_snapshot), stored(t, p, prior_view)
+    if cur_v is not None and prior_v is not None:
+        s = _sum_pair(sliced(cur_v, p), sliced(prior_v, p), "net_mrr_usd")
+    else:
+        d = A.latest_start(t)
+        start_by, open_from = prior_bounds(t)
+        now, then = live_at(d, d), live_at(start_by, open_from)
+        subs = t.subscriptions.where(now | then).select(
+            "account_sk", "product_sk", "net_mrr_usd",
+            now.alias("now"), then.alias("then"))
+        s = sliced(subs.join(account_attrs(t, *ATTRS), "account_sk"), p).agg(
+            F.sum(F.when(F.col("now"), F.col("net_mrr_usd"))).alias("a"),
+            F.sum(F.when(F.col("then"), F.col("net_mrr_usd"))).alias("b"))
     return s.select(F.col("a").alias("mrr"), F.col("b").alias("prior_mrr"),
                     _growth(F.col("a"), F.col("b")).alias("mrr_growth"))
 
 
+def _one_day(day_fn):
+    return lambda t: (day_fn(t), day_fn(t))
+
+
 def kpi_mrr_yoy(t: Tables, p: Params) -> DataFrame:
     """K3: MRR now over MRR in the same month a year earlier (V31), - 1."""
-    return _mrr_growth(t, p, parent(t, p, revenue.previous_window_mrr_snapshot))
+    return _mrr_growth(t, p, revenue.previous_window_mrr_snapshot, revenue.year_ago_month)
 
 
 def kpi_mrr_mom(t: Tables, p: Params) -> DataFrame:
     """K4: MRR now over MRR at the end of the previous month (V5), - 1."""
-    return _mrr_growth(t, p, parent(t, p, revenue.fact_previous_month_net_mrr))
+    return _mrr_growth(t, p, revenue.fact_previous_month_net_mrr,
+                       _one_day(revenue.previous_month_day))
 
 
 def kpi_mrr_growth_vs_prior_december(t: Tables, p: Params) -> DataFrame:
     """K5: MRR now over MRR at Dec 31 of the previous year (V6), - 1."""
-    return _mrr_growth(t, p, parent(t, p, revenue.previous_year_mrr))
+    return _mrr_growth(t, p, revenue.previous_year_mrr, _one_day(revenue.prior_december_day))
 
 
 def kpi_nrr(t: Tables, p: Params) -> DataFrame:
     """K6: net revenue retention, SUM(V8) / SUM(V7), faithful to the original
     views (V8 counts an account's current MRR once per V7 row of the
     account; see `nrr_account_level` for the per-account version)."""
-    s = _sum_pair(sliced(parent(t, p, revenue.current_mrr_for_nrr), p),
-                  sliced(parent(t, p, revenue.previous_mrr_for_nrr), p), "net_mrr_usd")
+    cur_v = stored(t, p, revenue.current_mrr_for_nrr)
+    prior_v = stored(t, p, revenue.previous_mrr_for_nrr)
+    if cur_v is not None and prior_v is not None:
+        s = _sum_pair(sliced(cur_v, p), sliced(prior_v, p), "net_mrr_usd")
+    else:
+        # one pass: V8's pair sums and V7's MRR from the same per-(account,
+        # product) aggregate
+        rows = sliced(revenue.nrr_by_account_product(t, p)
+                      .join(account_attrs(t, *ATTRS), "account_sk"), p)
+        s = rows.agg(
+            F.sum(F.when((F.col("n_prior") > 0) & (F.col("n_now") > 0),
+                         F.col("n_prior") * F.col("mrr_now"))).alias("a"),
+            F.sum("mrr_prior").alias("b"))
     return s.select(F.col("a").alias("current_mrr"), F.col("b").alias("prior_mrr"),
                     ratio(F.col("a"), F.col("b")).alias("nrr"))
 
@@ -133,9 +167,20 @@ def kpi_seat_utilization(t: Tables, p: Params) -> DataFrame:
 def kpi_auto_renew_share(t: Tables, p: Params) -> DataFrame:
     """Auto-renewing Active subscriptions and their share of those with
     the flag set either way."""
-    on = sliced(parent(t, p, customers.renew_enabled), p).withColumnRenamed("renew_enabled_count", "n")
-    off = sliced(parent(t, p, customers.renew_disabled), p).withColumnRenamed("renew_disabled_count", "n")
-    s = _sum_pair(on, off, "n")
+    on_v, off_v = stored(t, p, customers.renew_enabled), stored(t, p, customers.renew_disabled)
+    if on_v is not None and off_v is not None:
+        s = _sum_pair(sliced(on_v, p).withColumnRenamed("renew_enabled_count", "n"),
+                      sliced(off_v, p).withColumnRenamed("renew_disabled_count", "n"), "n")
+    else:
+        # one pass: both views' per-slice distinct counts from one aggregate
+        flag = F.col("is_auto_renew")
+        per_slice = (sliced(customers.auto_renew_subscriptions(t), p).groupBy(*SLICE).agg(
+            F.count_distinct(F.when(flag, F.col("subscription_id"))).alias("on"),
+            F.count_distinct(F.when(~flag, F.col("subscription_id"))).alias("off"),
+            F.max(flag).alias("any_on"), F.max(~flag).alias("any_off")))
+        # a slice counts in a view only if the view has its row
+        s = per_slice.agg(F.sum(F.when(F.col("any_on"), F.col("on"))).alias("a"),
+                          F.sum(F.when(F.col("any_off"), F.col("off"))).alias("b"))
     return s.select(F.col("a").alias("auto_renew_count"), F.col("b").alias("manual_renew_count"),
                     ratio(F.col("a"), F.col("a") + F.col("b")).alias("auto_renew_share"))
 

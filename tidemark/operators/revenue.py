@@ -64,10 +64,15 @@ def fact_previous_month_net_mrr(t: Tables, p: Params) -> DataFrame:
     return snapshot(t, day, day, with_start_date=True)
 
 
+def prior_december_day(t: Tables) -> date | None:
+    """Dec 31 of the year before D."""
+    d = A.latest_start(t)
+    return None if d is None else date(d.year - 1, 12, 31)
+
+
 def previous_year_mrr(t: Tables, p: Params) -> DataFrame:
     """V6: snapshot at Dec 31 of the year before D."""
-    d = A.latest_start(t)
-    day = None if d is None else date(d.year - 1, 12, 31)
+    day = prior_december_day(t)
     return snapshot(t, day, day)
 
 
@@ -129,11 +134,16 @@ def current_mrr_for_nrr(t: Tables, p: Params) -> DataFrame:
 def previous_window_mrr_snapshot(t: Tables, p: Params) -> DataFrame:
     """Subscriptions live for the whole calendar month one year before D
     (started by its first day, not ended before its last)."""
-    m = A.months_before(A.latest_start(t), 12)
-    first, last = A.calendar_month(t, m.year if m else None, m.month if m else None)
+    first, last = year_ago_month(t)
     return snapshot(t, first, last)
 
 
+def year_ago_month(t: Tables) -> tuple[date | None, date | None]:
+    """First and last calendar day of the month one year before D."""
+    m = A.months_before(A.latest_start(t), 12)
+    return A.calendar_month(t, m.year if m else None, m.month if m else None)
+
+
 def _ytd_active(t: Tables) -> DataFrame:
     d = A.latest_start(t)
     return t.subscriptions.where(
