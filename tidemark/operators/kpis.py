@@ -187,14 +187,30 @@ def kpi_auto_renew_share(t: Tables, p: Params) -> DataFrame:
 
 def kpi_feature_adoption(t: Tables, p: Params) -> DataFrame:
     """Active (account, product) pairs that used a feature over all active
-    pairs."""
-    adopted = sliced(parent(t, p, usage.feature_usage_adopted_users), p).select(
-        F.col("feature_users").alias("account_sk"), "product_sk").distinct()
-    active = sliced(parent(t, p, usage.feature_usage_active_users), p)
-    tagged = (adopted.select(F.lit(True).alias("is_a"))
-              .unionByName(active.select(F.lit(False).alias("is_a"))))
-    s = tagged.agg(F.count_if(F.col("is_a")).alias("adopted_accounts"),
-                   F.count_if(~F.col("is_a")).alias("active_accounts"))
+    pairs (V24's distinct pairs over V23's rows)."""
+    adopted_v = stored(t, p, usage.feature_usage_adopted_users)
+    active_v = stored(t, p, usage.feature_usage_active_users)
+    if adopted_v is not None and active_v is not None:
+        adopted = sliced(adopted_v, p).select(
+            F.col("feature_users").alias("account_sk"), "product_sk").distinct()
+        tagged = (adopted.select(F.lit(True).alias("is_a"))
+                  .unionByName(sliced(active_v, p).select(F.lit(False).alias("is_a"))))
+        s = tagged.agg(F.count_if(F.col("is_a")).alias("adopted_accounts"),
+                       F.count_if(~F.col("is_a")).alias("active_accounts"))
+    else:
+        # one pass, no join: active pairs and feature-event pairs grouped
+        # together by (account, product), both reduced map-side
+        keys = ["account_sk", "product_sk"]
+        pairs = usage.active_subscriptions(t, p).select(
+            *keys, F.lit(True).alias("active"), F.lit(False).alias("used"))
+        used = t.events.where(F.col("feature_sk").isNotNull()).select(
+            *keys, F.lit(False).alias("active"), F.lit(True).alias("used"))
+        per_pair = sliced(pairs.unionByName(used), p).groupBy(*keys).agg(
+            F.max("active").alias("active"), F.max("used").alias("used"))
+        joinable = F.col("account_sk").isNotNull() & F.col("product_sk").isNotNull()
+        s = per_pair.agg(
+            F.count_if(F.col("active") & F.col("used") & joinable).alias("adopted_accounts"),
+            F.count_if(F.col("active")).alias("active_accounts"))
     return s.select("adopted_accounts", "active_accounts",
                     ratio(F.col("adopted_accounts"), F.col("active_accounts")).alias("feature_adoption"))
 
@@ -215,17 +231,20 @@ def kpi_device_adoption(t: Tables, p: Params) -> DataFrame:
 
 def kpi_mrr_trend(t: Tables, p: Params) -> DataFrame:
     """MRR of open Active subscriptions (V4) by start month, with running
-    totals of MRR and of accounts (an account counts from its first month)."""
-    v4 = sliced(parent(t, p, revenue.fact_mrr_accounts), p).withColumn(
-        "month", F.make_date(F.year("start_date"), F.month("start_date"), F.lit(1)))
-    monthly = v4.groupBy("month").agg(F.sum("net_mrr_usd").alias("mrr"))
-    first = (v4.groupBy("account_sk").agg(F.min("month").alias("month"))
-             .groupBy("month").agg(F.count("*").alias("new_accounts")))
+    totals of MRR and of accounts (an account counts from its first month).
+
+    One pipeline: V4 summed per (account, month); the account's first month
+    is a window minimum over its few month rows; then one row per month."""
+    v4 = sliced(parent(t, p, revenue.fact_mrr_accounts), p)
+    month = F.make_date(F.year("start_date"), F.month("start_date"), F.lit(1))
+    per_account_month = v4.groupBy("account_sk", month.alias("month")).agg(
+        F.sum("net_mrr_usd").alias("mrr"))
+    first = F.col("month").eqNullSafe(F.min("month").over(Window.partitionBy("account_sk")))
+    monthly = (per_account_month.select("month", "mrr", first.alias("first"))
+               .groupBy("month").agg(F.sum("mrr").alias("mrr"),
+                                     F.count_if(F.col("first")).alias("new_accounts")))
     # One row per start month: bounded by the calendar, not by the data.
     w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (monthly.join(first, "month", "left")
-            .select("month", "mrr",
-                    F.sum("mrr").over(w).alias("cumulative_mrr"),
-                    F.coalesce("new_accounts", F.lit(0)).alias("new_accounts"),
-                    F.sum(F.coalesce("new_accounts", F.lit(0))).over(w).cast("bigint")
-                    .alias("cumulative_accounts")))
+    return monthly.select(
+        "month", "mrr", F.sum("mrr").over(w).alias("cumulative_mrr"), "new_accounts",
+        F.sum("new_accounts").over(w).cast("bigint").alias("cumulative_accounts"))
