@@ -4,8 +4,11 @@ The formulas are inferred from the report titles (the BI file holding them is
 not part of the original). Each takes the dashboard slicers from
 ``Params.slicers`` as equality filters on its input view.
 
-Ratios of two totals are taken from a single aggregate over the tagged union
-of both inputs (no join of two one-row results).
+KPIs comparing two views (growth, NRR, auto-renew share, feature adoption)
+read the stored views when a materialization has written them (tiny tables),
+summed in one aggregate over their tagged union. Otherwise they are computed
+in one pass over the star: conditional aggregates over a single scan of the
+fact, never two scans and a join of two one-row results.
 """
 
 from __future__ import annotations
