@@ -25,3 +25,12 @@ def test_show_and_sql():
     assert out.returncode == 0 and "Android" in out.stdout
     out = run("sql", "SELECT count(*) AS n FROM dim_device", "--sf-dir", SF_SMALL)
     assert out.returncode == 0 and "|3  |" in out.stdout
+
+
+def test_build_then_query_stored_star(scratch):
+    out = os.path.join(scratch, "cli-build")
+    built = run("build", "--out", out, "--sf-dir", SF_SMALL)
+    assert built.returncode == 0 and len(built.stdout.splitlines()) == 58
+    shown = run("show", "kpi_mrr", "--star", os.path.join(out, "star"))
+    direct = run("show", "kpi_mrr", "--sf-dir", SF_SMALL)
+    assert shown.returncode == 0 and shown.stdout == direct.stdout

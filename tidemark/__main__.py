@@ -1,10 +1,13 @@
 """Command line: run the report on a folder of raw tables.
 
     python -m tidemark list
-    python -m tidemark show NAME [--sf-dir DIR] [--rows N] [--as-of YYYY-MM-DD]
-    python -m tidemark sql "SELECT ... FROM acv ..." [--sf-dir DIR]
+    python -m tidemark show NAME [--sf-dir DIR | --star DIR] [--rows N] [--as-of YYYY-MM-DD]
+    python -m tidemark sql "SELECT ... FROM acv ..." [--sf-dir DIR | --star DIR]
     python -m tidemark build --out DIR [--sf-dir DIR] [--resume]
 
+``--sf-dir`` derives the star from raw tables; ``--star`` reads a stored star
+(``OUT/star`` of a build).
+
 `sql` registers every result as a temp view named by its key (Spark parses
 and plans the statement); `build` stores the star and all results
 (``materialize.build_all``).
@@ -19,7 +22,7 @@ from datetime import date
 from tidemark.params import Params
 from tidemark.plans import catalog, materialize, registry
 from tidemark.session import local_session
-from tidemark.sources.star import load_star
+from tidemark.sources.star import load_star, read_star
 
 DEFAULT_DIR = "/root/testdata/sf0.01"
 
@@ -31,6 +34,8 @@ def main(argv=None) -> int:
     for name in ("show", "sql", "build"):
         p = sub.add_parser(name)
         p.add_argument("--sf-dir", default=DEFAULT_DIR)
+        if name != "build":
+            p.add_argument("--star", help="stored star folder (from build) instead of raw tables")
         p.add_argument("--as-of", type=date.fromisoformat, default=Params().as_of)
         if name == "show":
             p.add_argument("name", choices=sorted(registry.ALL))
@@ -47,7 +52,9 @@ def main(argv=None) -> int:
         print("\n".join(registry.ALL))
         return 0
     spark = local_session()
-    t, params = load_star(spark, args.sf_dir), Params(as_of=args.as_of)
+    star = getattr(args, "star", None)
+    t = read_star(spark, star) if star else load_star(spark, args.sf_dir)
+    params = Params(as_of=args.as_of)
     if args.cmd == "show":
         registry.run(args.name, t, params).show(args.rows, truncate=False)
     elif args.cmd == "sql":
