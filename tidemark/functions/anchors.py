@@ -41,10 +41,25 @@ def latest_created(t: Tables) -> date | None:
                    lambda: t.accounts.agg(F.max("created_at")).first()[0])
 
 
+# Partition column of a stored, month-partitioned fact_events.
+EVENT_MONTH = "event_month"
+
+
 def latest_event(t: Tables) -> datetime | None:
-    """MAX(fact_events.event_timestamp): the usage anchor T."""
-    return _cached(t, "latest_event",
-                   lambda: t.events.agg(F.max("event_timestamp")).first()[0])
+    """MAX(fact_events.event_timestamp): the usage anchor T.
+
+    On a stored fact partitioned by month, the maximum lies in the latest
+    month, so the latest partition is found first and only it is scanned."""
+    def compute():
+        ev = t.events
+        if EVENT_MONTH in ev.columns:
+            last = ev.agg(F.max(EVENT_MONTH)).first()[0]
+            if last is None:
+                return None
+            ev = ev.where(F.col(EVENT_MONTH) == F.lit(last))
+        return ev.agg(F.max("event_timestamp")).first()[0]
+
+    return _cached(t, "latest_event", compute)
 
 
 def calendar_month(t: Tables, year: int | None, month: int | None) -> tuple[date | None, date | None]:

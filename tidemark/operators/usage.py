@@ -27,7 +27,7 @@ from tidemark.sources.star import Tables
 
 # Stored fact_events are partitioned by this column (first day of the
 # event's month); see tidemark.plans.materialize.
-EVENT_MONTH = "event_month"
+EVENT_MONTH = A.EVENT_MONTH
 
 
 def events_between(t: Tables, lo: datetime | None, hi: datetime | None,
