@@ -194,7 +194,7 @@ def load_star(spark: SparkSession, sf_dir: str) -> Tables:
     def read(name: str) -> DataFrame:
         return read_raw(spark, sf_dir, name)
 
-    return Tables(
+    t = Tables(
         spark,
         accounts=lambda: dim_accounts(read("customer"), read("nation")),
         subscriptions=lambda: fact_subscriptions(read("orders")),
@@ -204,6 +204,8 @@ def load_star(spark: SparkSession, sf_dir: str) -> Tables:
         plans=lambda: dim_plans(read("region")),
         dates=lambda: dim_date(spark),
     )
+    t.cache["calendar_span"] = (CALENDAR_START, CALENDAR_END)  # dim_date: every day of it
+    return t
 
 
 def read_star(spark: SparkSession, star_dir: str) -> Tables:
