@@ -7,7 +7,6 @@ benchmark.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -76,15 +75,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return configure(spark)
 
 
-def shared_dir(spark: SparkSession, *parts: str) -> str:
-    """A folder under the cluster's shared ``spark.checkpoint.dir``.
-
-    The setting is read from the session; only when it is unset (local tests)
-    is a fresh scratch folder created and recorded for the session.
-    """
+def checkpoint_base(spark: SparkSession) -> str:
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else the folder
+    set on the SparkContext. With neither, a scratch folder on a local master
+    (tests); elsewhere an error, since executors don't share local folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return os.path.join(base, *parts)
+    if base:
+        return base.rstrip("/")
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    spark.conf.set("spark.checkpoint.dir", base)
+    sc.setCheckpointDir(base)
+    return base
+
+
+def shared_dir(spark: SparkSession, *parts: str) -> str:
+    """A folder under the shared checkpoint folder (a path or a URI)."""
+    return "/".join([checkpoint_base(spark), *parts])
