@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import decontam, simhash, suffix_dedup, token_files
 from tidemark.llm.common import table
 
 
@@ -16,8 +16,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
+def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_winnowing": op3_winnowing,
+    "op5_suffix_array": op5_suffix_array,
+    "op10_repair": op10_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {}
