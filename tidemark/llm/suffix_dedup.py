@@ -49,22 +49,20 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 @cache
-def _tables() -> tuple:
-    size = SEGMENT + 2 * LENGTH + REACH
-    out = []
-    for k, base in enumerate(_BASES):
-        power, back = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        power[0] = back[0] = 1
-        bytes_ = np.random.default_rng(k).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        out.append((np.multiply.accumulate(power), np.multiply.accumulate(back), bytes_))
-    return tuple(out)
+def _tables(which: int, size: int) -> tuple:
+    """Powers of the base, of its inverse, and the value of each byte."""
+    base = _BASES[which]
+    power, back = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+    power[0] = back[0] = 1
+    value = np.random.default_rng(which).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.multiply.accumulate(power), np.multiply.accumulate(back), value
 
 
 class Hashes:
     """Hash of any substring of a buffer."""
 
     def __init__(self, buf: np.ndarray, which: int = 0):
-        power, self.back, value = _tables()[which]
+        power, self.back, value = _tables(which, max(1 << 21, 1 << len(buf).bit_length()))
         self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(value[buf] * power[:len(buf)], out=self.sums[1:])
 
