@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, simhash, suffix_dedup, token_files, toxicity
+from tidemark.llm import decontam, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import table
 
 
@@ -24,12 +24,23 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
@@ -39,7 +50,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_winnowing": op3_winnowing,
     "op5_suffix_array": op5_suffix_array,
+    "op7_length_buckets": op7_length_buckets,
     "op8_toxicity": op8_toxicity,
+    "op9_best_fit": op9_best_fit,
     "op10_repair": op10_repair,
 }
 
