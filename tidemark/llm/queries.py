@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, packing, sharding, simhash, suffix_dedup, token_files, toxicity
+from tidemark.llm import decontam, license_scan, packing, sharding, simhash, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -48,6 +52,7 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_license": op2_license,
     "op3_winnowing": op3_winnowing,
     "op5_suffix_array": op5_suffix_array,
     "op7_length_buckets": op7_length_buckets,
