@@ -23,7 +23,7 @@ def new_file(folder: str, stem: str, suffix: str) -> tuple[str, object]:
     uri = f"{folder}/{stem}-{uuid.uuid4().hex}{suffix}"
     system, path = _open(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return uri, system.open_output_stream(path)
+    return uri, system.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):

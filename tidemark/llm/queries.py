@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, license_scan, packing, sharding, simhash, suffix_dedup, token_files, toxicity
+from tidemark.llm import decontam, embed_dedup, license_scan, packing, sharding, simhash, suffix_dedup, token_files, toxicity, warc
 from tidemark.llm.common import table
 
 
@@ -16,6 +16,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The pages have no capture time; the page number stands for it.
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html", (F.lit(1_704_067_200) + F.pmod(F.col("page_id"), F.lit(10 ** 9))).alias("captured"))
+    return warc.archive(pages, time_col="captured").select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to",
+        "url_key", "seconds")
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -28,6 +37,11 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op6_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -54,7 +68,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license": op2_license,
     "op3_winnowing": op3_winnowing,
+    "op4_warc": op4_warc,
     "op5_suffix_array": op5_suffix_array,
+    "op6_pigeonhole": op6_pigeonhole,
     "op7_length_buckets": op7_length_buckets,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit": op9_best_fit,
