@@ -139,3 +139,11 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     return joined.select(*names, "n_words", n_hit.alias("n_hit"),
                          F.coalesce("_n_items", F.lit(0).cast("long")).alias("n_items"),
                          F.coalesce("_items", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
+                      item_text: str = "text") -> DataFrame:
+    """The input's rows that no window hits, columns as they are."""
+    own = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"))
+    found = find(own, items, "_text", item_id, item_text, keep=["_doc"])
+    return found.where(~F.col("contaminated")).select("_doc.*")

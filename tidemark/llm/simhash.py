@@ -104,15 +104,20 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long. A null or wordless text has 0."""
+                 words: int = SHINGLE_WORDS, with_key: bool = False) -> DataFrame:
+    """(id, fp[, k1, k2]): the fingerprint as a signed long, and the text's key.
+    A null or wordless text has fingerprint 0."""
+    kept = ["id", "k1", "k2"] if with_key else ["id"]
+
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([*(b.column(c) for c in kept), pa.array(fps.view(np.int64))], names=[*kept, "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col)
+    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")] if with_key else []
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *keys)
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
 
 
 def links(fps: DataFrame, joined_up_to: int = 32) -> DataFrame:
@@ -143,6 +148,16 @@ def links(fps: DataFrame, joined_up_to: int = 32) -> DataFrame:
     return pairs.union(star)
 
 
+def _named(seen: DataFrame) -> DataFrame:
+    """(fp, component) of stored (id, fp) rows."""
+    each = stored(seen.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    roots = connected_components(links(each))
+    rooted = each.join(roots, each.fp == roots.node, "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    return rooted.join(names, "root").select("fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per input row: id, fp (signed long) and component (the smallest
@@ -154,10 +169,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the input are ignored. An empty table gives an empty result.
     """
     seen = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    each = stored(seen.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    roots = connected_components(links(each))
-    rooted = each.join(roots, each.fp == roots.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(names, "root").select("fp", "component")
-    return seen.join(named, "fp", "left").select("id", "fp", "component")
+    return seen.join(_named(seen), "fp", "left").select("id", "fp", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                words: int = SHINGLE_WORDS) -> DataFrame:
+    """The input's rows, one of each component: the smallest id (null only if
+    there is no other; ties by text key, and any one of rows that repeat id and
+    text). Columns stay as they are, whatever their names."""
+    seen = stored(fingerprints(docs, id_col, text_col, words, with_key=True), "simhash")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    kept = seen.join(_named(seen), "fp").groupBy("root").agg(F.min(place).alias("p")).select(
+        F.coalesce("p.id", F.lit(0).cast("long")).alias("_i"), F.col("p.none").alias("_n"),
+        F.col("p.k1").alias("_a"), F.col("p.k2").alias("_b"))
+    kept = stored(kept, "kept")
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    own = docs.select(F.struct("*").alias("_doc"), F.coalesce(id_, F.lit(0).cast("long")).alias("_i"),
+                      id_.isNull().alias("_n"), F.xxhash64(text).alias("_a"),
+                      F.xxhash64(F.lit(7), text).alias("_b"))
+    left = own.join(kept, ["_i", "_n", "_a", "_b"], "left_semi")
+    twice = seen.groupBy("id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        left = left.dropDuplicates(["_i", "_n", "_a", "_b"])
+    return left.select("_doc.*")

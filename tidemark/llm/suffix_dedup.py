@@ -386,7 +386,8 @@ def _spans(low: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 
 def _cut(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """What remains of each text that has repeated windows."""
+    """What remains of each text that has repeated windows: of its bytes the
+    hash, and as text the whole characters of each remaining piece."""
     def run(batches):
         for b in batches:
             out = []
@@ -400,52 +401,88 @@ def _cut(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
                     at = e
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append((k1, k2, len(text) - len(rest), len(start), hashlib.sha256(rest).hexdigest(), rest))
+                out.append((k1, k2, len(text) - len(rest), len(start), hashlib.sha256(rest).hexdigest(),
+                            "".join(x.decode(errors="ignore") for x in kept)))
             cols = list(zip(*out)) or [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (
-                pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
+                pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
                 names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     lists = windows.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
     return texts.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(
-        run, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        run, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
-                   with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: the columns ``keep`` (default: all), n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining
-    bytes) and, if asked for, kept (those bytes, null where nothing went).
+def _text(text_col: str):
+    return F.coalesce(F.col(text_col), F.lit(""))
 
-    Nulls: a null text counts as empty; other columns may be null. Texts shorter
-    than ``length`` keep all. Of copies, all bytes go, also where rows repeat
-    wholly. Input columns whose names clash with the added ones should be left
-    out of ``keep``. An empty table gives an empty result.
-    """
+
+def _key(text) -> tuple:
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def _fates(docs: DataFrame, text_col: str, length: int, with_text: bool) -> DataFrame:
+    """(_k1, _k2, _copies, _n_removed, _n_spans, _kept_sha256[, _kept]) of each
+    text that has copies or repeated windows."""
     if length < 2 * FIRST + GRAM:
         raise ValueError(f"length must be at least {2 * FIRST + GRAM}")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), text.alias("text"))
+    text = _text(text_col)
+    k1, k2 = _key(text)
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     texts = _distinct_texts(keyed, length)
     cut = _cut(texts, repeated_windows(texts, length), length)
     if not with_text:
         cut = cut.drop("kept")
     cut = stored(cut, "cut")
-    copied = keyed.select("k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    # One row per text with something removed, flat or whole.
-    fate = cut.join(copied, ["k1", "k2"], "full").withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2")
-    fate = fate.select("_k1", "_k2", "_copies", *[F.col(c).alias(f"_{c}") for c in cut.columns[2:]])
-    names = [c for c in (docs.columns if keep is None else keep)]
-    left = docs.select(*names, F.xxhash64(text).alias("_a1"), F.xxhash64(F.lit(7), text).alias("_a2"),
-                       F.octet_length(text).cast("long").alias("n_bytes"),
-                       F.sha2(text, 256).alias("_whole"))
-    joined = left.join(fate, (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
-    gone = (F.col("_copies") > 1) & (F.col("n_bytes") >= length)
-    nothing = F.lit(hashlib.sha256(b"").hexdigest())
-    out = [*names, "n_bytes",
-           F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("_n_removed", F.lit(0))).cast("long").alias("n_removed"),
-           F.when(gone, F.lit(1)).otherwise(F.coalesce("_n_spans", F.lit(0))).cast("long").alias("n_spans"),
-           F.when(gone, nothing).otherwise(F.coalesce("_kept_sha256", "_whole")).alias("kept_sha256")]
-    if with_text:
-        out.append(F.when(gone, F.lit(b"")).otherwise(F.col("_kept")).alias("kept"))
-    return joined.select(*out)
+    copied = keyed.select("k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    both = cut.join(copied, ["k1", "k2"], "full")
+    return both.select(*[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "copies", *cut.columns[2:])])
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
+                   keep: list[str] | None = None) -> DataFrame:
+    """One row per input row: the columns ``keep`` (default: all), n_bytes,
+    n_removed, n_spans (maximal removed runs) and kept_sha256 (of the remaining
+    bytes).
+
+    Nulls: a null text counts as empty; other columns may be null. Texts shorter
+    than ``length`` keep all. Of copies, all bytes go, also where rows repeat
+    wholly. Columns in ``keep`` must not have the names of the added ones. An
+    empty table gives an empty result.
+    """
+    fates = _fates(docs, text_col, length, False)
+    names = list(docs.columns) if keep is None else keep
+    text = _text(text_col)
+    k1, k2 = _key(text)
+    left = docs.select(F.struct(*names).alias("_doc"), k1.alias("_a1"), k2.alias("_a2"),
+                       F.octet_length(text).cast("long").alias("_bytes"), F.sha2(text, 256).alias("_whole"))
+    joined = left.join(fates, (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
+    gone = (F.col("_copies") > 1) & (F.col("_bytes") >= length)
+    zero = F.lit(0).cast("long")
+    return joined.select(
+        "_doc.*", F.col("_bytes").alias("n_bytes"),
+        F.when(gone, F.col("_bytes")).otherwise(F.coalesce("_n_removed", zero)).alias("n_removed"),
+        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("_n_spans", zero)).alias("n_spans"),
+        F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(
+            F.coalesce("_kept_sha256", "_whole")).alias("kept_sha256"))
+
+
+def cut_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = None,
+                length: int = LENGTH) -> DataFrame:
+    """The input's rows and columns, without the bytes of repeats in the text (a
+    character that loses a byte goes whole); ``chars_col`` follows the text.
+    Nulls, copies and empty tables as in remove_repeats."""
+    fates = _fates(docs, text_col, length, True)
+    text = _text(text_col)
+    k1, k2 = _key(text)
+    left = docs.select(F.struct("*").alias("_doc"), k1.alias("_a1"), k2.alias("_a2"),
+                       (F.octet_length(text) >= length).alias("_long"))
+    joined = left.join(fates, (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
+    rest = F.when((F.col("_copies") > 1) & F.col("_long"), F.lit("")).otherwise(F.col("_kept"))
+    out = joined.select("_doc", rest.alias("_rest"))
+    doc = F.col("_doc")
+    new = {text_col: F.coalesce("_rest", doc[text_col])}
+    if chars_col:
+        new[chars_col] = F.when(F.col("_rest").isNull(), doc[chars_col]).otherwise(
+            F.char_length("_rest").cast(docs.schema[chars_col].dataType))
+    return out.select(*[new.get(c, doc[c]).alias(c) for c in docs.columns])

@@ -215,3 +215,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                        F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "id long, held_out boolean, score double, predicted int, n_sentences long, "
                                 "n_offending long, worst_sentence long, worst_score double")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The input's rows that score below the threshold, columns as they are."""
+    def run(batches):
+        weights = WordWeights(model)
+        for b in batches:
+            scores = [score(t, weights)[0] for t in b.column(text_col).to_pylist()]
+            yield b.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
