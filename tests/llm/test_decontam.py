@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import decontam
 
 COLUMNS = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import embed_dedup
 
 

@@ -1,6 +1,6 @@
 import random
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import license_scan as ls
 
 

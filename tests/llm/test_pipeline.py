@@ -4,10 +4,10 @@ import random
 import pytest
 
 import corpus_pipeline
-from tests.llm import small
-from tests.llm.test_decontam import plain as contaminated
-from tests.llm.test_simhash import plain as fingerprint
-from tests.llm.test_suffix_dedup import plain as repeats
+from llm import small
+from llm.test_decontam import plain as contaminated
+from llm.test_simhash import plain as fingerprint
+from llm.test_suffix_dedup import plain as repeats
 
 
 @pytest.fixture(scope="module")

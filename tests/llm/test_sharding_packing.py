@@ -3,7 +3,7 @@ import random
 import zlib
 from itertools import combinations
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import packing, sharding
 
 

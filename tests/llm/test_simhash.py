@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import simhash
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import suffix_dedup
 
 

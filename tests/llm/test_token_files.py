@@ -6,7 +6,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import token_files
 
 NAME = "byte_bpe_50k.json"

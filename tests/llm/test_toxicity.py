@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import toxicity
 
 RUDE = ["bramk", "zolt", "grell"]

@@ -2,7 +2,7 @@ import gzip
 import hashlib
 import random
 
-from tests.llm import small
+from llm import small
 from tidemark.llm import warc
 from tidemark.llm.files import open_file
 
