@@ -30,6 +30,16 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="session", autouse=True)
+def fixed_day():
+    """The clock stands at the day the oracle's statements name."""
+    from datetime import date
+
+    from tidemark import params
+
+    params.today = lambda: date(2025, 8, 1)
+
+
 @pytest.fixture(scope="session")
 def scratch():
     return tempfile.mkdtemp(prefix="tidemark-test-")

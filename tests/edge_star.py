@@ -84,7 +84,7 @@ def write_star(spark, out_dir: str, rows: dict | None = None) -> Tables:
     rows = {**ROWS, **(rows or {})}
     for attr, (table, schema) in STAR_TABLES.items():
         if attr == "dates":
-            df = dim_date(spark)
+            df = dim_date(spark, date(2019, 1, 1), date(2026, 12, 31))
         else:
             df = spark.createDataFrame(rows[attr], schema)
         df.coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/{table}")

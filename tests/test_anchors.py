@@ -41,19 +41,19 @@ def test_literals_are_typed_and_zone_free(spark):
 
 def test_calendar_month_bounds(spark):
     from tidemark.sources.star import Tables, dim_date
-    t = Tables(spark, dates=dim_date(spark))
+    t = Tables(spark, dates=dim_date(spark, date(2019, 1, 1), date(2026, 12, 31)))
     assert A.calendar_month(t, 2024, 2) == (date(2024, 2, 1), date(2024, 2, 29))
     assert A.calendar_month(t, 2030, 1) == (None, None)   # outside the calendar
     assert A.calendar_month(t, None, None) == (None, None)
 
 
 def test_calendar_span_matches_lookup(spark):
-    from tidemark.sources.star import CALENDAR_END, CALENDAR_START, Tables, dim_date
-    looked_up = Tables(spark, dates=dim_date(spark))
-    known = Tables(spark, dates=dim_date(spark))
-    known.cache["calendar_span"] = (CALENDAR_START, CALENDAR_END)
+    from tidemark.sources.star import Tables, dim_date
+    span = (date(2019, 1, 1), date(2026, 12, 31))
+    looked_up, known = (Tables(spark, dates=dim_date(spark, *span)) for _ in range(2))
+    known.calendar_span = lambda: span
     for y, m in [(2018, 12), (2019, 1), (2024, 2), (2025, 7), (2026, 12), (2027, 1)]:
         assert A.calendar_month(known, y, m) == A.calendar_month(looked_up, y, m), (y, m)
     partial = Tables(spark)
-    partial.cache["calendar_span"] = (date(2019, 1, 15), date(2026, 12, 31))
+    partial.calendar_span = lambda: (date(2019, 1, 15), date(2026, 12, 31))
     assert A.calendar_month(partial, 2019, 1) == (date(2019, 1, 15), date(2019, 1, 31))

@@ -52,6 +52,8 @@ def test_churn_status_sets(star):
     assert got[5] == "Inactive"
     assert got[6] == "Active"                    # NULL status skipped
     assert got[7] is None                        # all NULL
+    counts = dict(rows(registry.run("churn_status", star[1]), "account_sk", "status_counts"))
+    assert counts[5].startswith("Inactive:") and counts[7] is None
 
 
 def test_active_and_churned_users(star):

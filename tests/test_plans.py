@@ -81,10 +81,14 @@ def _subtree_lines(lines, tree, i):
 
 
 @pytest.mark.parametrize("name", ["overall_utilization", "specific_utilization", "kpi_seat_utilization",
-                                  "current_mrr_for_nrr", "nrr_account_level", "kpi_nrr"])
+                                  "current_mrr_for_nrr", "nrr_account_level", "kpi_nrr",
+                                  "kpi_mrr", "kpi_arr", "kpi_mrr_yoy", "kpi_mrr_mom",
+                                  "kpi_mrr_growth_vs_prior_december", "kpi_revenue_share_by_product",
+                                  "kpi_active_base_share_by_segment", "kpi_revenue_by_segment",
+                                  "kpi_auto_renew_share", "kpi_mrr_trend", "seat_utilization_exact"])
 def test_fanout_views_join_no_raw_subscriptions(t, name):
-    """The fan-out views (seat sums, NRR pairs) never join subscription rows:
-    every join input that reads subscriptions is aggregated first."""
+    """The fan-out views (seat sums, NRR pairs) and the totals never join
+    subscription rows: every join input that reads them is aggregated first."""
     text = plan(registry.run(name, t), "extended")
     body = text.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     lines = body.strip("\n").splitlines()
@@ -135,3 +139,37 @@ def test_each_fact_scanned_once(t, name):
     locs = [loc for n, loc in _scan_locations(text).items() if n in in_final]
     for fact in ("orders", "events"):
         assert sum(f"{fact}.parquet" in loc for loc in locs) <= 1, (fact, final_tree)
+
+
+@pytest.mark.parametrize("name", ["adoption_devices", "kpi_device_adoption", "churn_status", "active_users",
+                                  "churned_users", "kpi_auto_renew_share"])
+def test_raw_rows_meet_a_hash_aggregate_first(t, name):
+    """No Expand and no sort fallback over raw rows: above a fact's scan the
+    first aggregate is a HashAggregate."""
+    tree = plan(registry.run(name, t), "simple")
+    above = []
+    for line in tree.splitlines():
+        node = re.sub(r"^[\s:+\-]*(\*\(\d+\) )?", "", line)
+        depth = len(line) - len(node)
+        above = [(d, n) for d, n in above if d < depth] + [(depth, node)]
+        if node.startswith("FileScan") and ("o_orderkey" in node or "event_id" in node):
+            near = [n.split("(")[0].split(" ")[0] for _, n in reversed(above)]
+            first = next(n for n in near if "Aggregate" in n or n == "Expand")
+            assert first == "HashAggregate", tree
+
+
+@pytest.mark.parametrize("name", ["renewals_due", "renewal_pipeline"])
+def test_renewals_read_part_once_without_sort_aggregate(t, name):
+    text = plan(registry.run(name, t))
+    assert "SortAggregate" not in text
+    assert sum("part.parquet" in loc for loc in _scan_locations(text).values()) == 1
+
+
+@pytest.mark.parametrize("name", ["current_mrr_for_nrr", "kpi_nrr", "nrr_account_level"])
+def test_nrr_prunes_the_stored_star(t, spark, scratch, name):
+    from tidemark.plans import materialize
+
+    star = materialize.write_star(t, os.path.join(scratch, f"pruned-{name}"))
+    text = plan(registry.run(name, star))
+    found = " ".join(re.findall(r"PartitionFilters: (.*)", text))
+    assert "status_part" in found and "Active" in found

@@ -65,14 +65,14 @@ def latest_event(t: Tables) -> datetime | None:
 def calendar_month(t: Tables, year: int | None, month: int | None) -> tuple[date | None, date | None]:
     """(first, last) calendar-table day of a month; (None, None) if the
     calendar has no day in it. When the calendar is known to hold every day of
-    a range (``Tables.cache["calendar_span"]``, set by ``load_star``), the
+    a range (``Tables.calendar_span``, set by ``load_star``), the
     bounds follow from the range; otherwise they are looked up."""
     if year is None or month is None:
         return (None, None)
 
     def compute():
-        span = t.cache.get("calendar_span")
-        if span is not None:
+        if t.calendar_span is not None:
+            span = _cached(t, "calendar_span", t.calendar_span)
             # the star's calendar is every day of a known range: no job needed
             lo = max(span[0], date(year, month, 1))
             hi = min(span[1], date(year, month, monthrange(year, month)[1]))

@@ -1,34 +1,17 @@
 """Join helpers.
 
-Broadcast is used only behind a size check. Dimensions that grow with the data
-(accounts, contacts) are never hinted: Catalyst/AQE pick the strategy from
-runtime statistics (``spark.sql.adaptive.autoBroadcastJoinThreshold``) and fall
-back to a shuffle join beyond it.
+No dimension is hinted: AQE broadcasts a side it has measured below
+``spark.sql.adaptive.autoBroadcastJoinThreshold`` and shuffles beyond it.
+Dimension keys are unique (``dim_accounts`` has one row per account, and so on);
+views that count rows after such a join rely on it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.sources.star import Tables
 
-# Row bound under which a small dimension (products, plans, calendar) is
-# broadcast; above it the join is left to the planner.
-SMALL_DIM_ROWS = 100_000
-
-
-def small_dim(t: Tables, name: str, max_rows: int = SMALL_DIM_ROWS) -> DataFrame:
-    """``F.broadcast(dim)`` if the dimension has at most ``max_rows`` rows,
-    else the plain DataFrame. The check (``limit(max_rows+1).count()``) runs
-    once per load and stops reading after ``max_rows + 1`` rows."""
-    df = getattr(t, name)
-    key = ("small_dim", name, max_rows)
-    if key not in t.cache:
-        t.cache[key] = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if t.cache[key] else df
-
-
 def account_attrs(t: Tables, *cols: str) -> DataFrame:
     """dim_accounts projected to the key and the wanted attributes."""
     return t.accounts.select("account_sk", *cols)

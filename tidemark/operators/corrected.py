@@ -20,10 +20,11 @@ from tidemark.sources.star import Tables
 def seat_utilization_exact(t: Tables, p: Params) -> DataFrame:
     """Seats of the open Active subscriptions (V4's rows) counted once each,
     instead of once per open Active subscription of the account (V14)."""
-    subs = in_dim(t.subscriptions.where((F.col("status") == ACTIVE) & F.col("end_date").isNull()),
-                t.accounts, "account_sk")
-    s = subs.agg(F.sum("seat_commit").alias("total_seat_commits"),
-                 F.sum("seat_provisioned").alias("total_seat_provisions"))
+    per_account = (t.subscriptions.where((F.col("status") == ACTIVE) & F.col("end_date").isNull())
+                   .groupBy("account_sk").agg(F.sum("seat_commit").alias("commit"),
+                                              F.sum("seat_provisioned").alias("provisioned")))
+    s = in_dim(per_account, t.accounts, "account_sk").agg(
+        F.sum("commit").alias("total_seat_commits"), F.sum("provisioned").alias("total_seat_provisions"))
     return s.select("total_seat_commits", "total_seat_provisions",
                     ratio(F.col("total_seat_provisions"), F.col("total_seat_commits"))
                     .alias("seat_utilization"))
@@ -35,7 +36,7 @@ def nrr_account_level(t: Tables, p: Params) -> DataFrame:
     of the subscriptions, reduced to one row per account."""
     d, base = A.latest_start(t), revenue.nrr_base_day(t, p)
     now, then = live_at(d, d), live_at(base, base)
-    per_account = in_dim(t.subscriptions.groupBy("account_sk").agg(
+    per_account = in_dim(t.subscriptions.where(now | then).groupBy("account_sk").agg(
         F.count_if(then).alias("n_prior"),
         F.sum(F.when(then, F.col("net_mrr_usd"))).alias("mrr_prior"),
         F.sum(F.when(now, F.col("net_mrr_usd"))).alias("mrr_now")), t.accounts, "account_sk")

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
 from tidemark.functions.fixed import ACTIVE, ACTIVE_LIKE, CHURNED, NOT_CHURNED
-from tidemark.functions.joins import account_attrs, in_dim, small_dim
+from tidemark.functions.joins import account_attrs, in_dim
 from tidemark.functions.predicates import ATTRS, SLICE, is_active_status, open_at
-from tidemark.functions.views import parent
+from tidemark.functions.views import parent, stored
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -95,20 +95,31 @@ def churn_status(t: Tables, p: Params) -> DataFrame:
     """Every account with subscriptions (no date filter, no dim join;
     NULL account keys dropped): its statuses and churn flag.
 
-    agg_status lists each distinct status once, sorted, comma-separated (NULL
-    if all are NULL). The original concatenates one entry per subscription in
-    no defined order, which grows without bound for a large account; the set of
-    statuses it carries, and so the churn flag, is the same. collect_set is
-    de-duplicated map-side, so no task ever holds more than the distinct
-    statuses of an account.
+    The original concatenates one status per subscription in no defined order,
+    a string that grows without bound for a large account. What it holds is
+    kept in bounded form: agg_status lists each status once, sorted, and
+    status_counts how many subscriptions have it (`Active:2,Paused:1`); both
+    are NULL if all statuses are NULL.
     """
-    statuses = F.array_sort(F.collect_set("status"))
-    agg = (t.subscriptions.where(F.col("account_sk").isNotNull())
-           .groupBy("account_sk").agg(statuses.alias("s")))
+    return _churn_status(_status_counts(t))
+
+
+def _status_counts(t: Tables) -> DataFrame:
+    """One row per account and status: a hash aggregate on the raw rows,
+    combined map-side whatever the size of the account."""
+    return (t.subscriptions.where(F.col("account_sk").isNotNull())
+            .groupBy("account_sk", "status").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _churn_status(counts: DataFrame) -> DataFrame:
+    known = F.when(F.col("status").isNotNull(), F.struct("status", "n"))
+    agg = counts.groupBy("account_sk").agg(F.array_sort(F.collect_list(known)).alias("s"))
+    pairs = F.transform("s", lambda x: F.concat(x["status"], F.lit(":"), x["n"].cast("string")))
     return agg.select(
         "account_sk",
-        F.when(F.size("s") > 0, F.array_join("s", ",")).alias("agg_status"),
-        F.when(F.exists("s", lambda x: x.like(ACTIVE_LIKE)), NOT_CHURNED)
+        F.when(F.size("s") > 0, F.array_join(F.col("s.status"), ",")).alias("agg_status"),
+        F.when(F.size("s") > 0, F.array_join(pairs, ",")).alias("status_counts"),
+        F.when(F.exists("s", lambda x: x["status"].like(ACTIVE_LIKE)), NOT_CHURNED)
         .otherwise(CHURNED).alias("churned_status"),
     )
 
@@ -117,10 +128,13 @@ def _accounts_since_year_start(t: Tables, p: Params, status: str) -> DataFrame:
     y0 = A.year_start(A.latest_start(t))
     new = (t.accounts.where(F.col("created_at") >= A.date_lit(y0))
            .withColumn("year_begin_date", A.date_lit(y0)))
-    flags = parent(t, p, churn_status).where(F.col("churned_status") == status)
-    return new.join(flags, "account_sk").select(
+    flags = stored(t, p, churn_status)
+    if flags is None:
+        # Only the new accounts' statuses are gathered.
+        flags = _churn_status(in_dim(_status_counts(t), new.select("account_sk").distinct(), "account_sk"))
+    return new.join(flags.where(F.col("churned_status") == status), "account_sk").select(
         "account_sk", "segment", "industry", "hq_country", "created_at",
-        "year_begin_date", "agg_status", "churned_status")
+        "year_begin_date", "agg_status", "status_counts", "churned_status")
 
 
 def active_users(t: Tables, p: Params) -> DataFrame:
@@ -145,8 +159,8 @@ def renewals_due(t: Tables, p: Params) -> DataFrame:
         (F.col("status") == ACTIVE)
         & F.col("renewal_date").between(A.date_lit(lo), A.date_lit(hi)))
     return (in_dim(subs, t.accounts, "account_sk")
-            .join(small_dim(t, "products"), "product_sk")
-            .join(small_dim(t, "plans"), "plan_sk")
+            .join(t.products, "product_sk")
+            .join(t.plans, "plan_sk")
             .select("account_sk", "subscription_id", "product_name", "plan_name",
                     "status", "renewal_date"))
 
@@ -156,12 +170,16 @@ def renewal_pipeline(t: Tables, p: Params) -> DataFrame:
     return parent(t, p, renewals_due).drop("subscription_id")
 
 
+def flagged_subscriptions(t: Tables) -> DataFrame:
+    """Active subscriptions with the auto-renew flag set either way (NULL flag:
+    in neither view)."""
+    return (t.subscriptions.where((F.col("status") == ACTIVE) & F.col("is_auto_renew").isNotNull())
+            .select("subscription_id", "account_sk", "product_sk", "is_auto_renew"))
+
+
 def auto_renew_subscriptions(t: Tables) -> DataFrame:
-    """Active subscriptions with the auto-renew flag set either way, with
-    their account's slice (NULL flag: in neither view)."""
-    subs = t.subscriptions.where((F.col("status") == ACTIVE) & F.col("is_auto_renew").isNotNull())
-    return (subs.select("subscription_id", "account_sk", "product_sk", "is_auto_renew")
-            .join(account_attrs(t, *ATTRS), "account_sk"))
+    """The flagged subscriptions with their account's slice."""
+    return flagged_subscriptions(t).join(account_attrs(t, *ATTRS), "account_sk")
 
 
 def _auto_renew_counts(t: Tables, flag: bool, name: str) -> DataFrame:

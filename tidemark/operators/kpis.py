@@ -26,11 +26,16 @@ from tidemark.params import Params
 from tidemark.sources.star import Tables
 
 
-def sliced(df: DataFrame, p: Params) -> DataFrame:
-    """Apply the slicers whose column the view has."""
+def sliced(df: DataFrame, p: Params, t: Tables | None = None) -> DataFrame:
+    """Apply the slicers. An account attribute the rows lack is joined to them
+    by account; a name that is neither is an error."""
+    missing = [c for c in p.slicers if c not in df.columns]
+    if missing:
+        if t is None or "account_sk" not in df.columns or not set(missing) <= set(ATTRS):
+            raise ValueError(f"no such slicer: {sorted(set(missing) - set(ATTRS)) or missing}")
+        df = df.join(account_attrs(t, *missing), "account_sk")
     for col, value in p.slicers.items():
-        if col in df.columns:
-            df = df.where(F.col(col) == F.lit(value))
+        df = df.where(F.col(col) == F.lit(value))
     return df
 
 
@@ -47,22 +52,31 @@ def _growth(cur: Column, prior: Column) -> Column:
     return ratio(cur, prior) - 1
 
 
+def _current_mrr(t: Tables, p: Params) -> DataFrame:
+    """V1's rows, or their sums per account and product where V1 isn't stored:
+    totals are equal, and a large account sends a row per product to the join."""
+    v1 = stored(t, p, revenue.mrr_arr_snapshot)
+    if v1 is None:
+        d = A.latest_start(t)
+        v1 = revenue.live_mrr(t, d, d)
+    return sliced(v1, p)
+
+
 def kpi_mrr(t: Tables, p: Params) -> DataFrame:
     """K1: total MRR of the current snapshot (V1)."""
-    return sliced(parent(t, p, revenue.mrr_arr_snapshot), p).agg(F.sum("net_mrr_usd").alias("mrr"))
+    return _current_mrr(t, p).agg(F.sum("net_mrr_usd").alias("mrr"))
 
 
 def kpi_arr(t: Tables, p: Params) -> DataFrame:
     """K2: ARR = 12 * MRR."""
-    return sliced(parent(t, p, revenue.mrr_arr_snapshot), p).agg(
-        (F.sum("net_mrr_usd") * MONTHS_PER_YEAR).alias("arr"))
+    return _current_mrr(t, p).agg((F.sum("net_mrr_usd") * MONTHS_PER_YEAR).alias("arr"))
 
 
 def _mrr_growth(t: Tables, p: Params, prior_view, prior_bounds) -> DataFrame:
     """MRR at D and at a prior snapshot, and the growth. From the two stored
     views when a materialization wrote them; otherwise in one pass: one scan
-    of the subscriptions, one account join, a conditional sum per snapshot
-    (the same `live_at` rules as the views)."""
+    of the subscriptions, a conditional sum per snapshot (the same `live_at`
+    rules as the views) per account and product, then the account join."""
     cur_v, prior_v = stored(t, p, revenue.mrr_arr_snapshot), stored(t, p, prior_view)
     if cur_v is not None and prior_v is not None:
         s = _sum_pair(sliced(cur_v, p), sliced(prior_v, p), "net_mrr_usd")
@@ -70,12 +84,11 @@ def _mrr_growth(t: Tables, p: Params, prior_view, prior_bounds) -> DataFrame:
         d = A.latest_start(t)
         start_by, open_from = prior_bounds(t)
         now, then = live_at(d, d), live_at(start_by, open_from)
-        subs = t.subscriptions.where(now | then).select(
-            "account_sk", "product_sk", "net_mrr_usd",
-            now.alias("now"), then.alias("then"))
-        s = sliced(subs.join(account_attrs(t, *ATTRS), "account_sk"), p).agg(
-            F.sum(F.when(F.col("now"), F.col("net_mrr_usd"))).alias("a"),
-            F.sum(F.when(F.col("then"), F.col("net_mrr_usd"))).alias("b"))
+        per_product = t.subscriptions.where(now | then).groupBy("account_sk", "product_sk").agg(
+            F.sum(F.when(now, F.col("net_mrr_usd"))).alias("now"),
+            F.sum(F.when(then, F.col("net_mrr_usd"))).alias("then"))
+        s = sliced(per_product.join(account_attrs(t, *ATTRS), "account_sk"), p).agg(
+            F.sum("now").alias("a"), F.sum("then").alias("b"))
     return s.select(F.col("a").alias("mrr"), F.col("b").alias("prior_mrr"),
                     _growth(F.col("a"), F.col("b")).alias("mrr_growth"))
 
@@ -130,7 +143,7 @@ def _share(df: DataFrame, key: str, value: str, share: str) -> DataFrame:
 
 def kpi_revenue_share_by_product(t: Tables, p: Params) -> DataFrame:
     """K7: each product's share of current MRR."""
-    per = (sliced(parent(t, p, revenue.mrr_arr_snapshot), p).groupBy("product_sk")
+    per = (_current_mrr(t, p).groupBy("product_sk")
            .agg(F.sum("net_mrr_usd").alias("mrr")))
     return _share(per, "product_sk", "mrr", "revenue_share")
 
@@ -145,14 +158,19 @@ def kpi_active_base_share_by_segment(t: Tables, p: Params) -> DataFrame:
     """K9: distinct accounts with open Active subscriptions (V4) per segment,
     and their share of all such accounts (an account has one segment, so the
     per-segment counts add up to the total)."""
-    per = (sliced(parent(t, p, revenue.fact_mrr_accounts), p).groupBy("segment")
-           .agg(F.count_distinct("account_sk").alias("active_accounts")))
+    v4 = stored(t, p, revenue.fact_mrr_accounts)
+    if v4 is None:
+        # V4's accounts and products, each pair once before the account join
+        v4 = (revenue.open_active(t).groupBy("account_sk", "product_sk").agg(F.count(F.lit(1)).alias("n"))
+              .join(account_attrs(t, *ATTRS), "account_sk"))
+    accounts = sliced(v4, p).select("segment", "account_sk").distinct()
+    per = accounts.groupBy("segment").agg(F.count("account_sk").alias("active_accounts"))
     return _share(per, "segment", "active_accounts", "active_share")
 
 
 def kpi_revenue_by_segment(t: Tables, p: Params) -> DataFrame:
     """Current MRR per segment."""
-    return (sliced(parent(t, p, revenue.mrr_arr_snapshot), p).groupBy("segment")
+    return (_current_mrr(t, p).groupBy("segment")
             .agg(F.sum("net_mrr_usd").alias("mrr")))
 
 
@@ -175,12 +193,18 @@ def kpi_auto_renew_share(t: Tables, p: Params) -> DataFrame:
         s = _sum_pair(sliced(on_v, p).withColumnRenamed("renew_enabled_count", "n"),
                       sliced(off_v, p).withColumnRenamed("renew_disabled_count", "n"), "n")
     else:
-        # one pass: both views' per-slice distinct counts from one aggregate
+        # one pass: each subscription once (both flags if its rows differ), its
+        # account's counts per product, then both views' counts per slice
         flag = F.col("is_auto_renew")
-        per_slice = (sliced(customers.auto_renew_subscriptions(t), p).groupBy(*SLICE).agg(
-            F.count_distinct(F.when(flag, F.col("subscription_id"))).alias("on"),
-            F.count_distinct(F.when(~flag, F.col("subscription_id"))).alias("off"),
-            F.max(flag).alias("any_on"), F.max(~flag).alias("any_off")))
+        each = customers.flagged_subscriptions(t).groupBy("account_sk", "product_sk", "subscription_id").agg(
+            F.max(flag).alias("on"), F.max(~flag).alias("off"))
+        known = F.col("subscription_id").isNotNull()
+        per_product = each.groupBy("account_sk", "product_sk").agg(
+            F.count_if(F.col("on") & known).alias("on"), F.count_if(F.col("off") & known).alias("off"),
+            F.max("on").alias("any_on"), F.max("off").alias("any_off"))
+        per_slice = sliced(per_product.join(account_attrs(t, *ATTRS), "account_sk"), p).groupBy(*SLICE).agg(
+            F.sum("on").alias("on"), F.sum("off").alias("off"),
+            F.max("any_on").alias("any_on"), F.max("any_off").alias("any_off"))
         # a slice counts in a view only if the view has its row
         s = per_slice.agg(F.sum(F.when(F.col("any_on"), F.col("on"))).alias("a"),
                           F.sum(F.when(F.col("any_off"), F.col("off"))).alias("b"))
@@ -194,10 +218,9 @@ def kpi_feature_adoption(t: Tables, p: Params) -> DataFrame:
     adopted_v = stored(t, p, usage.feature_usage_adopted_users)
     active_v = stored(t, p, usage.feature_usage_active_users)
     if adopted_v is not None and active_v is not None:
-        adopted = sliced(adopted_v, p).select(
-            F.col("feature_users").alias("account_sk"), "product_sk").distinct()
-        tagged = (adopted.select(F.lit(True).alias("is_a"))
-                  .unionByName(sliced(active_v, p).select(F.lit(False).alias("is_a"))))
+        adopted = adopted_v.select(F.col("feature_users").alias("account_sk"), "product_sk").distinct()
+        tagged = (sliced(adopted, p, t).select(F.lit(True).alias("is_a"))
+                  .unionByName(sliced(active_v, p, t).select(F.lit(False).alias("is_a"))))
         s = tagged.agg(F.count_if(F.col("is_a")).alias("adopted_accounts"),
                        F.count_if(~F.col("is_a")).alias("active_accounts"))
     else:
@@ -208,8 +231,8 @@ def kpi_feature_adoption(t: Tables, p: Params) -> DataFrame:
             *keys, F.lit(True).alias("active"), F.lit(False).alias("used"))
         used = t.events.where(F.col("feature_sk").isNotNull()).select(
             *keys, F.lit(False).alias("active"), F.lit(True).alias("used"))
-        per_pair = sliced(pairs.unionByName(used), p).groupBy(*keys).agg(
-            F.max("active").alias("active"), F.max("used").alias("used"))
+        per_pair = sliced(pairs.unionByName(used).groupBy(*keys).agg(
+            F.max("active").alias("active"), F.max("used").alias("used")), p, t)
         joinable = F.col("account_sk").isNotNull() & F.col("product_sk").isNotNull()
         s = per_pair.agg(
             F.count_if(F.col("active") & F.col("used") & joinable).alias("adopted_accounts"),
@@ -222,12 +245,19 @@ def kpi_device_adoption(t: Tables, p: Params) -> DataFrame:
     """Per device, distinct contacts with feature_use events over
     distinct contacts with any event. Distinct counts do not add across V27's
     rows, so this is recomputed from events (a rate per device, not a split:
-    the rates of all devices may sum past 100 %)."""
-    ev = sliced(t.events, p)
+    the rates of all devices may sum past 100 %). Slicers apply to the events'
+    products and to their accounts."""
     used = (F.col("event_type") == FEATURE_USE) & F.col("feature_sk").isNotNull()
-    agg = ev.groupBy("device_type").agg(
-        F.count_distinct(F.when(used, F.col("contact_sk"))).alias("feature_users"),
-        F.count_distinct("contact_sk").alias("total_users"))
+    ev = t.events
+    if p.slicers:
+        # only what the slicers need, reduced before the account join
+        keys = ["device_type", "contact_sk", "account_sk", *[c for c in p.slicers if c in ev.columns]]
+        ev = sliced(ev.groupBy(*dict.fromkeys(keys)).agg(F.max(used).alias("used")), p, t)
+        used = F.col("used")
+    per_contact = ev.groupBy("device_type", "contact_sk").agg(F.max(used).alias("used"))
+    known = F.col("contact_sk").isNotNull()
+    agg = per_contact.groupBy("device_type").agg(
+        F.count_if(F.col("used") & known).alias("feature_users"), F.count_if(known).alias("total_users"))
     return agg.select("device_type", "feature_users", "total_users",
                       ratio(F.col("feature_users"), F.col("total_users")).alias("adoption_rate"))
 
@@ -238,9 +268,15 @@ def kpi_mrr_trend(t: Tables, p: Params) -> DataFrame:
 
     One pipeline: V4 summed per (account, month); the account's first month
     is a window minimum over its few month rows; then one row per month."""
-    v4 = sliced(parent(t, p, revenue.fact_mrr_accounts), p)
     month = F.make_date(F.year("start_date"), F.month("start_date"), F.lit(1))
-    per_account_month = v4.groupBy("account_sk", month.alias("month")).agg(
+    v4 = stored(t, p, revenue.fact_mrr_accounts)
+    if v4 is None:
+        v4 = (revenue.open_active(t).groupBy("account_sk", "product_sk", month.alias("month"))
+              .agg(F.sum("net_mrr_usd").alias("net_mrr_usd"))
+              .join(account_attrs(t, *ATTRS), "account_sk"))
+    else:
+        v4 = v4.withColumn("month", month)
+    per_account_month = sliced(v4, p).groupBy("account_sk", "month").agg(
         F.sum("net_mrr_usd").alias("mrr"))
     first = F.col("month").eqNullSafe(F.min("month").over(Window.partitionBy("account_sk")))
     monthly = (per_account_month.select("month", "mrr", first.alias("first"))

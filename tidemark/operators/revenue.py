@@ -41,11 +41,15 @@ def mrr_arr_snapshot(t: Tables, p: Params) -> DataFrame:
     return snapshot(t, d, d)
 
 
+def open_active(t: Tables) -> DataFrame:
+    """Active subscriptions with no end date."""
+    return t.subscriptions.where((F.col("status") == ACTIVE) & F.col("end_date").isNull())
+
+
 def fact_mrr_accounts(t: Tables, p: Params) -> DataFrame:
     """V4: Active subscriptions with no end date (stricter than V1: no anchor,
     and a future end date excludes)."""
-    subs = t.subscriptions.where((F.col("status") == ACTIVE) & F.col("end_date").isNull())
-    return (subs.select("account_sk", "product_sk", "start_date", "net_mrr_usd")
+    return (open_active(t).select("account_sk", "product_sk", "start_date", "net_mrr_usd")
             .join(account_attrs(t, *ATTRS), "account_sk")
             .select("account_sk", "product_sk", *ATTRS, "start_date", "net_mrr_usd"))
 
@@ -97,7 +101,9 @@ def nrr_by_account_product(t: Tables, p: Params) -> DataFrame:
     mrr_prior is the base-day MRR of the product's rows."""
     d, base = A.latest_start(t), nrr_base_day(t, p)
     now, then = live_at(d, d), live_at(base, base)
-    per_product = t.subscriptions.groupBy("account_sk", "product_sk").agg(
+    # Only rows live at one of the two days count: the status and date bounds
+    # reach the scan (and prune the stored star's status partitions).
+    per_product = t.subscriptions.where(now | then).groupBy("account_sk", "product_sk").agg(
         F.count_if(then).alias("n_prior"),
         F.sum(F.when(then, F.col("net_mrr_usd"))).alias("mrr_prior"),
         F.count_if(now).alias("n_now_p"),
@@ -157,6 +163,14 @@ def _per_account_product(subs: DataFrame) -> DataFrame:
     return subs.groupBy("account_sk", "product_sk").agg(F.sum("net_mrr_usd").alias("mrr"))
 
 
+def live_mrr(t: Tables, start_by: date | None, open_from: date | None) -> DataFrame:
+    """A snapshot's MRR per account and product, with the account's attributes:
+    what totals over `snapshot` need, without a row per subscription."""
+    return (_per_account_product(t.subscriptions.where(live_at(start_by, open_from)))
+            .join(account_attrs(t, *ATTRS), "account_sk")
+            .select("account_sk", *SLICE, F.col("mrr").alias("net_mrr_usd")))
+
+
 def acv(t: Tables, p: Params) -> DataFrame:
     """Annualised MRR of Active subs started this year (Jan 1 of D's year
     .. D), per account and slice. The account key is grouped on but not
@@ -168,12 +182,13 @@ def acv(t: Tables, p: Params) -> DataFrame:
 
 def arpa(t: Tables, p: Params) -> DataFrame:
     """Annual revenue per account, per slice: SUM(net_mrr)*12 over the
-    distinct accounts of the slice. Published as float8."""
+    distinct accounts of the slice (one row an account, as the slice holds the
+    product and dim_accounts has a row per key). Published as float8."""
     return (_per_account_product(_ytd_active(t))
             .join(account_attrs(t, *ATTRS), "account_sk")
             .groupBy(*SLICE)
             .agg(((F.sum("mrr") * MONTHS_PER_YEAR).cast("double")
-                  / F.count_distinct("account_sk")).alias("annual_arpa")))
+                  / F.count("account_sk")).alias("annual_arpa")))
 
 
 def churn_revenue(t: Tables, p: Params) -> DataFrame:

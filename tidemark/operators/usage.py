@@ -87,7 +87,7 @@ def feature_usage_adopted_users(t: Tables, p: Params) -> DataFrame:
 
 def _adoption(t: Tables, p: Params) -> DataFrame:
     feat = (adopted_triples(t, p).groupBy("product_sk", "feature_sk")
-            .agg(F.count_distinct("account_sk").alias("feature_users")))
+            .agg(F.count("account_sk").alias("feature_users")))  # the triples are distinct
     # From the same pairs the triples join to (a NULL account is not counted
     # and a NULL product finds no feature row either way): one scan of the
     # subscriptions, whose exchange both branches share.
@@ -176,18 +176,19 @@ def adoption_devices(t: Tables, p: Params) -> DataFrame:
     events on the feature, over distinct contacts with any event on the
     (product, device).
 
-    One scan of events: first one row per (product, device, contact) with the
-    set of features it used (de-duplicated map-side; the set is bounded by the
-    number of features), then each such row is exploded into a NULL marker
-    (counts toward the total) plus one row per used feature, and one count per
-    (product, device, item) gives both numbers. NULL contacts make groups but
-    are not counted, as in COUNT(DISTINCT).
+    One scan of events: first a hash aggregate to distinct (product, device,
+    contact, used feature), then one row per (product, device, contact) with
+    its features, exploded into a NULL marker (counts toward the total) plus
+    one row per used feature; one count per (product, device, item) gives both
+    numbers. NULL contacts make groups but are not counted, as in
+    COUNT(DISTINCT).
     """
     keys = ["product_sk", "device_type"]
     per_contact = (t.events
                    .select(*keys, "contact_sk",
                            F.when(_feature_use(), F.col("feature_sk")).alias("f"))
-                   .groupBy(*keys, "contact_sk").agg(F.collect_set("f").alias("feats")))
+                   .distinct()
+                   .groupBy(*keys, "contact_sk").agg(F.collect_list("f").alias("feats")))
     items = F.concat(F.array(F.lit(None).cast("bigint")), F.col("feats"))
     counts = (per_contact
               .select(*keys, F.col("contact_sk").isNotNull().cast("int").alias("c"),

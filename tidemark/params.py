@@ -1,7 +1,7 @@
 """Run parameters.
 
 Wall-clock reads and hard-coded windows of the original report SQL are
-parameters here; the defaults are the original literals.
+parameters here; the defaults are the original's, the current date included.
 """
 
 from __future__ import annotations
@@ -10,10 +10,14 @@ from dataclasses import dataclass, field
 from datetime import date, datetime
 
 
+def today() -> date:
+    return date.today()
+
+
 @dataclass(frozen=True)
 class Params:
-    # Stands in for CURRENT_DATE (renewal pipeline, active feature users).
-    as_of: date = date(2025, 8, 1)
+    # CURRENT_DATE of the original (renewal pipeline, active feature users).
+    as_of: date = field(default_factory=lambda: today())
     # Renewal look-ahead in days (`CURRENT_DATE + INTERVAL '90 Days'`).
     renewal_days: int = 90
     # NRR base looks back this many months from the latest start date.

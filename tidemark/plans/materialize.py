@@ -13,9 +13,9 @@ Layout of the stored star:
   each task writes a contiguous time slice (few files per month, time-sorted
   row groups) and the views' month windows prune partitions and row groups.
   The secondary key splits a timestamp that holds many rows.
-* ``fact_subscriptions``: partitioned by ``status`` (most views filter on
-  it; NULL goes to the default partition) and range-clustered by
-  (start_date, subscription_id), so start-date bounds skip row groups.
+* ``fact_subscriptions``: partitioned by the status (most views filter on it),
+  marked with ``=`` so that an empty status stays apart from NULL, and sorted
+  by (start_date, subscription_id), so start-date bounds skip row groups.
 * dimensions: written as they are.
 
 Every write is a single Spark job that overwrites its own folder; a failed
@@ -35,7 +35,7 @@ from tidemark.operators.usage import EVENT_MONTH
 from tidemark.params import Params
 from tidemark.plans.registry import ALL, DEPENDS
 from tidemark.session import shared_dir
-from tidemark.sources.star import STAR_TABLES, Tables, read_star
+from tidemark.sources.star import STAR_TABLES, STATUS_PART, Tables, read_star
 
 
 def _done(path: str) -> bool:
@@ -47,10 +47,13 @@ def _star_frame(t: Tables, attr: str) -> tuple[DataFrame, list[str]]:
     if attr == "events":
         ts = F.col("event_timestamp")
         df = (df.withColumn(EVENT_MONTH, F.make_date(F.year(ts), F.month(ts), F.lit(1)))
-              .repartitionByRange(ts, F.col("event_sk")))
+              .repartitionByRange(ts, F.col("event_sk")).sortWithinPartitions(EVENT_MONTH, ts, "event_sk"))
         return df, [EVENT_MONTH]
     if attr == "subscriptions":
-        return df.repartitionByRange(F.col("start_date"), F.col("subscription_id")), ["status"]
+        # Marked, since partition values cannot tell an empty string from NULL.
+        df = df.withColumn(STATUS_PART, F.concat(F.lit("="), F.col("status"))).drop("status")
+        keys = [F.col("start_date"), F.col("subscription_id")]
+        return df.repartitionByRange(*keys).sortWithinPartitions(STATUS_PART, *keys), [STATUS_PART]
     return df, []
 
 

@@ -23,7 +23,6 @@ from tidemark.sources.raw import read_raw
 # shift that moves order dates into the subscription era, the renewal base,
 # the number of products, and the raw-to-product event-type mapping.
 CALENDAR_START = date(2019, 1, 1)
-CALENDAR_END = date(2026, 12, 31)
 ACCOUNT_EPOCH = date(2019, 1, 1)
 START_SHIFT_DAYS = 8766
 RENEWAL_BASE = date(2025, 6, 2)
@@ -59,6 +58,10 @@ STAR_TABLES: dict[str, tuple[str, str]] = {
 }
 
 
+# Partition column of a subscription fact stored by plans.materialize: "=" and the status.
+STATUS_PART = "status_part"
+
+
 class Tables:
     """The seven star tables plus a per-load cache of anchor scalars and size
     checks, so a batch of views computes each once.
@@ -77,6 +80,8 @@ class Tables:
         self._spark = spark
         self._tables = dict(tables)
         self.cache: dict = {}
+        # () -> (first, last) day of a calendar known to hold every day between.
+        self.calendar_span = None
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in Tables.NAMES:
@@ -96,11 +101,8 @@ def _days(n: Column) -> Column:
 
 
 def dim_accounts(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    # nation has a fixed 25 rows at every scale factor: broadcast is bounded.
     key = F.col("c_custkey")
-    return customer.join(
-        F.broadcast(nation), customer.c_nationkey == nation.n_nationkey
-    ).select(
+    return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
         key.alias("account_sk"),
         F.col("c_mktsegment").alias("segment"),
         F.concat(F.lit("IND_"), (key % 7).cast("string")).alias("industry"),
@@ -165,10 +167,12 @@ def fact_events(events: DataFrame) -> DataFrame:
 
 def dim_products(part: DataFrame) -> DataFrame:
     # One row per product class; the name is that of the class's lowest part.
-    # Output is bounded by N_PRODUCTS whatever the size of `part`.
-    return part.groupBy((F.col("p_partkey") % N_PRODUCTS).alias("product_sk")).agg(
-        F.min_by("p_name", "p_partkey").alias("product_name")
-    )
+    # The lowest keys (at most N_PRODUCTS, from a hash aggregate over the key
+    # column) are resolved once, as anchors are, and the scan filters on them.
+    sk = F.col("p_partkey") % N_PRODUCTS
+    lowest = [r[0] for r in part.groupBy(sk.alias("sk")).agg(F.min("p_partkey")).select("min(p_partkey)").collect()]
+    return part.where(F.col("p_partkey").isin([k for k in lowest if k is not None])).select(
+        sk.alias("product_sk"), F.col("p_name").alias("product_name"))
 
 
 def dim_plans(region: DataFrame) -> DataFrame:
@@ -183,11 +187,23 @@ def dim_contacts(customer: DataFrame) -> DataFrame:
     )
 
 
-def dim_date(spark: SparkSession, start: date = CALENDAR_START, end: date = CALENDAR_END) -> DataFrame:
+def dim_date(spark: SparkSession, start: date, end: date) -> DataFrame:
     n_days = (end - start).days + 1
     return spark.range(n_days).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("date"))
 
 
+def whole_years(t: Tables):
+    """The calendar's span: whole years up to that of the latest subscription
+    start or account creation (looked up when first asked for)."""
+    def span() -> tuple[date, date]:
+        from tidemark.functions.anchors import latest_created, latest_start
+
+        last = max((d for d in (latest_start(t), latest_created(t)) if d), default=CALENDAR_START)
+        return (CALENDAR_START, date(last.year, 12, 31))
+
+    return span
+
+
 def load_star(spark: SparkSession, sf_dir: str) -> Tables:
     """The star over the raw tables in ``sf_dir`` (lazy: nothing is read or
     planned until a table is used)."""
@@ -202,9 +218,10 @@ def load_star(spark: SparkSession, sf_dir: str) -> Tables:
         contacts=lambda: dim_contacts(read("customer")),
         products=lambda: dim_products(read("part")),
         plans=lambda: dim_plans(read("region")),
-        dates=lambda: dim_date(spark),
+        dates=lambda: dim_date(spark, *t.calendar_span()),
     )
-    t.cache["calendar_span"] = (CALENDAR_START, CALENDAR_END)  # dim_date: every day of it
+
+    t.calendar_span = whole_years(t)
     return t
 
 
@@ -212,7 +229,16 @@ def read_star(spark: SparkSession, star_dir: str) -> Tables:
     """A star already stored as parquet, one folder per table named as in the
     report SQL (``dim_accounts``, ``fact_subscriptions``, ...)."""
     def reader(table: str, schema: str):
-        return lambda: spark.read.schema(schema).parquet(f"{star_dir.rstrip('/')}/{table}")
+        path = f"{star_dir.rstrip('/')}/{table}"
+
+        def read() -> DataFrame:
+            if table == "fact_subscriptions" and STATUS_PART in spark.read.parquet(path).columns:
+                own = spark.read.schema(schema.replace("status STRING", f"{STATUS_PART} STRING")).parquet(path)
+                # A filter on this expression of the partition column prunes partitions.
+                own = own.withColumn("status", F.expr(f"substring({STATUS_PART}, 2)"))
+                return own.select(*[c.split()[0] for c in schema.replace("(12,2)", "").split(", ")])
+            return spark.read.schema(schema).parquet(path)
+        return read
 
     return Tables(spark, **{attr: reader(table, schema)
                             for attr, (table, schema) in STAR_TABLES.items()})
