@@ -37,11 +37,12 @@ def built(spark, scratch):
 def test_star_round_trip(spark, built):
     from tidemark.sources.star import read_star
     src, out, _ = built
-    stored = read_star(spark, os.path.join(out, "star"))
+    star = os.path.join(materialize.current(spark, out), "star")
+    stored = read_star(spark, star)
     for attr in ("accounts", "subscriptions", "events"):
         a, b = getattr(src, attr), getattr(stored, attr).select(*getattr(src, attr).columns)
         assert multiset(a) == multiset(b), attr
-    assert os.path.isdir(os.path.join(out, "star", "fact_events", "event_month=2025-08-01"))
+    assert os.path.isdir(os.path.join(star, "fact_events", "event_month=2025-08-01"))
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
@@ -59,6 +60,41 @@ def test_resume_skips_finished(spark, built):
     assert os.path.getmtime(os.path.join(paths["mrr_arr_snapshot"], "_SUCCESS")) == mtime
 
 
+def test_other_params_or_input_start_a_new_run(spark, scratch):
+    from datetime import date
+    from tidemark.sources.star import read_star
+
+    src = os.path.join(scratch, "changing")
+    write_star(spark, src)
+    out = "file://" + os.path.join(scratch, "changing-out")
+    build = lambda p: materialize.build_all(read_star(spark, src), p, out, names=["renewals_due"], resume=True)
+    first, other = build(Params()), build(Params(as_of=date(2025, 10, 1)))
+    assert first != other and materialize.current(spark, out) in other["renewals_due"]
+    direct = registry.run("renewals_due", read_star(spark, src), Params(as_of=date(2025, 10, 1)))
+    assert multiset(registry.publish(spark.read.parquet(other["renewals_due"]))) == multiset(direct)
+    assert spark.read.parquet(first["renewals_due"]).count() > 0     # the old snapshot stays
+    assert build(Params()) == first
+    read_star(spark, src).contacts.limit(1).write.mode("append").parquet(f"{src}/dim_contacts")
+    assert build(Params()) != first
+
+
+def test_live_view_after_an_append(spark, scratch):
+    from pyspark.sql import functions as F
+    from tidemark.plans import catalog
+    from tidemark.sources.star import read_star
+
+    src = os.path.join(scratch, "growing")
+    write_star(spark, src)
+    load = lambda: read_star(spark, src)
+    before = multiset(catalog.live(load, "monthwise_cancelled"))
+    later = load().subscriptions.where("subscription_id IS NOT NULL").withColumn(
+        "subscription_id", F.col("subscription_id") + 9000).withColumn("start_date", F.add_months("start_date", 12))
+    later = spark.createDataFrame(later.collect(), later.schema)
+    later.write.mode("append").parquet(f"{src}/fact_subscriptions")
+    after = multiset(catalog.live(load, "monthwise_cancelled"))
+    assert after == multiset(registry.run("monthwise_cancelled", load())) != before
+
+
 def test_views_by_name(spark, built):
     from tidemark.plans import catalog
     src, out, _ = built
@@ -66,6 +102,6 @@ def test_views_by_name(spark, built):
     assert names == ["live_mrr_arr_snapshot", "live_kpi_mrr"]
     live = spark.sql("SELECT sum(net_mrr_usd) AS s FROM live_mrr_arr_snapshot").collect()[0].s
     assert live == pytest.approx(spark.sql("SELECT mrr FROM live_kpi_mrr").collect()[0].mrr)
-    stored = catalog.register_stored(spark, os.path.join(out, "views"), prefix="mv_")
+    stored = catalog.register_stored(spark, f"file://{materialize.current(spark, out)}/views", prefix="mv_")
     assert len(stored) == len(ALL)
     assert spark.sql("SELECT count(*) AS n FROM mv_dim_device").collect()[0].n == 3

@@ -35,7 +35,7 @@ def main(argv=None) -> int:
         p = sub.add_parser(name)
         p.add_argument("--sf-dir", default=DEFAULT_DIR)
         if name != "build":
-            p.add_argument("--star", help="stored star folder (from build) instead of raw tables")
+            p.add_argument("--star", help="folder of a build (or a stored star) instead of raw tables")
         p.add_argument("--as-of", type=date.fromisoformat, default=Params().as_of)
         if name == "show":
             p.add_argument("name", choices=sorted(registry.ALL))
@@ -53,7 +53,7 @@ def main(argv=None) -> int:
         return 0
     spark = local_session()
     star = getattr(args, "star", None)
-    t = read_star(spark, star) if star else load_star(spark, args.sf_dir)
+    t = read_star(spark, materialize.current_star(spark, star)) if star else load_star(spark, args.sf_dir)
     params = Params(as_of=args.as_of)
     if args.cmd == "show":
         registry.run(args.name, t, params).show(args.rows, truncate=False)

@@ -2,20 +2,20 @@
 name by the dashboard).
 
 ``register_views`` registers each result as a session temp view over its
-plan: every read re-runs the plan on the current tables, like the original's
-plain views (anchors resolved at registration). ``register_stored`` registers
+plan. Every read re-runs the plan, with the anchors of the registration;
+``live`` is the original's plain view: it resolves the anchors anew at each
+call. ``register_stored`` registers
 the copies written by ``materialize.build_all``, like its materialized views.
 Names are the query keys, optionally prefixed.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 from tidemark.params import Params
 from tidemark.plans.registry import ALL, run
+from tidemark.sources import paths as files
 from tidemark.sources.star import Tables
 
 
@@ -27,11 +27,17 @@ def register_views(t: Tables, p: Params | None = None, names=None, prefix: str =
     return done
 
 
+def live(load, name: str, p: Params | None = None):
+    """The result over ``load()``, a fresh Tables: anchors, calendar and current
+    date are those of the call."""
+    return run(name, load(), p or Params())
+
+
 def register_stored(spark: SparkSession, views_dir: str, prefix: str = "") -> list[str]:
     done = []
     for name in ALL:
-        path = os.path.join(views_dir, name)
-        if os.path.exists(os.path.join(path, "_SUCCESS")):
+        path = f"{views_dir.rstrip('/')}/{name}"
+        if files.exists(spark, f"{path}/_SUCCESS"):
             spark.read.parquet(path).createOrReplaceTempView(prefix + name)
             done.append(prefix + name)
     return done

@@ -18,14 +18,17 @@ Layout of the stored star:
   by (start_date, subscription_id), so start-date bounds skip row groups.
 * dimensions: written as they are.
 
-Every write is a single Spark job that overwrites its own folder; a failed
-task is retried by Spark, and with ``resume=True`` a rerun skips outputs whose
-``_SUCCESS`` marker exists, so a lost job does not redo finished views.
+Every build goes to a run folder of its own; the file ``CURRENT`` names the
+last finished one and is replaced at the end, so readers keep a whole, unchanged
+snapshot meanwhile. A run records what it was built from (Params and the state
+of the input files). With ``resume=True`` a rerun continues the newest run of
+the same key and skips outputs that have their ``_SUCCESS`` marker; any other
+Params or input start a new run. Paths may be URIs.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +38,15 @@ from tidemark.operators.usage import EVENT_MONTH
 from tidemark.params import Params
 from tidemark.plans.registry import ALL, DEPENDS
 from tidemark.session import shared_dir
+from tidemark.sources import paths as files
 from tidemark.sources.star import STAR_TABLES, STATUS_PART, Tables, read_star
 
 
-def _done(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS"))
+_KEY, _CURRENT = "KEY", "CURRENT"
+
+
+def _done(spark, path: str) -> bool:
+    return files.exists(spark, f"{path}/_SUCCESS")
 
 
 def _star_frame(t: Tables, attr: str) -> tuple[DataFrame, list[str]]:
@@ -57,12 +64,11 @@ def _star_frame(t: Tables, attr: str) -> tuple[DataFrame, list[str]]:
     return df, []
 
 
-def write_star(t: Tables, out_dir: str, resume: bool = False, skip=()) -> Tables:
-    """Write the star tables under ``out_dir`` (except the attributes in
-    ``skip``, e.g. events fed by a stream) and return Tables reading them."""
+def write_star(t: Tables, out_dir: str, resume: bool = False) -> Tables:
+    """Write the star tables under ``out_dir`` and return Tables reading them."""
     for attr, (table, _) in STAR_TABLES.items():
-        path = os.path.join(out_dir, table)
-        if attr in skip or (resume and _done(path)):
+        path = f"{out_dir.rstrip('/')}/{table}"
+        if resume and _done(t.spark, path):
             continue
         df, parts = _star_frame(t, attr)
         writer = df.write.mode("overwrite")
@@ -96,8 +102,8 @@ def build_views(t: Tables, p: Params, out_dir: str, names=None, resume: bool = F
     spark = t.spark
     paths = {}
     for name in order(names or list(ALL)):
-        path = os.path.join(out_dir, name)
-        if not (resume and _done(path)):
+        path = f"{out_dir.rstrip('/')}/{name}"
+        if not (resume and _done(spark, path)):
             ALL[name](t, p).write.mode("overwrite").parquet(path)
         t.cache[stored_key(name, p)] = spark.read.parquet(path)
         paths[name] = path
@@ -106,9 +112,34 @@ def build_views(t: Tables, p: Params, out_dir: str, names=None, resume: bool = F
 
 def build_all(t: Tables, p: Params | None = None, out_dir: str | None = None,
               names=None, resume: bool = False) -> dict[str, str]:
-    """Store the star, then every view. ``out_dir`` defaults to a folder under
-    the cluster's shared ``spark.checkpoint.dir``."""
+    """Store the star, then every view, in a run folder under ``out_dir``
+    (default: a folder under the cluster's shared ``spark.checkpoint.dir``)."""
     p = p or Params()
-    out_dir = out_dir or shared_dir(t.spark, "tidemark")
-    stored = write_star(t, os.path.join(out_dir, "star"), resume=resume)
-    return build_views(stored, p, os.path.join(out_dir, "views"), names=names, resume=resume)
+    out_dir = (out_dir or shared_dir(t.spark, "tidemark")).rstrip("/")
+    key = f"{p!r}\n{t.version()}"
+    run = None
+    if resume:
+        for name in files.folders(t.spark, out_dir):
+            mark = f"{out_dir}/{name}/{_KEY}"
+            if files.exists(t.spark, mark) and files.read_text(t.spark, mark) == key:
+                run = name
+                break
+    if run is None:
+        run = f"run-{uuid.uuid4().hex}"
+        files.write_text(t.spark, f"{out_dir}/{run}/{_KEY}", key)
+    stored = write_star(t, f"{out_dir}/{run}/star", resume=True)
+    paths = build_views(stored, p, f"{out_dir}/{run}/views", names=names, resume=True)
+    files.write_text(t.spark, f"{out_dir}/{_CURRENT}", run)
+    return paths
+
+
+def current(spark, out_dir: str) -> str:
+    """The folder of the last finished build under ``out_dir``."""
+    out_dir = out_dir.rstrip("/")
+    return f"{out_dir}/{files.read_text(spark, f'{out_dir}/{_CURRENT}')}"
+
+
+def current_star(spark, path: str) -> str:
+    """The star of the last finished build, or ``path`` if it is a star itself."""
+    here = path.rstrip("/")
+    return f"{current(spark, here)}/star" if files.exists(spark, f"{here}/{_CURRENT}") else here

@@ -12,11 +12,13 @@ aggregate over ``part``); nothing shuffles a fact table here.
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import paths as files
 from tidemark.sources.raw import read_raw
 
 # Fixed values of the derivation (FIXTURES.md): the calendar range, the day
@@ -80,6 +82,8 @@ class Tables:
         self._spark = spark
         self._tables = dict(tables)
         self.cache: dict = {}
+        # Folder the tables come from, if one.
+        self.source: str | None = None
         # () -> (first, last) day of a calendar known to hold every day between.
         self.calendar_span = None
 
@@ -91,6 +95,10 @@ class Tables:
             return value
         raise AttributeError(name)
 
+    def version(self) -> str:
+        """Changes when the input files do; unique if there is no one folder."""
+        return files.version(self.spark, self.source) if self.source else uuid.uuid4().hex
+
     @property
     def spark(self) -> SparkSession:
         return self._spark or self.accounts.sparkSession
@@ -222,6 +230,7 @@ def load_star(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
     t.calendar_span = whole_years(t)
+    t.source = sf_dir
     return t
 
 
@@ -240,5 +249,6 @@ def read_star(spark: SparkSession, star_dir: str) -> Tables:
             return spark.read.schema(schema).parquet(path)
         return read
 
-    return Tables(spark, **{attr: reader(table, schema)
-                            for attr, (table, schema) in STAR_TABLES.items()})
+    t = Tables(spark, **{attr: reader(table, schema) for attr, (table, schema) in STAR_TABLES.items()})
+    t.source = star_dir
+    return t
