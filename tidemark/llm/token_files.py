@@ -33,80 +33,119 @@ PARTITION_BYTES = 32 << 20
 ROUNDS = 6                  # rounds of pair replacement, the depth of the grammar
 LEAST_COUNT = 16            # a pair must occur this often in the shard
 _BUCKET_BITS = 20
-CACHED_PIECES = 400_000
-_CHUNK_BYTES = 4 << 20
+CACHED_PIECES = 600_000
+_CHUNK_BYTES = 12 << 20
 
 # White space as the pre-tokenizer's \s has it, fixed values.
 _SPACE = ("[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
           "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]")
-_NOT_PLAIN = f"^ | $| {_SPACE}|{_SPACE} |<\\|endoftext\\|>"
+_NOT_PLAIN = f"^{_SPACE}|{_SPACE}$|[ \\n]{_SPACE}|{_SPACE}[ \\n]|<\\|endoftext\\|>"
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, with a cache of pieces.
 
-    The pre-tokenizer never crosses the border before a space that stands
-    between two other characters than white space. So a text whose spaces all
-    stand so is encoded piece by piece, each distinct piece once; any other
-    text goes to the library whole."""
+    A byte-level pre-tokenizer never crosses the border before a space that
+    stands between two other characters than white space, and a line feed that
+    stands so is a piece of its own. A text whose spaces and line feeds all
+    stand so is encoded piece by piece, each distinct piece once; any other text
+    goes to the library whole. New pieces are encoded end to end in one call:
+    only a piece's first id starts with its space (or is the line feed put
+    before it), which shows where each begins."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        before = self.tokenizer.pre_tokenizer
+        self.by_pieces = (isinstance(before, ByteLevel) and not before.add_prefix_space
+                          and self.tokenizer.normalizer is None)
+        if self.by_pieces:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+            for token, i in vocabulary.items():
+                self.spaced[i] = token.startswith("\u0120")
+            self.line_feed = vocabulary["\u010a"]
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        # Entry 0 is the empty piece, entry 1 the line feed.
+        self.known: tuple[dict, dict] = ({"": 0}, {})
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 12, np.int64)
-        self.used = 0
-
-    def _look_up(self, pieces: list[str]) -> np.ndarray:
-        """Number of each piece; new ones are encoded."""
-        known = self.known
+        self.entries, self.used = 1, 0
+        if self.by_pieces:
+            self._add(np.array([self.line_feed], np.uint32), np.ones(1, np.int64))
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.entries + len(sizes), self.used + len(ids)
+        if n > len(self.ends):
+            self.ends = np.resize(self.ends, 2 * n)
+        if m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * m)
+        self.ends[self.entries:n] = self.used + np.cumsum(sizes)
+        self.flat[self.used:m] = ids
+        self.entries, self.used = n, m
+
+    def _look_up(self, pieces: list[str], spaced: bool) -> np.ndarray:
+        """Entry of each distinct piece, with or without a space before it."""
+        known = self.known[spaced]
         new = [p for p in pieces if p not in known]
-        if new:
-            for p in new:
-                known[p] = len(known)
-            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            ids = [e.ids for e in got]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            more = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
-            first = len(known) - len(new)
-            if len(known) >= len(self.ends):
-                self.ends = np.resize(self.ends, 2 * len(known) + 1)
-            start = self.ends[first - 1] if first else 0
-            self.ends[first:len(known)] = start + np.cumsum(sizes)
-            if self.used + len(more) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(more)))
-            self.flat[self.used:self.used + len(more)] = more
-            self.used += len(more)
+        mark = " " if spaced else "\n"
+        for i in range(0, len(new), 50_000):
+            part = new[i:i + 50_000]
+            got = self.tokenizer.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)
+            ids = np.array(got[0].ids, np.uint32)
+            first = np.nonzero(self.spaced[ids] if spaced else ids == self.line_feed)[0]
+            if len(first) != len(part):
+                raise AssertionError("pieces were not kept apart")
+            sizes = np.diff(np.append(first, len(ids)))
+            known.update(zip(part, range(self.entries, self.entries + len(part))))
+            if not spaced:
+                ids, sizes = np.delete(ids, first), sizes - 1
+            self._add(ids, sizes)
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        words = lists.flatten().dictionary_encode()
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.cumsum(counts) - counts
+        index = words.indices.to_numpy(zero_copy_only=False)
+        # No word holds a space, so one string carries them all out of Arrow.
+        held = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary)
+        names = pc.binary_join(held, " ")[0].as_py().split(" ")
+        feed = index == (names.index("\n") if "\n" in names else -1)
+        head = np.zeros(len(index), bool)
+        head[begins] = True
+        head[1:] |= feed[:-1]
+        head &= ~feed
+        plain = ~(head | feed)
+        entry = np.zeros(len(names), np.int64)
+        number = np.empty(len(index), np.int64)
+        for spaced, where in ((True, plain), (False, head)):
+            at = np.unique(index[where])
+            entry[at] = self._look_up([names[i] for i in at.tolist()], spaced)
+            number[where] = entry[index[where]]
+        number[feed] = 1
+        starts = np.where(number > 0, self.ends[number - 1], 0)
+        lengths = self.ends[number] - starts
+        return self.flat[ragged(starts, lengths)], np.add.reduceat(lengths, begins)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each); no nulls."""
-        if len(self.known) > CACHED_PIECES:
+        if self.entries > CACHED_PIECES:
             self._clear()
-        plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN)).to_numpy(zero_copy_only=False)
-        plain &= pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        plain = np.zeros(len(texts), bool)
+        if self.by_pieces:
+            plain = ~pc.match_substring_regex(texts, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+            plain &= pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
         sizes = np.zeros(len(texts), np.int64)
         parts: dict[bool, np.ndarray] = {}
-        easy = texts.filter(pa.array(plain))
-        if len(easy):
-            lists = pc.split_pattern(easy, " ")
-            words = lists.flatten().dictionary_encode()
-            counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            begins = np.cumsum(counts) - counts
-            index = words.indices.to_numpy(zero_copy_only=False)
-            spaced = self._look_up([" " + w for w in words.dictionary.to_pylist()])
-            number = spaced[index]
-            heads = words.dictionary.take(pa.array(index[begins])).to_pylist()
-            number[begins] = self._look_up_all(heads)
-            ids, lengths = self._gather(number)
-            sizes[plain] = np.add.reduceat(lengths, begins)
-            parts[True] = ids
+        if plain.any():
+            parts[True], sizes[plain] = self._by_pieces(texts.filter(pa.array(plain)))
         if not plain.all():
             rest = texts.filter(pa.array(~plain)).to_pylist()
             got = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
@@ -114,23 +153,12 @@ class Encoder:
             parts[False] = np.fromiter((x for y in got for x in y), np.uint32, int(sizes[~plain].sum()))
         if len(parts) == 1:
             return next(iter(parts.values())), sizes
-        if not parts:
-            return np.zeros(0, np.uint32), sizes
         out = np.empty(int(sizes.sum()), np.uint32)
         mine = np.repeat(plain, sizes)
-        out[mine], out[~mine] = parts[True], parts[False]
+        for k, ids in parts.items():
+            out[mine if k else ~mine] = ids
         return out, sizes
 
-    def _look_up_all(self, pieces: list[str]) -> np.ndarray:
-        distinct = list(dict.fromkeys(pieces))
-        at = dict(zip(distinct, self._look_up(distinct).tolist()))
-        return np.fromiter((at[p] for p in pieces), np.int64, len(pieces))
-
-    def _gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.where(number > 0, self.ends[number - 1], 0)
-        lengths = self.ends[number] - starts
-        return self.flat[ragged(starts, lengths)], lengths
-
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all [start, start + length), end to end."""
