@@ -10,8 +10,8 @@ from datetime import date, datetime
 import pytest
 
 from edge_star import STAR_NAMES, write_star
-from tidemark import oracle
-from tidemark.oracle.compare import compare, duck_for_star
+import oracle
+from oracle.compare import compare, duck_for_star
 from tidemark.params import Params
 from tidemark.plans import registry
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from edge_star import write_star
-from tidemark.oracle.compare import norm
+from oracle.compare import norm
 from tidemark.params import Params
 from tidemark.plans import materialize, registry
 from tidemark.plans.registry import ALL, DEPENDS

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from edge_star import STAR_NAMES
-from tidemark import oracle
-from tidemark.oracle.compare import compare, duck_for_star
+import oracle
+from oracle.compare import compare, duck_for_star
 from tidemark.plans import registry
 from tidemark.sources.star import STAR_TABLES, load_star, read_star
 
