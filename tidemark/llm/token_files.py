@@ -28,13 +28,13 @@ from tidemark.llm.files import new_file, open_file
 
 MAGIC = b"TMREPAIR"
 END_ID = 0
-SHARD_IDS = 4_000_000       # a shard ends with the document that reaches this
-PARTITION_BYTES = 32 << 20
+SHARD_IDS = 2_000_000       # a shard ends with the document that reaches this
+PARTITION_BYTES = 16 << 20
 ROUNDS = 6                  # rounds of pair replacement, the depth of the grammar
 LEAST_COUNT = 16            # a pair must occur this often in the shard
 _BUCKET_BITS = 20
-CACHED_PIECES = 600_000
-_CHUNK_BYTES = 12 << 20
+CACHED_PIECES = 250_000
+_CHUNK_BYTES = 3 << 20
 
 # White space as the pre-tokenizer's \s has it, fixed values.
 _SPACE = ("[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
@@ -94,8 +94,8 @@ class Encoder:
         known = self.known[spaced]
         new = [p for p in pieces if p not in known]
         mark = " " if spaced else "\n"
-        for i in range(0, len(new), 50_000):
-            part = new[i:i + 50_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i:i + 10_000]
             got = self.tokenizer.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)
             ids = np.array(got[0].ids, np.uint32)
             first = np.nonzero(self.spaced[ids] if spaced else ids == self.line_feed)[0]
@@ -338,6 +338,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 inner[ended] = False
                 full[inner], full[ended] = ids, END_ID
                 held.append((b.column("id").slice(i, j - i).to_pylist(), full, sizes + 1))
+                pa.default_memory_pool().release_unused()
                 if sum(len(x) for _, x, _ in held) >= SHARD_IDS:
                     yield flush()
         if held:
