@@ -71,7 +71,7 @@ def cohort_survival(t: Tables, p: Params) -> DataFrame:
 
 def sub_trend(t: Tables, p: Params) -> DataFrame:
     """The same statement as E4."""
-    return cohort_survival(t, p)
+    return parent(t, p, cohort_survival)
 
 
 def monthwise_cancelled(t: Tables, p: Params) -> DataFrame:

@@ -100,6 +100,7 @@ DEPENDS: dict[str, tuple[str, ...]] = {
     "active_users": ("churn_status",),
     "churned_users": ("churn_status",),
     "renewal_pipeline": ("renewals_due",),
+    "sub_trend": ("cohort_survival",),
     "retention_cohort": ("sub_trend",),
     "kpi_mrr": ("mrr_arr_snapshot",),
     "kpi_arr": ("mrr_arr_snapshot",),
