@@ -15,12 +15,22 @@ WORD_TABLE = bytes.maketrans(
     _SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
 
 
+# Rows a Python worker holds at once: whole texts are long.
+ARROW_ROWS = 2000
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def run_dir(spark: SparkSession, what: str) -> str:
     """A new folder under the shared checkpoint folder."""
+    _bound_batches(spark)
     return shared_dir(spark, "tidemark-llm", f"{what}-{uuid.uuid4().hex}")
 
 

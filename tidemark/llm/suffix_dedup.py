@@ -12,10 +12,13 @@ offset) pairs and drops what is unique):
 
 1. rank of the 64 bytes at the anchor, paired with the rank 64 bytes on: a
    unique pair (128 bytes, which every owned window holds) ends the anchor;
-2. surviving anchors pair that rank with the rank of their whole block, all
-   bytes of the owned windows and so past the threshold: a repeated block is
-   repeated as a whole;
-3. where a rank has several blocks, their windows are ranked one by one.
+2. surviving anchors' windows fall in two parts: near ones hold 256 bytes from
+   the anchor on, far ones 144 bytes before it. Each part pairs the rank of the
+   128 bytes with the rank of the next 128, or of those before;
+3. the parts' ranks are paired with the rank of the part's block, all bytes of
+   its windows and so past the threshold: a repeated block is repeated as a
+   whole, a unique rank ends the part;
+4. where a rank has several blocks, their windows are ranked one by one.
 
 Texts are kept once each in a bucketed table, so later rounds move ranks and
 not texts. Exact copies are known from their keys. Counting combines on the
@@ -40,8 +43,8 @@ LENGTH = 400
 REACH = 272          # owned windows start at most this far before the anchor
 GRAM = 32            # bytes hashed to choose anchors
 FIRST = 64           # bytes of the first rank; the next covers twice as many
-SEGMENT = 1 << 20    # windows handled at once, which bounds a task's memory
-TOGETHER = 500       # blocks of a rank compared inside one task; more go by window
+SEGMENT = 1 << 18    # windows handled at once, which bounds a task's memory
+TOGETHER = 4000      # blocks of a rank compared inside one task; more go by window
 BUCKET_BYTES = 32 << 20
 
 # Two polynomial hashes modulo 2^64: multipliers and byte values are arbitrary odd numbers.
@@ -62,7 +65,7 @@ class Hashes:
     """Hash of any substring of a buffer."""
 
     def __init__(self, buf: np.ndarray, which: int = 0):
-        power, self.back, value = _tables(which, max(1 << 21, 1 << len(buf).bit_length()))
+        power, self.back, value = _tables(which, max(1 << 19, 1 << len(buf).bit_length()))
         self.sums = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(value[buf] * power[:len(buf)], out=self.sums[1:])
 
@@ -170,28 +173,55 @@ def _ranked(texts: DataFrame, length: int) -> DataFrame:
         lambda it: _batched(it, cols, rows), "r long, k1 long, k2 long, low long")
 
 
-def _marked(texts, batch, length: int):
-    """As _each_run, but only runs listed in the batch's sorted column ``lows``."""
+def _parts(h: Hashes, row, low, n, at, anchor, length: int) -> tuple:
+    """The runs' near and far parts: (rank, row, low, n, at, anchor). A near
+    part's rank covers 256 bytes from the anchor on, a far part's 128 from it on
+    and those of the window before it."""
+    before = length - 4 * FIRST
+    cut = np.clip(anchor - before - at, 0, n)      # windows in the far part
+    out = []
+    for first, count, far in ((cut, n - cut, False), (np.zeros_like(cut), cut, True)):
+        ok = count > 0
+        a = anchor[ok]
+        if far:
+            rank = _mix(_rank(h, a), h(a - before, before)) ^ np.uint64(1)
+        else:
+            rank = _mix(_rank(h, a), _rank(h, a + 2 * FIRST))
+        out.append((rank, row[ok], (low + first)[ok], count[ok], (at + first)[ok], a))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _marked(texts, batch, length: int, parts: bool):
+    """Of each buffer the runs' parts, where the batch's column ``lows`` lists
+    the run (or, with ``parts``, the part) by its first window."""
     lists = batch.column("lows")
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     row_of = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
     wanted = np.sort((row_of.astype(np.int64) << 40) | flat)
     for buf, h, row, low, n, at, anchor in _each_run(texts, length):
-        mine = (row.astype(np.int64) << 40) | low
-        spot = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
-        ok = wanted[spot] == mine
-        yield buf, h, row[ok], low[ok], n[ok], at[ok], anchor[ok]
+        def listed(row, low):
+            mine = (row.astype(np.int64) << 40) | low
+            return wanted[np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)] == mine
+
+        if not parts:
+            ok = listed(row, low)
+            row, low, n, at, anchor = row[ok], low[ok], n[ok], at[ok], anchor[ok]
+        found = _parts(h, row, low, n, at, anchor, length)
+        if parts:
+            ok = listed(found[1], found[2])
+            found = tuple(x[ok] for x in found)
+        yield buf, h, *found
 
 
 def _blocks(texts: DataFrame, length: int) -> DataFrame:
-    """Rank and block hashes of the listed runs (columns ``lows`` per text)."""
+    """Rank and block hashes of the listed runs' parts (column ``lows`` per text)."""
     def rows(own, b):
         k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-        for buf, h, row, low, n, at, anchor in _marked(own, b, length):
+        for buf, h, rank, row, low, n, at, anchor in _marked(own, b, length, False):
             second = Hashes(buf, 1)
             shape = ((anchor - at).astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64)
             span = n + length - 1
-            yield {"r": _signed(_rank(h, anchor)), "b1": _signed(_mix(h(at, span), shape)),
+            yield {"r": _signed(rank), "b1": _signed(_mix(h(at, span), shape)),
                    "b2": _signed(_mix(second(at, span), shape)), "k1": pa.array(k1[row]),
                    "k2": pa.array(k2[row]), "low": pa.array(low.astype(np.int64)),
                    "n": pa.array(n.astype(np.int32))}
@@ -203,20 +233,19 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
 
 
 def _slices(texts: DataFrame, length: int) -> DataFrame:
-    """The bytes of the listed runs' blocks, by rank."""
+    """The bytes of the listed parts' blocks, by rank."""
     def rows(own, b):
         k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
-        for buf, h, row, low, n, at, anchor in _marked(own, b, length):
+        for buf, h, rank, row, low, n, at, anchor in _marked(own, b, length, True):
             raw = buf.tobytes()
             cut = [raw[a:a + m + length - 1] for a, m in zip(at.tolist(), n.tolist())]
-            yield {"r": _signed(_rank(h, anchor)), "k1": pa.array(k1[row]), "k2": pa.array(k2[row]),
-                   "low": pa.array(low.astype(np.int64)), "off": pa.array((anchor - at).astype(np.int32)),
-                   "block": pa.array(cut, pa.binary())}
+            yield {"r": _signed(rank), "k1": pa.array(k1[row]), "k2": pa.array(k2[row]),
+                   "low": pa.array(low.astype(np.int64)), "block": pa.array(cut, pa.binary())}
 
-    cols = dict.fromkeys(("r", "k1", "k2", "low", "off", "block"))
+    cols = dict.fromkeys(("r", "k1", "k2", "low", "block"))
     return texts.select("k1", "k2", "text", "lows").mapInArrow(
         lambda it: _batched(it, cols, rows),
-        "r long, k1 long, k2 long, low long, off int, block binary")
+        "r long, k1 long, k2 long, low long, block binary")
 
 
 def _window_hashes(blocks: list[bytes], length: int):
@@ -229,7 +258,7 @@ def _window_hashes(blocks: list[bytes], length: int):
     return row, window - starts[row], Hashes(buf)(window, length), Hashes(buf, 1)(window, length)
 
 
-def _block_chunks(batch, blocks):
+def _block_chunks(blocks):
     """Row ranges of about SEGMENT bytes (a block is at most length + REACH bytes)."""
     size, first = 0, 0
     for i, x in enumerate(blocks):
@@ -293,7 +322,7 @@ def _apart(slices: DataFrame, length: int) -> DataFrame:
         for b in batches:
             blocks = b.column("block").to_pylist()
             k1, k2, low = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "low"))
-            for i, j in _block_chunks(b, blocks):
+            for i, j in _block_chunks(blocks):
                 row, at, h1, h2 = _window_hashes(blocks[i:j], length)
                 row = row + i
                 yield pa.record_batch([_signed(h1), _signed(h2), pa.array(k1[row]), pa.array(k2[row]),
@@ -424,8 +453,8 @@ def _key(text) -> tuple:
 def _fates(docs: DataFrame, text_col: str, length: int, with_text: bool) -> DataFrame:
     """(_k1, _k2, _copies, _n_removed, _n_spans, _kept_sha256[, _kept]) of each
     text that has copies or repeated windows."""
-    if length < 2 * FIRST + GRAM:
-        raise ValueError(f"length must be at least {2 * FIRST + GRAM}")
+    if length < 4 * FIRST + GRAM:
+        raise ValueError(f"length must be at least {4 * FIRST + GRAM}")
     text = _text(text_col)
     k1, k2 = _key(text)
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
