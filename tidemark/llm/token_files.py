@@ -33,8 +33,8 @@ PARTITION_BYTES = 16 << 20
 ROUNDS = 6                  # rounds of pair replacement, the depth of the grammar
 LEAST_COUNT = 16            # a pair must occur this often in the shard
 _BUCKET_BITS = 20
-CACHED_PIECES = 250_000
-_CHUNK_BYTES = 3 << 20
+CACHED_PIECES = 400_000
+_CHUNK_BYTES = 8 << 20
 
 # White space as the pre-tokenizer's \s has it, fixed values.
 _SPACE = ("[\\t-\\r\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
@@ -68,6 +68,7 @@ class Encoder:
             for token, i in vocabulary.items():
                 self.spaced[i] = token.startswith("\u0120")
             self.line_feed = vocabulary["\u010a"]
+            self.marks = {c: vocabulary[c] for c in ".,;:!?"}
         self._clear()
 
     def _clear(self) -> None:
@@ -93,6 +94,23 @@ class Encoder:
         """Entry of each distinct piece, with or without a space before it."""
         known = self.known[spaced]
         new = [p for p in pieces if p not in known]
+        # A mark after a letter is a piece of its own for the pre-tokenizer.
+        marked = [p for p in new if p[-1] in self.marks and p[-2:-1].isalpha() and p[-2] < "\u0250"]
+        if marked:
+            bases = list(dict.fromkeys(p[:-1] for p in marked))
+            at = dict(zip(bases, self._look_up(bases, spaced).tolist()))
+            entry = np.fromiter((at[p[:-1]] for p in marked), np.int64, len(marked))
+            starts = np.where(entry > 0, self.ends[entry - 1], 0)
+            sizes = self.ends[entry] - starts + 1
+            ids = np.empty(int(sizes.sum()), np.uint32)
+            last = np.cumsum(sizes) - 1
+            inner = np.ones(len(ids), bool)
+            inner[last] = False
+            ids[inner] = self.flat[ragged(starts, sizes - 1)]
+            ids[last] = np.fromiter((self.marks[p[-1]] for p in marked), np.uint32, len(marked))
+            known.update(zip(marked, range(self.entries, self.entries + len(marked))))
+            self._add(ids, sizes)
+            new = [p for p in new if p not in known]
         mark = " " if spaced else "\n"
         for i in range(0, len(new), 10_000):
             part = new[i:i + 10_000]
@@ -192,7 +210,11 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
         chosen = np.nonzero(count >= LEAST_COUNT)[0]
         if not len(chosen):
             break
-        chosen = chosen[np.lexsort((holder[chosen], -count[chosen]))]
+        # Pairs of like frequency go in scrambled order, or along a chain of
+        # them only the first pair would be replaced in a round.
+        level = np.log2(count[chosen]).astype(np.int64)
+        scrambled = holder[chosen].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        chosen = chosen[np.lexsort((scrambled, -level))]
         place = np.full(1 << _BUCKET_BITS, len(chosen), np.int32)
         place[chosen] = np.arange(len(chosen), dtype=np.int32)
         turn = np.where(held, place[slot], len(chosen))
@@ -200,8 +222,10 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
         take[1:] &= turn[1:] < turn[:-1]
         take[:-1] &= turn[:-1] <= turn[1:]
         at = np.nonzero(take)[0]
-        used, new = np.unique(turn[at], return_inverse=True)
-        syms[at] = next_id + new
+        used = np.nonzero(np.bincount(turn[at], minlength=len(chosen)))[0]
+        number = np.zeros(len(chosen), np.int64)
+        number[used] = np.arange(len(used))
+        syms[at] = next_id + number[turn[at]]
         last[at] |= last[at + 1]
         stay = np.ones(len(syms), bool)
         stay[at + 1] = False
