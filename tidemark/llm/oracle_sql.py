@@ -24,7 +24,7 @@ WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
 t AS (SELECT k, phrase_text, label, is_phrase, string_split(phrase_text, ' ') AS own, share
       FROM (VALUES {_templates()}) AS v(k, phrase_text, label, is_phrase, share)),
 place AS (
-  SELECT doc_id, label, s - 1 AS at
+  SELECT doc_id, label, s - 1 AS spot
   FROM (SELECT doc_id, w, own, label, phrase_text, unnest(generate_series(1, len(w) - len(own) + 1)) AS s
         FROM d, t WHERE is_phrase AND len(w) >= len(own))
   WHERE array_to_string(w[s:s + len(own) - 1], ' ') = phrase_text),
@@ -39,7 +39,7 @@ found AS (
   FROM block, t
   WHERE len(list_intersect(has, list_distinct(own))) >= ceil(share * len(list_distinct(own)))),
 base AS (
-  SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word,
+  SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
   FROM place GROUP BY doc_id),
 every AS (
@@ -99,8 +99,8 @@ OP6 = f"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {embed_dedup.COSINE}),
