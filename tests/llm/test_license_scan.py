@@ -1,4 +1,5 @@
 import random
+from math import ceil
 
 from llm import small
 from tidemark.llm import license_scan as ls
@@ -64,3 +65,47 @@ def test_repeats_null_ids_and_empty(spark):
     got = ls.scan(df)
     assert got.count() == 9 and got.where("base_labels = 'cc-by'").count() == 3
     assert ls.scan(df.limit(0)).count() == 0
+
+
+def test_threshold_holds_for_every_notice():
+    own = ls.templates()
+    for threshold in (0.5, 0.8, 1.0):
+        index = ls.Index(own, {}, threshold)
+        for t, need in zip(own, index.needs):
+            assert need == (len(set(t.words)) if t.phrase else ceil(threshold * len(set(t.words))))
+
+
+def label_of(text):
+    index = ls.Index(ls.templates(), {})
+    return ls.scan_words(ls.word_bytes(text), index)[4].split(",")
+
+
+def test_short_notice_with_a_word_missing():
+    assert "apache-2.0" in label_of("Licensed under the Apache License 2.0")
+    assert "mit" in label_of("Released under MIT, the text says")
+    assert "mit" not in label_of("Released under MIT")
+
+
+def test_notice_in_one_unaligned_block_only():
+    notice = dict((n, t) for t, n in ls.NOTICES)["isc"].split()
+    own = list(dict.fromkeys(notice))
+    need = ceil(ls.THRESHOLD * len(own))
+    # The needed words, the first and the last 64 words apart: one block holds them all.
+    held = own[:need - 1] + ["x"] * (ls.BLOCK - need) + own[need - 1:need]
+    for lead in range(40):
+        words = ["y"] * lead + held + ["y"] * 100
+        assert label_of(" ".join(words)) == ["isc"]
+        index = ls.Index(ls.templates(), {})
+        assert ls.scan_words([w.encode() for w in words], index)[6] == 1
+        assert label_of(" ".join(["y"] * lead + held[:need - 1] + ["x"] + held[need - 1:] + ["y"] * 100)) == [""]
+
+
+def test_every_block_against_brute_force():
+    rng = random.Random(8)
+    vocabulary = sorted({w for t, _ in [*ls.NOTICES, *ls.PHRASES] for w in t.split()}) + ["x"] * 60
+    for _ in range(60):
+        values = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(300)))]
+        for threshold in (0.5, 0.8):
+            index = ls.Index(ls.templates(), {}, threshold)
+            got = [(0, len(w), *ls.scan_words(w, index)) for w in map(ls.word_bytes, values)]
+            assert got == plain(values, threshold)

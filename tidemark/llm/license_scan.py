@@ -1,20 +1,22 @@
 """License notices by an exact set-similarity join.
 
-Text blocks are windows of BLOCK words every STRIDE words. A block matches a
-template if it holds at least the template's share of its distinct words. Words
-are ordered by how many documents of the whole corpus have them, rarest first.
-A matching block holds one of the template's first |T| - need + 1 words in that
-order (prefix filter), so an inverted index of those few rare words proposes
-all pairs; the block's distinct words (length filter) and the words left on
-both sides after the first common one (positional filter) prune them, and the
-overlap is counted. The index holds the templates only, a bounded parameter,
-and goes to every task; documents are never shuffled. Phrases are templates
-that need all their words, and their places are then read off the words.
+Text blocks are all windows of BLOCK consecutive words, one from every word on
+(a shorter text is one block). A block matches a template if it holds at least
+the template's share of its distinct words. Words are ordered by how many
+documents of the whole corpus have them, rarest first. A matching block holds
+one of the template's first |T| - need + 1 words in that order (prefix filter),
+so an inverted index of those few rare words proposes all pairs of a template
+and a stretch of blocks; stretches with fewer than need of the template's words
+are pruned (length filter), and in the others the overlap of every block is
+counted in one sweep over the places where it changes. The index holds the
+templates only, a bounded parameter, and goes to every task; documents are
+never shuffled. Phrases are templates that need all their words, and their
+places are then read off the words.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from math import ceil
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import word_bytes
 
 BLOCK = 64
-STRIDE = 16
+STRIDE = 1               # a block starts at every word
 THRESHOLD = 0.8
-ALL_WORDS_UP_TO = 12     # templates this short need all their words
+ALL_WORDS_UP_TO = 0      # no notice is too short for the threshold
 
 # Phrases of the base labels, and notices of the scan's own labels.
 PHRASES = (
@@ -76,44 +78,78 @@ class Index:
         self.templates, self.needs, self.sets, self.prefix = own, [], [], defaultdict(list)
         for k, t in enumerate(own):
             ordered = sorted(set(t.words), key=self.place.__getitem__)
-            need = len(ordered) if t.phrase or len(ordered) <= ALL_WORDS_UP_TO else ceil(threshold * len(ordered))
+            need = len(ordered) if t.phrase else ceil(threshold * len(ordered))
             self.needs.append(need)
             self.sets.append(frozenset(ordered))
-            for i, w in enumerate(ordered[:len(ordered) - need + 1]):
-                self.prefix[w].append((k, i))
+            for w in ordered[:len(ordered) - need + 1]:
+                self.prefix[w].append(k)
 
-    def matches(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, block start, containment) of every matching pair."""
+    def matches(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first block start, end of the starts, containment) of all
+        runs of blocks that match a template with the same containment."""
         rare = self.prefix.keys() & words
         if not rare:
             return []
-        proposed: dict[int, dict[int, int]] = defaultdict(dict)
-        last = max(0, -(-(len(words) - BLOCK) // STRIDE))
+        proposed = sorted({k for w in rare for k in self.prefix[w]})
+        wanted = set().union(*(self.sets[k] for k in proposed))
+        spots = defaultdict(list)
         for at, w in enumerate(words):
-            if w in rare:
-                for b in range(max(0, -(-(at - BLOCK + 1) // STRIDE)), min(at // STRIDE, last) + 1):
-                    known = proposed[b]
-                    for k, i in self.prefix[w]:
-                        known[k] = min(i, known.get(k, i))
+            if w in wanted:
+                spots[w].append(at)
+        last = max(0, len(words) - BLOCK)
         found = []
-        for b in sorted(proposed):
-            block = set(words[b * STRIDE:b * STRIDE + BLOCK])
-            common = sorted(self.place[w] for w in block & self.place.keys())
-            for k, i in sorted(proposed[b].items()):
-                own, need = self.sets[k], self.needs[k]
-                if len(block) < need:
+        for k in proposed:
+            own, need = self.sets[k], self.needs[k]
+            if len(own & spots.keys()) < need:
+                continue
+            heads = sorted(at for w in rare if k in self.prefix[w] for at in spots[w])
+            for low, high in stretches(heads, last):
+                here = []
+                for w in own & spots.keys():
+                    at = spots[w]
+                    if part := at[bisect_left(at, low):bisect_right(at, high + BLOCK - 1)]:
+                        here.append(part)
+                if len(here) < need:
                     continue
-                shared = own & block
-                # Words of the block from the first common one on, in the global order.
-                first = bisect_left(common, min(self.place[w] for w in shared))
-                if min(len(own) - i, len(common) - first) < need:
-                    continue
-                overlap = len(shared)
-                if overlap >= need:
-                    found.append((k, b * STRIDE, overlap / len(own)))
+                # A word is counted in a block by its first place there.
+                change = Counter()
+                for part in here:
+                    before = low - 1
+                    for at in part:
+                        start, stop = max(before + 1, at - BLOCK + 1), min(at, high) + 1
+                        if start < stop:
+                            change[start] += 1
+                            change[stop] -= 1
+                        before = at
+                overlap, edges = 0, sorted(change)
+                for start, stop in zip(edges, edges[1:]):
+                    overlap += change[start]
+                    if overlap >= need:
+                        found.append((k, start, stop, overlap / len(own)))
         return found
 
 
+def stretches(heads: list[int], last: int) -> list[tuple[int, int]]:
+    """First and last starts of the blocks that hold one of the places, joined where they meet."""
+    out: list = []
+    for at in heads:
+        low, high = max(0, at - BLOCK + 1), min(at, last)
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+def union_size(runs: list[tuple[int, int]]) -> int:
+    """How many integers lie in any of the half-open runs."""
+    n, end = 0, 0
+    for start, stop in sorted(runs):
+        n += max(0, stop - max(start, end))
+        end = max(end, stop)
+    return n
+
+
 def places(words: list[bytes], phrase: tuple) -> list[int]:
     """Every start at which the phrase's words stand consecutively."""
     n, out, at = len(phrase), [], -1
@@ -130,7 +166,7 @@ def scan_words(words: list[bytes], index: Index) -> tuple:
     """(n_base, first place, last place, base labels, all labels, score, matching blocks)."""
     found = index.matches(words)
     starts, base, labels, score = [], set(), set(), 0.0
-    for k in sorted({k for k, _, _ in found}):
+    for k in sorted({k for k, *_ in found}):
         t = index.templates[k]
         if t.phrase:
             if at := places(words, t.words):
@@ -139,9 +175,9 @@ def scan_words(words: list[bytes], index: Index) -> tuple:
                 score = 1.0
         else:
             labels.add(t.label)
-            score = max(score, max(c for m, _, c in found if m == k))
+            score = max(score, max(c for m, _, _, c in found if m == k))
     return (len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
-            ",".join(sorted(base | labels)), score, len({b for _, b, _ in found}))
+            ",".join(sorted(base | labels)), score, union_size([(a, b) for _, a, b, _ in found]))
 
 
 def documents_with(docs: DataFrame, vocabulary: set, text_col: str = "text") -> dict:
