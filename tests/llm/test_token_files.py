@@ -71,3 +71,46 @@ def test_repeats_null_ids_and_empty(spark):
     assert [(i, n) for i, n, _ in got] == [(0, 3), (0, 3), (1, 1), (1, 1), (None, 1), (None, 3)]
     assert sorted(s for _, _, s in got)[0] == 0
     assert token_files.round_trip(df.limit(0)).count() == 0
+
+
+def pair_counts(syms, last):
+    """Places of each pair that share no symbol."""
+    out: dict = {}
+    before = None
+    for a, b, ends in zip(syms, syms[1:], last):
+        pair = None if ends or (a, b) == before else (a, b)
+        if pair:
+            out[pair] = out.get(pair, 0) + 1
+        before = pair
+    return out
+
+
+def compressed(ids, last):
+    syms, last, rules = token_files.compress(np.array(ids, np.uint32), np.array(last), 1000)
+    whole = [[i] for i in range(1000)]
+    for a, b in rules.tolist():
+        whole.append(whole[a] + whole[b])
+    assert [x for s in syms.tolist() for x in whole[s]] == list(ids)
+    assert token_files.rule_lengths(rules, 1000).tolist() == [len(w) for w in whole[1000:]]
+    return syms.tolist(), last.tolist()
+
+
+def test_no_pair_is_left_twice():
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        n = int(rng.integers(1, 300))
+        last = rng.random(n) < rng.choice([0, 0.02, 0.3])
+        last[-1] = True
+        syms, last = compressed(rng.integers(0, rng.integers(1, 12), n).tolist(), last)
+        assert max(pair_counts(syms, last).values(), default=0) < 2
+
+
+def test_copies_of_a_long_text_and_runs_become_few_symbols():
+    rng = np.random.default_rng(6)
+    text = rng.permutation(900).tolist()
+    last = np.zeros(900 * 300, bool)
+    last[899::900] = True
+    assert len(compressed(text * 300, last)[0]) == 300
+    alone = np.zeros(500, bool)
+    alone[-1] = True
+    assert len(compressed([7] * 500, alone)[0]) < 10

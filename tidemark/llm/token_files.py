@@ -1,8 +1,8 @@
 """Token ids in binary shards, compressed by a Re-Pair grammar.
 
 Documents are range-partitioned by id and cut into shards of a few million
-ids. In a shard, frequent pairs of neighbouring ids become nonterminals, again
-and again; the shard stores its rules, the expanded length of each rule and
+ids. In a shard, pairs of neighbouring ids become nonterminals, again and again
+until no pair occurs twice; the shard stores its rules, the expanded length of each rule and
 each document's place among the symbols and the ids, so any document or span of
 ids is decoded without the rest. Pairs never cross documents.
 
@@ -30,9 +30,7 @@ MAGIC = b"TMREPAIR"
 END_ID = 0
 SHARD_IDS = 2_000_000       # a shard ends with the document that reaches this
 PARTITION_BYTES = 16 << 20
-ROUNDS = 6                  # rounds of pair replacement, the depth of the grammar
-LEAST_COUNT = 16            # a pair must occur this often in the shard
-_BUCKET_BITS = 20
+LEAST_COUNT = 2             # pairs are replaced until none occurs this often in the shard
 CACHED_PIECES = 400_000
 _CHUNK_BYTES = 8 << 20
 
@@ -190,58 +188,108 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def run_offsets(values: np.ndarray) -> np.ndarray:
+    """How far each place lies from the start of its run of equal values."""
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    starts = np.nonzero(first)[0]
+    return np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+
+
+def pairs_of(syms: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Each neighbouring pair as one number; -1 where a document ends between."""
+    pair = (syms[:-1] << 32) | syms[1:]
+    pair[last[:-1]] = -1
+    return pair
+
+
+def counted(pair: np.ndarray) -> np.ndarray:
+    """Where pairs count: all of them, but of a run of one symbol every second,
+    as neighbours there share a symbol."""
+    return (pair >= 0) & (run_offsets(pair) % 2 == 0)
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules) of a shard. ``last`` marks each document's last
     symbol; rule k of the (n, 2) array is nonterminal base + k. Each round
-    counts all pairs and replaces the frequent ones, the more frequent first."""
+    counts all pairs exactly and replaces those that occur LEAST_COUNT times,
+    the more frequent first, until none does. A pair below that count stays
+    below it, so later rounds count only the others (``open_``) and the pairs
+    with a new symbol."""
     syms, rules = ids.astype(np.int64), []
     next_id = base
-    for _ in range(ROUNDS):
-        if len(syms) < 2:
-            break
-        pair = (syms[:-1] << 32) | syms[1:]
-        pair[last[:-1]] = -1
-        slot = ((pair.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
-        # Each slot of the table counts one of the pairs that fall on it, exactly.
-        holder = np.full(1 << _BUCKET_BITS, -1, np.int64)
-        holder[slot] = pair
-        held = (holder[slot] == pair) & (pair >= 0)
-        count = np.bincount(slot[held], minlength=1 << _BUCKET_BITS)
+    open_ = np.ones(max(0, len(syms) - 1), bool)
+    while len(syms) > 1:
+        pair = pairs_of(syms, last)
+        spots = np.nonzero(open_ & counted(pair))[0]
+        coded = pa.array(pair[spots]).dictionary_encode()
+        code, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        count = np.bincount(code, minlength=len(keys))
         chosen = np.nonzero(count >= LEAST_COUNT)[0]
         if not len(chosen):
             break
         # Pairs of like frequency go in scrambled order, or along a chain of
         # them only the first pair would be replaced in a round.
         level = np.log2(count[chosen]).astype(np.int64)
-        scrambled = holder[chosen].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        scrambled = keys[chosen].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         chosen = chosen[np.lexsort((scrambled, -level))]
-        place = np.full(1 << _BUCKET_BITS, len(chosen), np.int32)
-        place[chosen] = np.arange(len(chosen), dtype=np.int32)
-        turn = np.where(held, place[slot], len(chosen))
-        take = turn < len(chosen)
-        take[1:] &= turn[1:] < turn[:-1]
+        none = len(chosen)
+        place = np.full(len(keys), none, np.int64)
+        place[chosen] = np.arange(none)
+        # Turn of every place; inside a run the places between the counted ones have it too.
+        turn = np.full(len(pair) + 2, none, np.int64)
+        turn[spots + 1] = place[code]
+        odd = np.nonzero((pair[1:] == pair[:-1]) & (pair[1:] >= 0))[0] + 2
+        odd = odd[turn[odd] == none]
+        turn[odd] = turn[odd - 1]
+        # A run goes when its neighbours come later; of its places every second,
+        # and where the one before comes sooner, from the second place on.
+        offset = run_offsets(turn)
+        begins = np.arange(len(turn)) - offset
+        late = (turn[begins - 1] < turn).astype(np.int64)
+        take = (turn < none) & (offset >= late) & ((offset - late) % 2 == 0)
         take[:-1] &= turn[:-1] <= turn[1:]
-        at = np.nonzero(take)[0]
-        used = np.nonzero(np.bincount(turn[at], minlength=len(chosen)))[0]
-        number = np.zeros(len(chosen), np.int64)
-        number[used] = np.arange(len(used))
-        syms[at] = next_id + number[turn[at]]
+        at = np.nonzero(take[1:-1])[0]
+        own = turn[at + 1]
+        taken = np.bincount(own, minlength=none)
+        # A pair left with fewer places than that waits; the first in turn never does.
+        used = np.nonzero(taken >= LEAST_COUNT)[0]
+        at, own = (x[taken[own] >= LEAST_COUNT] for x in (at, own))
+        number = np.zeros(none, np.int64)
+        number[used] = next_id + np.arange(len(used))
+        open_ = turn[1:-1] < none
+        syms[at] = number[own]
         last[at] |= last[at + 1]
         stay = np.ones(len(syms), bool)
         stay[at + 1] = False
-        syms, last = syms[stay], last[stay]
-        keys = holder[chosen[used]]
-        rules.append(np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1))
+        fresh = np.zeros(len(syms), bool)
+        fresh[at] = True
+        open_ = np.append(open_, False)[stay][:-1]
+        fresh, syms, last = fresh[stay], syms[stay], last[stay]
+        open_ |= fresh[:-1] | fresh[1:]
+        pairs = keys[chosen[used]]
+        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
         next_id += len(used)
     return syms, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
 
 
+def levels(rules: np.ndarray, base: int):
+    """(first, stop) of successive stretches of rules that use none of their own stretch."""
+    needs = np.maximum.accumulate(rules.max(axis=1) - base) if len(rules) else np.zeros(0, np.int64)
+    first = 0
+    while first < len(rules):
+        stop = int(np.searchsorted(needs, first, "left"))
+        yield first, stop
+        first = stop
+
+
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Ids that each nonterminal expands to; a rule only uses earlier ones."""
-    out = [0] * len(rules)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (1 if a < base else out[a - base]) + (1 if b < base else out[b - base])
-    return np.array(out, np.int64)
+    out = np.zeros(len(rules), np.int64)
+    for first, stop in levels(rules, base):
+        part = rules[first:stop]
+        out[first:stop] = np.where(part < base, 1, out[np.maximum(part - base, 0)]).sum(axis=1)
+    return out
 
 
 _ARRAYS = (("doc_ids", "<i8"), ("doc_null", "u1"), ("doc_symbols", "<i8"), ("doc_ids_before", "<i8"),
@@ -289,11 +337,11 @@ class Shard:
         self.length = np.concatenate([np.ones(self.base, np.int64), lengths])
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.arange(self.base + int(lengths.sum()), dtype=np.uint32)
-        at = self.start[self.base:]
-        for (a, b), s in zip(rules.tolist(), at.tolist()):
-            m, n = self.length[a], self.length[b]
-            self.flat[s:s + m] = self.flat[self.start[a]:self.start[a] + m]
-            self.flat[s + m:s + m + n] = self.flat[self.start[b]:self.start[b] + n]
+        for i, j in levels(rules, self.base):
+            own = rules[i:j].reshape(-1)
+            s = int(self.start[self.base + i])
+            part = ragged(self.start[own], self.length[own])
+            self.flat[s:s + len(part)] = self.flat[part]
 
     def symbols(self, first: int, stop: int) -> np.ndarray:
         out = self.low[first:stop].astype(np.int64)
