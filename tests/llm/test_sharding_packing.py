@@ -118,3 +118,33 @@ def test_packing_repeats_null_ids_and_empty(spark):
     df = small.repeated(small.documents(spark, ["a b", None]))
     assert packing.pack(df).count() == 6
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_bounds_of_long_lengths_are_optimal(spark):
+    values = [" ".join(["w"] * n) for n in [1025] * 6 + [700, 701, 3, 2051, 2051]]
+    rows = packing.pack(small.documents(spark, values), buckets=5).collect()
+    assert {r.bucket_tokens for r in rows} == {3, 700, 701, 1025, 2051}
+    assert sum(r.padding for r in rows) == 0
+
+
+def least_padded(lengths, counts, k):
+    """Every last cut of every prefix."""
+    before = [0]
+    for c in counts:
+        before.append(before[-1] + c)
+    cost = [b * c for b, c in zip(lengths, before[1:])]
+    for _ in range(k - 1):
+        cost = [min([cost[j]] + [cost[i] + lengths[j] * (before[j + 1] - before[i + 1]) for i in range(j)])
+                for j in range(len(lengths))]
+    return cost[-1]
+
+
+def test_bounds_of_many_lengths_are_optimal():
+    rng = random.Random(7)
+    for scale in (1, 1, 1, 2 ** 50):
+        for n in (17, 60, 250):
+            lengths = sorted(rng.sample(range(1, 20_000), n))
+            counts = [max(1, int(rng.paretovariate(0.8))) * scale for _ in lengths]
+            for k in (1, 2, 3, 7, 16):
+                own = packing.best_bounds(lengths, counts, k)
+                assert len(own) <= k and padded(own, lengths, counts) == least_padded(lengths, counts, k)

@@ -1,10 +1,11 @@
 """Length buckets with the least padding, and token-budget batches in them.
 
-The bucket bounds are exact optima of a dynamic program over the global length
-histogram. Lengths beyond 512 are counted by their first nine binary digits, so
-the histogram has a few thousand bins whatever the corpus, and is the only
-thing that reaches the driver. Inside a bucket, documents in id order fill
-batches of as many rows as the token budget holds at the bucket's length.
+The bucket bounds are exact optima of a dynamic program over the global
+histogram of the lengths as they are. Spark groups it; only the distinct lengths
+and their counts reach the driver. As the best last cut never moves back when
+the lengths go up, each bucket more is found by divide and conquer, all middles
+of a depth at once. Inside a bucket, documents in id order fill batches of as
+many rows as the token budget holds at the bucket's length.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from tidemark.llm.common import positions
 
 BUCKETS = 16
 BUDGET = 8192
-_EXACT = 512
 
 
 def token_count(text: Column) -> Column:
@@ -26,10 +26,35 @@ def token_count(text: Column) -> Column:
 
 
 def bin_of(n: Column) -> Column:
-    """The length's bin, named by its longest length: exact up to 512, then nine digits."""
-    digits = F.length(F.bin(n)) - 9
-    step = F.expr("CAST(1 AS BIGINT)") * F.when(n > _EXACT, F.pow(F.lit(2.0), digits)).otherwise(1).cast("long")
-    return F.greatest(F.lit(1).cast("long"), (F.ceil(n / step) * step).cast("long"))
+    """The length's bin, the length itself; no tokens are padded to one."""
+    return F.greatest(F.lit(1).cast("long"), n)
+
+
+def _more(cost: np.ndarray, bound: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least cost of the first j + 1 lengths with one bucket more, and the last
+    length of the buckets before it (-1: one bucket fewer is as good)."""
+    n = len(bound)
+    best, at = cost.copy(), np.full(n, -1)
+    # Stretches of j, each with the range of cuts its middle may have.
+    first, stop, low, high = (np.array([x]) for x in (1, n, 0, n - 2))
+    while len(first):
+        j = (first + stop) // 2
+        top = np.minimum(high, j - 1)
+        sizes = top - low + 1
+        begins = np.cumsum(sizes) - sizes
+        i = np.arange(int(sizes.sum())) - np.repeat(begins - low, sizes)
+        here = np.repeat(j, sizes)
+        total = cost[i] + bound[here] * (before[here + 1] - before[i + 1])
+        least = np.minimum.reduceat(total, begins)
+        hit = np.nonzero(total == np.repeat(least, sizes))[0]
+        cut = i[hit[np.searchsorted(hit, begins)]]
+        better = least < best[j]
+        best[j[better]], at[j[better]] = least[better], cut[better]
+        first, stop, low, high = (np.concatenate(x) for x in (
+            (first, j + 1), (j, stop), (low, cut), (cut, high)))
+        some = first < stop
+        first, stop, low, high = first[some], stop[some], low[some], high[some]
+    return best, at
 
 
 def best_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -38,26 +63,21 @@ def best_bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -
     n = len(lengths)
     if n <= buckets:
         return list(lengths)
-    bound = np.array(lengths, np.float64)
-    before = np.concatenate([[0.0], np.cumsum(np.array(counts, np.float64))])
-    cost = bound * before[1:]                      # one bucket for the first j + 1 bins
+    # Exact in 64 bits, or else in Python's integers.
+    kind = np.int64 if 2 * lengths[-1] * sum(counts) < 2 ** 63 else object
+    bound = np.array(lengths, kind)
+    before = np.concatenate([np.zeros(1, kind), np.cumsum(np.array(counts, kind))])
+    cost = bound * before[1:]                      # one bucket for the first j + 1 lengths
     cuts = []
     for _ in range(buckets - 1):
-        best, at = cost.copy(), np.full(n, -1)
-        for j in range(1, n):
-            # A last bucket of bins i + 1 to j after the best split of the first i + 1.
-            total = cost[:j] + bound[j] * (before[j + 1] - before[1:j + 1])
-            i = int(np.argmin(total))
-            if total[i] < best[j]:
-                best[j], at[j] = total[i], i
+        cost, at = _more(cost, bound, before)
         cuts.append(at)
-        cost = best
     out, j = [], n - 1
     for at in reversed(cuts):
-        out.append(lengths[j])
         if at[j] < 0:
-            # Fewer buckets are as good; the first bins share one.
+            # Fewer buckets are as good; the first lengths share one.
             continue
+        out.append(lengths[j])
         j = int(at[j])
     out.append(lengths[j])
     return sorted(set(out))
