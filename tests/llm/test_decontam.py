@@ -75,3 +75,19 @@ def test_main_path_is_native(spark):
     bench = spark.createDataFrame(items, "item_id int, text string")
     plan = decontam.find(small.documents(spark, values), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_windows_hold_no_ids(spark):
+    rng = random.Random(9)
+    passage = small.prose(rng, 30)
+    items = [(i, f"{small.prose(rng, 12)} {passage}") for i in range(60)] + [(None, passage), (None, small.prose(rng, 11))]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    wins, sets = decontam.item_windows(bench, "item_id", "text")
+    assert {t for _, t in wins.dtypes} == {"int", "bigint"}
+    # The passage's windows share one set of all items, named once.
+    crowd = sets.groupBy("s1", "s2").count().where("count = 60").count()
+    assert crowd == 1
+    values = [passage, f"{small.prose(rng, 20)} {passage}", items[-1][1], items[4][1]]
+    got = decontam.find(small.documents(spark, values), bench, keep=["doc_id"])
+    assert small.rows(got, *COLUMNS) == plain(values, [x for x in items if x[0] is not None])[:2] + [
+        (2, 11, 11, 0, hashlib.sha256(b"").hexdigest(), True)] + plain(values, items[:60])[3:]

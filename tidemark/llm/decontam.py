@@ -19,8 +19,8 @@ from tidemark.llm.common import stored
 
 WINDOW = 10
 GRAM = 5
-# The benchmark's windows are broadcast only up to this many rows (of at most
-# about 100 bytes); beyond it the same joins shuffle.
+# The benchmark's windows are broadcast only up to this many rows (of six numbers
+# each; the items' ids lie apart); beyond it the same joins shuffle.
 BROADCAST_ROWS = 100_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,8 +50,9 @@ def _with_prints(df: DataFrame) -> DataFrame:
         lambda i: F.array_min(F.slice("grams", i, wide)))).otherwise(F.array().cast("array<bigint>")))
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(len, h1, h2, print, ids): each distinct window, with the sorted ids of its items."""
+def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored (len, h1, h2, print, s1, s2), each distinct window with a key of
+    the set of its items, and (s1, s2, id), the items of each such set once."""
     own = items.select(F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("ws"))
     own = own.where(F.size("ws") > 0).withColumn("len", F.least(F.size("ws"), F.lit(WINDOW)))
     cut = own.select("id", "len", F.explode(F.transform(
@@ -60,18 +61,27 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = _with_prints(cut).select(
         "len", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(11), "ws").alias("h2"),
         F.array_min("prints").alias("print"), "id")
-    return found.groupBy("len", "h1", "h2", "print").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    pairs = stored(found.distinct(), "pairs")
+    # The ids of a window are never gathered: their hashes are summed without carry, in any order.
+    named = F.col("id").isNotNull()
+    key = [F.coalesce(F.bit_xor(F.when(named, F.xxhash64(F.lit(seed), "id"))), F.lit(0).cast("long")).alias(name)
+           for seed, name in ((3, "s1"), (5, "s2"))]
+    wins = stored(pairs.groupBy("len", "h1", "h2", "print").agg(*key), "windows")
+    # One window stands for all that have its set.
+    ones = wins.groupBy("s1", "s2").agg(F.min(F.struct("len", "h1", "h2")).alias("w")).select("s1", "s2", "w.*")
+    sets = pairs.where(named).join(ones, ["len", "h1", "h2"]).select("s1", "s2", "id")
+    return wins, stored(sets, "sets")
 
 
 def _hits(texts: DataFrame, wins: DataFrame, n: int, hint) -> DataFrame:
-    """(k1, k2, start, stop, ids) of windows of n words; texts: (k1, k2, ws)."""
+    """(k1, k2, start, stop, s1, s2) of windows of n words; texts: (k1, k2, ws)."""
     at = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.struct(
         i.alias("i"), F.xxhash64(F.slice("ws", i, n)).alias("h1"),
         F.xxhash64(F.lit(11), F.slice("ws", i, n)).alias("h2")))
     each = texts.where(F.size("ws") >= n).select("k1", "k2", F.explode(at).alias("w"))
-    mine = wins.where(F.col("len") == n).select("h1", "h2", "ids")
+    mine = wins.where(F.col("len") == n).select("h1", "h2", "s1", "s2")
     return each.select("k1", "k2", "w.*").join(hint(mine), ["h1", "h2"]).select(
-        "k1", "k2", F.col("i").alias("start"), (F.col("i") + n).alias("stop"), "ids")
+        "k1", "k2", F.col("i").alias("start"), (F.col("i") + n).alias("stop"), "s1", "s2")
 
 
 def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -86,7 +96,7 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     ``keep`` must not clash with the added ones. Empty tables: no document gives
     no row; no item leaves every document clean.
     """
-    wins = stored(item_windows(items, item_id, item_text), "windows")
+    wins, sets = item_windows(items, item_id, item_text)
     n_rows = wins.count()
     hint = F.broadcast if n_rows <= BROADCAST_ROWS else (lambda df: df)
     lengths = [r[0] for r in wins.select("len").distinct().collect()]  # at most ten
@@ -124,16 +134,24 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
         hits = got if hits is None else hits.union(got)
     per_text = hits.groupBy("k1", "k2").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
+        F.array_sort(F.collect_set(F.struct("s1", "s2"))).alias("sets"))
     merged = F.aggregate(
         "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, x: F.struct(
             (acc["n"] + F.greatest(F.lit(0), x["stop"] - F.greatest(acc["end"], x["start"]))).alias("n"),
             F.greatest(acc["end"], x["stop"]).alias("end")))
-    per_text = per_text.select(
-        F.col("k1").alias("_h1"), F.col("k2").alias("_h2"), merged["n"].cast("long").alias("_n_hit"),
-        F.size("ids").cast("long").alias("_n_items"),
-        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("_items"))
+    per_text = stored(per_text.select(
+        "k1", "k2", merged["n"].cast("long").alias("_n_hit"), "sets",
+        F.xxhash64("sets").alias("c1"), F.xxhash64(F.lit(7), "sets").alias("c2")), "hits")
+    # Texts with the same sets have the same items, which are joined by shuffle once.
+    groups = per_text.groupBy("c1", "c2").agg(F.first("sets").alias("sets"))
+    ids = (groups.select("c1", "c2", F.explode("sets").alias("s")).select("c1", "c2", "s.*")
+           .join(sets, ["s1", "s2"]).select("c1", "c2", "id").distinct()
+           .groupBy("c1", "c2").agg(F.array_sort(F.collect_set("id")).alias("ids")))
+    ids = ids.select("c1", "c2", F.size("ids").cast("long").alias("_n_items"),
+                     F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("_items"))
+    per_text = per_text.drop("sets").join(ids, ["c1", "c2"], "left").select(
+        F.col("k1").alias("_h1"), F.col("k2").alias("_h2"), "_n_hit", "_n_items", "_items")
     joined = base.join(per_text, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left")
     n_hit = F.coalesce("_n_hit", F.lit(0).cast("long"))
     return joined.select(*names, "n_words", n_hit.alias("n_hit"),
