@@ -58,3 +58,41 @@ def test_repeats_null_ids_and_empty(spark):
     assert got == [(0, 2, 0, True), (0, 2, 0, True), (1, 2, 1, True), (1, 2, 1, True),
                    (None, 2, 0, False), (None, 2, 1, False)]
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def same_hash(label, vector, first):
+    """A second part for which [first, part] has the 64-bit hash of ``vector`` (XXH64 of label and parts in turn)."""
+    p1, p2, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    p3, mask = 0x165667B19E3779F9, 2 ** 64 - 1
+
+    def turn(x, r):
+        return (x << r | x >> (64 - r)) & mask
+
+    def mixed(bits, seed):
+        h = (seed + p5 + 8 & mask) ^ turn(bits * p2 & mask, 31) * p1 & mask
+        h = turn(h, 27) * p1 + p4 & mask
+        h = (h ^ h >> 33) * p2 & mask
+        h = (h ^ h >> 29) * p3 & mask
+        return h ^ h >> 32
+
+    def bits_of(x):
+        return int(np.float64(x).view(np.uint64))
+
+    start = mixed(label, 42)
+    seed = mixed(bits_of(vector[0]), start)
+    goal = (seed + p5 + 8 & mask) ^ turn(bits_of(vector[1]) * p2 & mask, 31) * p1 & mask
+    mine = mixed(bits_of(first), start)
+    word = (goal ^ (mine + p5 + 8 & mask)) * pow(p1, -1, 2 ** 64) & mask
+    return float(np.uint64(turn(word, 33) * pow(p2, -1, 2 ** 64) & mask).view(np.float64))
+
+
+def test_vectors_of_one_64_bit_hash_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    own = [1.0, 0.5]
+    other = next(v for i in range(1, 100_000) if (v := [i / 7, same_hash(1, own, i / 7)])[1] < -i / 700 and v[1] > -1e3 * i)
+    df = frame(spark, [own, other], [1, 1])
+    hashes = {r[0] for r in df.select(F.xxhash64(F.col("label").cast("long"), "embedding")).collect()}
+    assert len(hashes) == 1
+    got = small.rows(embed_dedup.near_duplicates(df), "id", "n_links", "component", "kept")
+    assert got == [(0, 0, 0, True), (1, 0, 1, True)] == plain([own, other], [1, 1])

@@ -208,8 +208,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Nulls: vectors that are null, empty, zero or hold null or non-finite parts,
     and rows without label, link with nothing. Vectors of different lengths are
     never compared. Repeated rows are rows of their own and link with each
-    other. A null id never names a component. A node is a 64-bit hash of label
-    and vector. Other columns are ignored. An empty table gives an empty result.
+    other. A null id never names a component. Equal vectors of a label are told
+    by two 64-bit hashes; each such vector gets a number of its own as node.
+    Other columns are ignored. An empty table gives an empty result.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = (F.col(label_col).isNotNull() & (F.size(v) > 0) & ~F.exists(
@@ -217,10 +218,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), v.alias("v"),
         F.coalesce(fine, F.lit(False)).alias("fine"))
-    rows = rows.withColumn("node", F.when(F.col("fine"), F.xxhash64("label", "v")))
+    rows = rows.withColumn("k1", F.when(F.col("fine"), F.xxhash64("label", "v"))).withColumn(
+        "k2", F.when(F.col("fine"), F.xxhash64(F.lit(7), "label", "v")))
     good = rows.where("fine")
-    each = good.groupBy("label", "node").agg(F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
-    each = stored(each.withColumn("size", F.size("v").cast("long")), "vectors")
+    each = good.groupBy("label", "k1", "k2").agg(F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
+    # Numbered as they are stored: later reads see the same numbers.
+    each = stored(each.withColumn("size", F.size("v").cast("long")).withColumn(
+        "node", F.monotonically_increasing_id()), "vectors")
 
     placed = stored(_placed(each, cosine), "cells")
     cells = _KEY[:-1]
@@ -235,11 +239,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     counts = found.where("other IS NULL").groupBy("node").agg(F.sum("weight").alias("links"))
     roots = connected_components(found.where("other IS NOT NULL").select(
         F.col("node").alias("a"), F.col("other").alias("b")))
-    about = (each.select("node", "weight").join(counts, "node", "left").join(roots, "node", "left")
-             .select("node", F.coalesce("root", "node").alias("root"),
+    about = (each.select("node", "k1", "k2", "weight").join(counts, "node", "left").join(roots, "node", "left")
+             .select("k1", "k2", F.coalesce("root", "node").alias("root"),
                      (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
-    slim = rows.select("id", "node")
-    named = slim.join(about, "node", "left")
+    slim = rows.select("id", "k1", "k2")
+    named = slim.join(about, ["k1", "k2"], "left")
     names = named.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("name"))
     out = named.join(names, "root", "left")
     component = F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("name"))
