@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import embed_dedup, license_scan, warc
+from tidemark.llm import block_knn, embed_dedup, license_scan, warc
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,3 +113,119 @@ SELECT e.vec_id, (SELECT count(*) FROM link WHERE link.a = e.vec_id) AS n_links,
        e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN component c USING (vec_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text: eight shifts a byte, both as list reductions."""
+    step = ("list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], "
+            "lambda x, i: xor(x >> 1, (x & 1) * 3988292384))")
+    chars = f"list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {chars}), lambda c, b: {step}), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ["doc_id", "source", "lang", "n_chars", text]) + ")"
+
+
+OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")}
+              ELSE {_leaf('text')} END AS shown
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+node AS (
+  SELECT source, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM node WHERE n > 1 GROUP BY source, lvl, pos // 3),
+sub AS (
+  SELECT source, h AS subroot, lvl AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+  FROM node WHERE n = 1),
+upper AS (
+  SELECT 0 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3)
+  FROM upper WHERE n > 1 GROUP BY lvl, pos // 3),
+step AS (
+  SELECT l.source, l.pos AS leaf_pos, a.lvl,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < a.pos), '') AS lo,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > a.pos), '') AS hi
+  FROM leaves l JOIN node a ON l.source IS NOT DISTINCT FROM a.source AND a.n > 1
+                            AND a.pos = l.pos // CAST(pow(3, a.lvl) AS BIGINT)
+  JOIN node s ON s.source IS NOT DISTINCT FROM a.source AND s.lvl = a.lvl AND s.pos // 3 = a.pos // 3
+  GROUP BY l.source, l.pos, a.lvl),
+upper_step AS (
+  SELECT b.source, b.top + a.lvl AS lvl,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < a.pos), '') AS lo,
+         coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > a.pos), '') AS hi
+  FROM sub b JOIN upper a ON a.n > 1 AND a.pos = b.pos // CAST(pow(3, a.lvl) AS BIGINT)
+  JOIN upper s ON s.lvl = a.lvl AND s.pos // 3 = a.pos // 3
+  GROUP BY b.source, b.top, a.lvl),
+path AS (
+  SELECT source, leaf_pos, lvl, lo, hi FROM step
+  UNION ALL
+  SELECT l.source, l.pos, u.lvl, u.lo, u.hi FROM leaves l JOIN upper_step u ON l.source IS NOT DISTINCT FROM u.source),
+fold AS (
+  SELECT source, pos, 0 AS lvl, shown AS h FROM leaves
+  UNION ALL
+  SELECT f.source, f.pos, f.lvl + 1, sha256(p.lo || f.h || p.hi)
+  FROM fold f JOIN path p ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.leaf_pos AND f.lvl = p.lvl),
+folded AS (SELECT source, pos, arg_max(h, lvl) AS folded_root FROM fold GROUP BY source, pos),
+proof AS (SELECT source, leaf_pos AS pos, string_agg(lo || hi, '' ORDER BY lvl) AS siblings FROM path GROUP BY source, leaf_pos)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.folded_root,
+       f.folded_root = r.h AS verified
+FROM leaves l JOIN sub s ON l.source IS NOT DISTINCT FROM s.source
+JOIN folded f ON l.source IS NOT DISTINCT FROM f.source AND l.pos = f.pos
+LEFT JOIN proof p ON l.source IS NOT DISTINCT FROM p.source AND l.pos = p.pos
+JOIN upper r ON r.n = 1
+"""
+
+OP12 = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {block_knn.K}
+"""
+
+OP13 = f"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY n) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT *, {_crc32('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM own),
+conv AS (
+  SELECT a.conv_id AS conv, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+member AS (
+  SELECT conv, len(turns) AS len, d AS depth, turns[1:d] AS path, CASE WHEN d > 0 THEN turns[1:d - 1] END AS up
+  FROM (SELECT *, unnest(generate_series(0, len(turns))) AS d FROM conv)),
+node AS (
+  SELECT depth, path, any_value(up) AS up, min(conv) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (len = depth), '')) AS ends_sha256,
+         (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(path[depth].text), '[^\\x20\\x09-\\x0D]+')), 0) AS own_saved
+  FROM member GROUP BY depth, path),
+child AS (SELECT up AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY up),
+whole AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child USING (path)),
+above AS (SELECT conv_id, own_saved, n_children, path[1:unnest(generate_series(0, depth))] AS path FROM whole),
+below AS (
+  SELECT path, sum(own_saved) AS saved, count(*) FILTER (n_children = 0) AS leaves FROM above GROUP BY path)
+SELECT w.conv_id, CAST(w.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, CAST(w.n_convs AS BIGINT) AS n_convs,
+       CAST(w.n_children AS BIGINT) AS n_children, CAST(b.leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below b USING (path) LEFT JOIN node p ON w.depth > 0 AND p.path = w.up
+"""

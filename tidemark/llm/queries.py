@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, embed_dedup, license_scan, oracle_sql, packing, sharding, simhash, suffix_dedup, token_files, toxicity, warc
+from tidemark.llm import (block_knn, decontam, embed_dedup, license_scan, merkle, oracle_sql, packing, prefix_trie,
+                          sharding, simhash, suffix_dedup, token_files, toxicity, warc)
 from tidemark.llm.common import table
 
 
@@ -63,6 +64,20 @@ def op10_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shown = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(docs, presented=shown).withColumnRenamed("id", "doc_id")
+
+
+def op12_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_license": op2_license,
@@ -74,6 +89,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_best_fit": op9_best_fit,
     "op10_repair": op10_repair,
+    "op11_merkle": op11_merkle,
+    "op12_block_knn": op12_block_knn,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 # The others are not SQL (XXH64 with a seed, byte positions, learned weights,
@@ -83,4 +101,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_winnowing": oracle_sql.OP3,
     "op4_warc": oracle_sql.OP4,
     "op6_pigeonhole": oracle_sql.OP6,
+    "op11_merkle": oracle_sql.OP11,
+    "op12_block_knn": oracle_sql.OP12,
+    "op13_prefix_trie": oracle_sql.OP13,
 }
