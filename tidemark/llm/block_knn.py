@@ -199,9 +199,9 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vect
 
     Vectors that are null, empty, zero or hold null or non-finite components, and
     rows without id, take no part. Vectors of different lengths are not compared.
-    Rows that repeat count once. Rows of one id with different vectors are each
-    candidates, but as queries only the row with the smallest vector counts.
-    Other columns are ignored. An empty table gives an empty result.
+    Rows that repeat count once, and of rows of one id with different vectors the
+    one with the smallest vector (component by component). Other columns are
+    ignored. An empty table gives an empty result.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double") + F.lit(0.0))  # one zero
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), is_query.alias("query")).where(
@@ -209,6 +209,13 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vect
     rows = rows.select("id", "v", F.coalesce("query", F.lit(False)).alias("query"), F.xxhash64("v").alias("k1"),
                        F.xxhash64(F.lit(7), "v").alias("k2"))
 
+    # Ids with several vectors are rare, so they are looked for by hashes alone.
+    doubled = stored(rows.select("id", "k1", "k2").distinct().groupBy("id").count().where("count > 1").select("id"), "knn-doubled")
+    if doubled.limit(1).count():
+        one = rows.join(doubled, "id", "left_semi").groupBy("id").agg(
+            F.min(F.struct("v", "k1", "k2")).alias("m"), F.max("query").alias("query"))
+        rows = rows.join(doubled, "id", "left_anti").unionByName(one.select("id", "m.v", "query", "m.k1", "m.k2"))
+
     # A distinct vector stands for its ids, of which a result needs the k + 1
     # smallest at most (the rank is limited before rows are shuffled).
     ranked = rows.select("k1", "k2", "id").distinct().withColumn("r", F.row_number().over(
@@ -217,9 +224,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vect
     each = rows.groupBy("k1", "k2").agg(F.first("v").alias("v")).join(ids, ["k1", "k2"])
     each = stored(each.select("k1", "k2", "v", "ids", F.size("v").cast("long").alias("size"),
                               F.col("ids")[0].alias("node")), "knn-vectors")
-    asks = rows.where("query").groupBy("id").agg(F.min(F.struct("v", "k1", "k2")).alias("m")).select(
-        "id", "m.k1", "m.k2")
-    asks = stored(asks, "knn-asks")
+    asks = stored(rows.where("query").select("id", "k1", "k2").distinct(), "knn-asks")
     wanted = asks.select("k1", "k2").distinct()
 
     # Blocks: as many as the counts ask for, dealt by hash.
