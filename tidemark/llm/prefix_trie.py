@@ -128,7 +128,8 @@ def rebuilt(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("at"),
         F.unhex(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text), 256)).alias("turn"),
         n_words(text).alias("words"))
-    own = positions(rows, ["at", "turn"], "trie-turns", group="conv").select(
+    # Stored as digests: the order below passes over the rows twice.
+    own = positions(stored(rows, "trie-digests"), ["at", "turn"], "trie-turns", group="conv").select(
         "conv", F.col("_before").alias("pos"), "turn", "words")
     own = stored(own, "trie-turns")
     # The first turns of each base, and for every conversation how many it takes.
