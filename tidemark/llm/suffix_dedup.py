@@ -22,8 +22,9 @@ offset) pairs and drops what is unique):
 
 Texts are kept once each in a bucketed table, so later rounds move ranks and
 not texts. Exact copies are known from their keys. Counting combines on the
-map side; joins against counts can be split by AQE, so a passage that a third
-of the documents share is not one task's work.
+map side, and the counts are stored before they are joined: then both sides of
+the join are plain exchanges, which AQE splits, so a passage that a third of
+the documents share is not one task's work.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ from tidemark.llm.common import run_dir, stored
 LENGTH = 400
 REACH = 272          # owned windows start at most this far before the anchor
 GRAM = 32            # bytes hashed to choose anchors
-FIRST = 64           # bytes of the first rank; the next covers twice as many
+FIRST = 64           # bytes of the first rank at most; the next covers twice as many
+LEAST_FIRST = 16
 SEGMENT = 1 << 18    # windows handled at once, which bounds a task's memory
 TOGETHER = 4000      # blocks of a rank compared inside one task; more go by window
 BUCKET_BYTES = 32 << 20
@@ -114,9 +116,14 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def first_rank(length: int) -> int:
+    """Bytes of the first rank: four of them and a gram fit into a window."""
+    return min(FIRST, (length - GRAM) // 4)
+
+
 def runs(buf, starts, sizes, length: int, h: Hashes) -> tuple:
     """(piece, low, high, anchor) of each run of windows with one anchor; positions in buf."""
-    reach = min(REACH, length - 2 * FIRST + 1)
+    reach = min(REACH, length - 2 * first_rank(length) + 1)
     count = sizes - length + 1
     window = _spread(starts, count)
     piece = np.repeat(np.arange(len(starts)), count)
@@ -149,8 +156,8 @@ def _each_run(texts: list[bytes], length: int):
         yield buf, h, rows[piece], low - starts[piece] + offsets[piece], high - low + 1, low, anchor
 
 
-def _rank(h: Hashes, anchor: np.ndarray) -> np.ndarray:
-    return _mix(h(anchor, FIRST), h(anchor + FIRST, FIRST))
+def _rank(h: Hashes, anchor: np.ndarray, first: int) -> np.ndarray:
+    return _mix(h(anchor, first), h(anchor + first, first))
 
 
 def _batched(batches, columns: dict, rows):
@@ -165,7 +172,7 @@ def _ranked(texts: DataFrame, length: int) -> DataFrame:
     def rows(own, b):
         k1, k2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2"))
         for _, h, row, low, _, _, anchor in _each_run(own, length):
-            yield {"r": _signed(_rank(h, anchor)), "k1": pa.array(k1[row]), "k2": pa.array(k2[row]),
+            yield {"r": _signed(_rank(h, anchor, first_rank(length))), "k1": pa.array(k1[row]), "k2": pa.array(k2[row]),
                    "low": pa.array(low.astype(np.int64))}
 
     cols = {"r": 0, "k1": 0, "k2": 0, "low": 0}
@@ -175,18 +182,19 @@ def _ranked(texts: DataFrame, length: int) -> DataFrame:
 
 def _parts(h: Hashes, row, low, n, at, anchor, length: int) -> tuple:
     """The runs' near and far parts: (rank, row, low, n, at, anchor). A near
-    part's rank covers 256 bytes from the anchor on, a far part's 128 from it on
-    and those of the window before it."""
-    before = length - 4 * FIRST
+    part's rank covers four first ranks (256 bytes) from the anchor on, a far
+    part's two from it on and the rest of the window before it."""
+    one = first_rank(length)
+    before = length - 4 * one
     cut = np.clip(anchor - before - at, 0, n)      # windows in the far part
     out = []
     for first, count, far in ((cut, n - cut, False), (np.zeros_like(cut), cut, True)):
         ok = count > 0
         a = anchor[ok]
         if far:
-            rank = _mix(_rank(h, a), h(a - before, before)) ^ np.uint64(1)
+            rank = _mix(_rank(h, a, one), h(a - before, before)) ^ np.uint64(1)
         else:
-            rank = _mix(_rank(h, a), _rank(h, a + 2 * FIRST))
+            rank = _mix(_rank(h, a, one), _rank(h, a + 2 * one, one))
         out.append((rank, row[ok], (low + first)[ok], count[ok], (at + first)[ok], a))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -372,7 +380,10 @@ def _distinct_texts(keyed: DataFrame, length: int) -> DataFrame:
     name = f"tidemark_texts_{uuid.uuid4().hex}"
     (once.write.bucketBy(buckets, "k1").option("path", run_dir(spark, "texts"))
      .option("compression", "zstd").format("parquet").saveAsTable(name))
-    return spark.table(name)
+    # The files stay bucketed for this frame; the catalog keeps no entry.
+    texts = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return texts
 
 
 def _listed(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -384,14 +395,15 @@ def _listed(texts: DataFrame, rows: DataFrame) -> DataFrame:
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """(k1, k2, low, n): runs of n windows from byte ``low`` of text (k1, k2)
     that start anywhere else too. ``texts`` holds each text once."""
-    ranked = _ranked(texts, length)
-    again = ranked.groupBy("r").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r")
+    ranked = stored(_ranked(texts, length), "ranks")
+    again = stored(ranked.groupBy("r").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("r"), "again")
+    # Both sides come from tables, so AQE can deal a very common rank to many tasks.
     alive = ranked.join(again, "r", "left_semi").select("k1", "k2", "low")
 
     blocks = stored(_blocks(_listed(texts, alive), length), "blocks")
     kinds = stored(blocks.groupBy("r", "b1", "b2").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "low")).alias("one")), "kinds")
-    many = kinds.groupBy("r").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+    many = stored(kinds.groupBy("r").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"), "many")
     whole = blocks.join(kinds.where("copies > 1").select("r", "b1", "b2"), ["r", "b1", "b2"], "left_semi")
     # One block of each kind stands for its copies.
     open_ = stored(kinds.join(many, "r").select("one.*", "variants"), "open")
@@ -414,9 +426,10 @@ def _spans(low: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return start[first], end[np.append(first[1:], len(start)) - 1]
 
 
-def _cut(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+def _cut(texts: DataFrame, windows: DataFrame, length: int, whole: int, words: int) -> DataFrame:
     """What remains of each text that has repeated windows: of its bytes the
-    hash, and as text the whole characters of each remaining piece."""
+    hash, and as text the whole characters of each remaining piece. A repeated
+    run goes if it has ``whole`` bytes or more than ``words`` words."""
     def run(batches):
         for b in batches:
             out = []
@@ -424,13 +437,15 @@ def _cut(texts: DataFrame, windows: DataFrame, length: int) -> DataFrame:
                 low = np.array([s["low"] for s in spans], np.int64)
                 n = np.array([s["n"] for s in spans], np.int64)
                 start, end = _spans(low, n, length)
-                kept, at = [], 0
+                kept, at, gone = [], 0, 0
                 for s, e in zip(start.tolist(), end.tolist()):
+                    if e - s < whole and len(text[s:e].split()) <= words:
+                        continue
                     kept.append(text[at:s])
-                    at = e
+                    at, gone = e, gone + 1
                 kept.append(text[at:])
                 rest = b"".join(kept)
-                out.append((k1, k2, len(text) - len(rest), len(start), hashlib.sha256(rest).hexdigest(),
+                out.append((k1, k2, len(text) - len(rest), gone, hashlib.sha256(rest).hexdigest(),
                             "".join(x.decode(errors="ignore") for x in kept)))
             cols = list(zip(*out)) or [[]] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (
@@ -450,19 +465,19 @@ def _key(text) -> tuple:
     return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
-def _fates(docs: DataFrame, text_col: str, length: int, with_text: bool) -> DataFrame:
+def _fates(docs: DataFrame, text_col: str, length: int, with_text: bool, whole: int = 0, words: int = 0) -> DataFrame:
     """(_k1, _k2, _copies, _n_removed, _n_spans, _kept_sha256[, _kept]) of each
     text that has copies or repeated windows."""
-    if length < 4 * FIRST + GRAM:
-        raise ValueError(f"length must be at least {4 * FIRST + GRAM}")
+    if first_rank(length) < LEAST_FIRST:
+        raise ValueError(f"length must be at least {4 * LEAST_FIRST + GRAM}")
     text = _text(text_col)
     k1, k2 = _key(text)
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"))
     texts = _distinct_texts(keyed, length)
-    cut = _cut(texts, repeated_windows(texts, length), length)
+    cut = _cut(texts, repeated_windows(texts, length), length, whole, words)
     if not with_text:
         cut = cut.drop("kept")
-    cut = stored(cut, "cut")
+    cut = stored(cut.where("n_spans > 0"), "cut")
     copied = keyed.select("k1", "k2").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     both = cut.join(copied, ["k1", "k2"], "full")
     return both.select(*[F.col(c).alias(f"_{c}") for c in ("k1", "k2", "copies", *cut.columns[2:])])
@@ -497,15 +512,21 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
 
 def cut_repeats(docs: DataFrame, text_col: str = "text", chars_col: str | None = None,
-                length: int = LENGTH) -> DataFrame:
+                length: int = LENGTH, whole: int = 0, words: int = 0) -> DataFrame:
     """The input's rows and columns, without the bytes of repeats in the text (a
     character that loses a byte goes whole); ``chars_col`` follows the text.
+
+    ``length`` is the least repeated string that is looked for. Of the maximal
+    runs that such strings cover, those go that have at least ``whole`` bytes or
+    more than ``words`` words (runs between white space); by default all do.
     Nulls, copies and empty tables as in remove_repeats."""
-    fates = _fates(docs, text_col, length, True)
+    fates = _fates(docs, text_col, length, True, whole, words)
     text = _text(text_col)
     k1, k2 = _key(text)
     left = docs.select(F.struct("*").alias("_doc"), k1.alias("_a1"), k2.alias("_a2"),
-                       (F.octet_length(text) >= length).alias("_long"))
+                       ((F.octet_length(text) >= max(length, whole))
+                        | ((F.octet_length(text) >= length)
+                           & (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) > words))).alias("_long"))
     joined = left.join(fates, (F.col("_a1") == F.col("_k1")) & (F.col("_a2") == F.col("_k2")), "left")
     rest = F.when((F.col("_copies") > 1) & F.col("_long"), F.lit("")).otherwise(F.col("_kept"))
     out = joined.select("_doc", rest.alias("_rest"))
