@@ -29,16 +29,26 @@ def _cached(t: Tables, key, compute):
     return t.cache[key]
 
 
+def _greatest(t: Tables, table: str, scan):
+    """MAX of the table's anchor column: from the zone map where the stored star
+    has one (no data file is opened), else by ``scan``."""
+    return t.zone_bounds(table)[1] if t.zone_bounds is not None else scan()
+
+
+def _day(value) -> date | None:
+    return value.date() if isinstance(value, datetime) else value
+
+
 def latest_start(t: Tables) -> date | None:
     """MAX(fact_subscriptions.start_date): the revenue anchor D."""
-    return _cached(t, "latest_start",
-                   lambda: t.subscriptions.agg(F.max("start_date")).first()[0])
+    return _cached(t, "latest_start", lambda: _day(_greatest(
+        t, "fact_subscriptions", lambda: t.subscriptions.agg(F.max("start_date")).first()[0])))
 
 
 def latest_created(t: Tables) -> date | None:
     """MAX(dim_accounts.created_at)."""
-    return _cached(t, "latest_created",
-                   lambda: t.accounts.agg(F.max("created_at")).first()[0])
+    return _cached(t, "latest_created", lambda: _day(_greatest(
+        t, "dim_accounts", lambda: t.accounts.agg(F.max("created_at")).first()[0])))
 
 
 # Partition column of a stored, month-partitioned fact_events.
@@ -48,9 +58,10 @@ EVENT_MONTH = "event_month"
 def latest_event(t: Tables) -> datetime | None:
     """MAX(fact_events.event_timestamp): the usage anchor T.
 
-    On a stored fact partitioned by month, the maximum lies in the latest
-    month, so the latest partition is found first and only it is scanned."""
-    def compute():
+    On a stored fact partitioned by month without a zone map, the maximum lies
+    in the latest month, so the latest partition is found first and only it is
+    scanned."""
+    def scan():
         ev = t.events
         if EVENT_MONTH in ev.columns:
             last = ev.agg(F.max(EVENT_MONTH)).first()[0]
@@ -59,7 +70,7 @@ def latest_event(t: Tables) -> datetime | None:
             ev = ev.where(F.col(EVENT_MONTH) == F.lit(last))
         return ev.agg(F.max("event_timestamp")).first()[0]
 
-    return _cached(t, "latest_event", compute)
+    return _cached(t, "latest_event", lambda: _greatest(t, "fact_events", scan))
 
 
 def calendar_month(t: Tables, year: int | None, month: int | None) -> tuple[date | None, date | None]:

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources import paths as files
-from tidemark.sources.raw import read_raw
+from tidemark.sources import zones
+from tidemark.sources.raw import read_raw, table_path
 
 # Fixed values of the derivation (FIXTURES.md): the calendar range, the day
 # shift that moves order dates into the subscription era, the renewal base,
@@ -86,6 +87,10 @@ class Tables:
         self.source: str | None = None
         # () -> (first, last) day of a calendar known to hold every day between.
         self.calendar_span = None
+        # table -> (MIN, MAX) of its zoned column (sources.zones), on a stored star.
+        self.zone_bounds = None
+        # attribute -> path that holds its rows.
+        self.paths: dict[str, str] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in Tables.NAMES:
@@ -95,6 +100,10 @@ class Tables:
             return value
         raise AttributeError(name)
 
+    def input_bytes(self, attr: str) -> int | None:
+        """Stored bytes that a table is read from, if known."""
+        return files.size(self.spark, self.paths[attr]) if attr in self.paths else None
+
     def version(self) -> str:
         """Changes when the input files do; unique if there is no one folder."""
         return files.version(self.spark, self.source) if self.source else uuid.uuid4().hex
@@ -231,6 +240,8 @@ def load_star(spark: SparkSession, sf_dir: str) -> Tables:
 
     t.calendar_span = whole_years(t)
     t.source = sf_dir
+    t.paths = {attr: table_path(sf_dir, raw) for attr, raw in
+               (("accounts", "customer"), ("subscriptions", "orders"), ("events", "events"), ("contacts", "customer"))}
     return t
 
 
@@ -251,4 +262,7 @@ def read_star(spark: SparkSession, star_dir: str) -> Tables:
 
     t = Tables(spark, **{attr: reader(table, schema) for attr, (table, schema) in STAR_TABLES.items()})
     t.source = star_dir
+    t.paths = {attr: f"{star_dir.rstrip('/')}/{table}" for attr, (table, _) in STAR_TABLES.items()}
+    if zones.has_map(spark, star_dir):
+        t.zone_bounds = lambda table: zones.bounds(spark, star_dir, table)
     return t
