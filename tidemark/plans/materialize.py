@@ -4,7 +4,9 @@
 once, laid out for the views' filters, and read back (so every view scans
 stored, pruned, pushed-down parquet instead of re-deriving from raw tables);
 (2) each view is written in dependency order, and views built on views read
-their parent's stored copy (a consistent snapshot and a short lineage).
+their parent's stored copy (a consistent snapshot and a short lineage). The
+report's plain views (plans.plain_views) are not stored: they are SQL views over
+the star, evaluated at every read.
 
 Layout of the stored star:
 
@@ -17,6 +19,8 @@ Layout of the stored star:
   marked with ``=`` so that an empty status stays apart from NULL, and sorted
   by (start_date, subscription_id), so start-date bounds skip row groups.
 * dimensions: written as they are.
+* ``zone_map``: least and greatest anchor value of every file (sources.zones),
+  so the anchors of later builds and views are looked up without a scan.
 
 Every build goes to a run folder of its own; the file ``CURRENT`` names the
 last finished one and is replaced at the end, so readers keep a whole, unchanged
@@ -36,31 +40,44 @@ from pyspark.sql import functions as F
 from tidemark.functions.views import stored_key
 from tidemark.operators.usage import EVENT_MONTH
 from tidemark.params import Params
+from tidemark.plans.plain_views import PLAIN
 from tidemark.plans.registry import ALL, DEPENDS
 from tidemark.session import shared_dir
 from tidemark.sources import paths as files
+from tidemark.sources import zones
 from tidemark.sources.star import STAR_TABLES, STATUS_PART, Tables, read_star
 
 
 _KEY, _CURRENT = "KEY", "CURRENT"
+_EMPTY_PARTITION = {EVENT_MONTH: f"{EVENT_MONTH}=1970-01-01", STATUS_PART: f"{STATUS_PART}=%3D"}
 
 
 def _done(spark, path: str) -> bool:
     return files.exists(spark, f"{path}/_SUCCESS")
 
 
+# Stored bytes a task writes of a fact, whatever the cluster's cores.
+TASK_BYTES = 128 << 20
+
+
+def _ranged(t: Tables, attr: str, df: DataFrame, keys) -> DataFrame:
+    """``df`` in ranges of ``keys``, as many as its input's bytes ask for."""
+    held = t.input_bytes(attr)
+    return df.repartitionByRange(*keys) if held is None else df.repartitionByRange(max(1, -(-held // TASK_BYTES)), *keys)
+
+
 def _star_frame(t: Tables, attr: str) -> tuple[DataFrame, list[str]]:
     df = getattr(t, attr)
     if attr == "events":
         ts = F.col("event_timestamp")
-        df = (df.withColumn(EVENT_MONTH, F.make_date(F.year(ts), F.month(ts), F.lit(1)))
-              .repartitionByRange(ts, F.col("event_sk")).sortWithinPartitions(EVENT_MONTH, ts, "event_sk"))
+        df = df.withColumn(EVENT_MONTH, F.make_date(F.year(ts), F.month(ts), F.lit(1)))
+        df = _ranged(t, attr, df, [ts, F.col("event_sk")]).sortWithinPartitions(EVENT_MONTH, ts, "event_sk")
         return df, [EVENT_MONTH]
     if attr == "subscriptions":
         # Marked, since partition values cannot tell an empty string from NULL.
         df = df.withColumn(STATUS_PART, F.concat(F.lit("="), F.col("status"))).drop("status")
         keys = [F.col("start_date"), F.col("subscription_id")]
-        return df.repartitionByRange(*keys).sortWithinPartitions(STATUS_PART, *keys), [STATUS_PART]
+        return _ranged(t, attr, df, keys).sortWithinPartitions(STATUS_PART, *keys), [STATUS_PART]
     return df, []
 
 
@@ -75,6 +92,10 @@ def write_star(t: Tables, out_dir: str, resume: bool = False) -> Tables:
         if parts:
             writer = writer.partitionBy(*parts)
         writer.parquet(path)
+        if parts and not files.data_files(t.spark, path):
+            # No row, no partition: an empty file keeps the table's columns readable.
+            df.drop(*parts).limit(0).write.mode("append").parquet(f"{path}/{_EMPTY_PARTITION[parts[0]]}")
+    zones.refresh(t.spark, out_dir)
     return read_star(t.spark, out_dir)
 
 
@@ -98,10 +119,11 @@ def order(names) -> list[str]:
 
 def build_views(t: Tables, p: Params, out_dir: str, names=None, resume: bool = False) -> dict[str, str]:
     """Write views (default: all registered keys) in dependency order; each
-    written view is then read from storage by its children."""
+    written view is then read from storage by its children. Plain views are
+    never stored."""
     spark = t.spark
     paths = {}
-    for name in order(names or list(ALL)):
+    for name in [n for n in order(names or list(ALL)) if n not in PLAIN]:
         path = f"{out_dir.rstrip('/')}/{name}"
         if not (resume and _done(spark, path)):
             ALL[name](t, p).write.mode("overwrite").parquet(path)

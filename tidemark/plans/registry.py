@@ -94,12 +94,10 @@ CORRECTED: dict[str, Operator] = {
 ALL: dict[str, Operator] = {**VIEWS, **KPIS, **CORRECTED}
 
 # Views read by other views (child -> parents); materialization writes
-# parents first and children read the stored parent.
+# parents first and children read the stored parent. Plain views
+# (plans.plain_views) are nobody's stored parent.
 DEPENDS: dict[str, tuple[str, ...]] = {
     "churn_rate": ("churn_summary_ytd",),
-    "active_users": ("churn_status",),
-    "churned_users": ("churn_status",),
-    "renewal_pipeline": ("renewals_due",),
     "sub_trend": ("cohort_survival",),
     "retention_cohort": ("sub_trend",),
     "kpi_mrr": ("mrr_arr_snapshot",),
