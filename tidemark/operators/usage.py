@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
+from tidemark.functions import bloom
 from tidemark.functions.fixed import ACTIVE, FEATURE_USE, LOGIN, PAGE_PATH, PAGE_VIEW
 from tidemark.functions.joins import account_attrs, in_dim
 from tidemark.functions.predicates import ATTRS, not_navigation, open_at, ratio
@@ -67,26 +68,39 @@ def _joinable_pairs(t: Tables, p: Params) -> DataFrame:
         F.col("account_sk").isNotNull() & F.col("product_sk").isNotNull())
 
 
-def adopted_triples(t: Tables, p: Params) -> DataFrame:
+def feature_triples(t: Tables, p: Params) -> DataFrame:
+    """Distinct (account, product, feature) of feature events, without most of
+    those whose pair isn't active: a Bloom filter of the active pairs stands on
+    the event scan, so what no pair can match is neither reduced nor shuffled."""
+    pairs = ["account_sk", "product_sk"]
+    ev = t.events.where(F.col("feature_sk").isNotNull())
+    if ("active_pairs", p.as_of) not in t.cache:
+        t.cache["active_pairs", p.as_of] = bloom.build(_joinable_pairs(t, p), pairs)
+    kept = t.cache["active_pairs", p.as_of]
+    if kept is not None:
+        ev = ev.where(kept.may_hold(*pairs))
+    return ev.select(*pairs, "feature_sk").distinct()
+
+
+def adopted_triples(t: Tables, p: Params, triples: DataFrame | None = None) -> DataFrame:
     """Distinct (account, product, feature) of feature events by active
-    (account, product) pairs."""
+    (account, product) pairs; ``triples``: those of all events, if at hand."""
     # Events are reduced to distinct triples first; the active pairs are
     # distinct, so the inner join keeps each triple once (a left-semi join
     # would be moved below the reduction by the optimizer).
-    ev = (t.events.where(F.col("feature_sk").isNotNull())
-          .select("account_sk", "product_sk", "feature_sk").distinct())
+    ev = feature_triples(t, p) if triples is None else triples
     return ev.join(_joinable_pairs(t, p), ["account_sk", "product_sk"])
 
 
-def feature_usage_adopted_users(t: Tables, p: Params) -> DataFrame:
+def feature_usage_adopted_users(t: Tables, p: Params, triples: DataFrame | None = None) -> DataFrame:
     """The adopted triples; `feature_users` is the account key, not a
     count, as in the original."""
-    return adopted_triples(t, p).select(
+    return adopted_triples(t, p, triples).select(
         "product_sk", "feature_sk", F.col("account_sk").alias("feature_users"))
 
 
-def _adoption(t: Tables, p: Params) -> DataFrame:
-    feat = (adopted_triples(t, p).groupBy("product_sk", "feature_sk")
+def _adoption(t: Tables, p: Params, triples: DataFrame | None) -> DataFrame:
+    feat = (adopted_triples(t, p, triples).groupBy("product_sk", "feature_sk")
             .agg(F.count("account_sk").alias("feature_users")))  # the triples are distinct
     # From the same pairs the triples join to (a NULL account is not counted
     # and a NULL product finds no feature row either way): one scan of the
@@ -98,19 +112,19 @@ def _adoption(t: Tables, p: Params) -> DataFrame:
     return feat.join(users, "product_sk")
 
 
-def feature_adoption_pct(t: Tables, p: Params) -> DataFrame:
+def feature_adoption_pct(t: Tables, p: Params, triples: DataFrame | None = None) -> DataFrame:
     """E5: feature users / active users per product, in percent, rounded to 2
     places half away from zero on exact decimals (numeric in the original)."""
     num = F.col("feature_users").cast("decimal(20,0)")
     den = F.col("users_per_product").cast("decimal(20,0)")
-    return _adoption(t, p).select(
+    return _adoption(t, p, triples).select(
         "product_sk", "feature_sk", "feature_users", "users_per_product",
         F.round(num / den * 100, 2).alias("feature_adoption"))
 
 
-def adoption_rates(t: Tables, p: Params) -> DataFrame:
+def adoption_rates(t: Tables, p: Params, triples: DataFrame | None = None) -> DataFrame:
     """E5's ratio as float8, not scaled, not rounded."""
-    return _adoption(t, p).select(
+    return _adoption(t, p, triples).select(
         "product_sk", "feature_sk", "feature_users", "users_per_product",
         (F.col("feature_users").cast("double") / F.col("users_per_product")).alias("feature_adoption"))
 
