@@ -22,7 +22,7 @@ def test_every_query_has_an_oracle():
     assert set(registry.ALL) <= set(ORACLE) and set(ORACLE) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n in registry.ALL or n.startswith(("view_", "states_"))))
+@pytest.mark.parametrize("name", sorted(n for n in ORACLE if n in registry.ALL or n.startswith(("view_", "states_", "slicer_"))))
 def test_parity(spark, con, name):
     ok, msg = compare(E.queries()[name](spark, SF_SMALL), con, ORACLE[name], strict=True)
     assert ok, msg

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
 from tidemark.functions.fixed import ACTIVE, ACTIVE_LIKE, CHURNED, NOT_CHURNED
-from tidemark.functions.joins import account_attrs, in_dim
+from tidemark.functions.joins import account_attrs, in_dim, with_account
 from tidemark.functions.predicates import ATTRS, SLICE, is_active_status, open_at
 from tidemark.functions.views import parent, stored
 from tidemark.params import Params
@@ -158,7 +158,7 @@ def renewals_due(t: Tables, p: Params) -> DataFrame:
     subs = t.subscriptions.where(
         (F.col("status") == ACTIVE)
         & F.col("renewal_date").between(A.date_lit(lo), A.date_lit(hi)))
-    return (in_dim(subs, t.accounts, "account_sk")
+    return (with_account(t, subs, ["subscription_id", "renewal_date"])
             .join(t.products, "product_sk")
             .join(t.plans, "plan_sk")
             .select("account_sk", "subscription_id", "product_name", "plan_name",

@@ -7,7 +7,8 @@ not ended before it. The anchor D is MAX(start_date) over all subscriptions.
 Plans: one scan of fact_subscriptions with literal filters (pushed to parquet),
 then a join to dim_accounts on account_sk for the attributes. dim_accounts grows
 with the data, so that join is left to the planner (AQE broadcasts it at
-runtime only if it is small, else sort-merge on account_sk).
+runtime only if it is small, else sort-merge on account_sk); the row-level
+views deal a hot account's rows over pieces first (joins.with_account).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import anchors as A
 from tidemark.functions.fixed import ACTIVE, CANCELLED, MONTHS_PER_YEAR
-from tidemark.functions.joins import account_attrs
+from tidemark.functions.joins import account_attrs, with_account
 from tidemark.functions.predicates import ATTRS, SLICE, live_at
 from tidemark.params import Params
 from tidemark.sources.star import Tables
@@ -29,10 +30,9 @@ def snapshot(t: Tables, start_by: date | None, open_from: date | None,
              with_start_date: bool = False) -> DataFrame:
     """Active subscriptions live over [start_by, open_from], with the account's
     attributes. One row per subscription."""
-    cols = ["account_sk", "product_sk", "net_mrr_usd"] + (["start_date"] if with_start_date else [])
-    subs = t.subscriptions.where(live_at(start_by, open_from)).select(*cols)
+    subs = t.subscriptions.where(live_at(start_by, open_from))
     out = ["account_sk", "product_sk", *ATTRS] + (["start_date"] if with_start_date else []) + ["net_mrr_usd"]
-    return subs.join(account_attrs(t, *ATTRS), "account_sk").select(*out)
+    return with_account(t, subs, ["subscription_id", "start_date"], *ATTRS).select(*out)
 
 
 def mrr_arr_snapshot(t: Tables, p: Params) -> DataFrame:
@@ -49,9 +49,8 @@ def open_active(t: Tables) -> DataFrame:
 def fact_mrr_accounts(t: Tables, p: Params) -> DataFrame:
     """V4: Active subscriptions with no end date (stricter than V1: no anchor,
     and a future end date excludes)."""
-    return (open_active(t).select("account_sk", "product_sk", "start_date", "net_mrr_usd")
-            .join(account_attrs(t, *ATTRS), "account_sk")
-            .select("account_sk", "product_sk", *ATTRS, "start_date", "net_mrr_usd"))
+    return with_account(t, open_active(t), ["subscription_id", "start_date"], *ATTRS).select(
+        "account_sk", "product_sk", *ATTRS, "start_date", "net_mrr_usd")
 
 
 def previous_month_day(t: Tables) -> date | None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import cohorts, corrected, customers, kpis, revenue, usage
+from tidemark.operators import cohorts, corrected, customers, kpis, revenue, timeline, usage
 from tidemark.params import Params
 from tidemark.sources.star import Tables
 
@@ -91,7 +91,13 @@ CORRECTED: dict[str, Operator] = {
     "cohort_survival_calendar": corrected.cohort_survival_calendar,      # Q3
 }
 
-ALL: dict[str, Operator] = {**VIEWS, **KPIS, **CORRECTED}
+# Totals over time from one pass (operators.timeline).
+TIMELINE: dict[str, Operator] = {
+    "mrr_timeline": timeline.mrr_timeline,
+    "mrr_at_anchors": timeline.mrr_at_anchors,                           # totals of V1, V5, V6, V7, V31
+}
+
+ALL: dict[str, Operator] = {**VIEWS, **KPIS, **CORRECTED, **TIMELINE}
 
 # Views read by other views (child -> parents); materialization writes
 # parents first and children read the stored parent. Plain views
