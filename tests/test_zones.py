@@ -102,3 +102,31 @@ def test_partitions_follow_the_bytes(spark, scratch, monkeypatch):
     held = src.input_bytes("events")
     monkeypatch.setattr(materialize, "TASK_BYTES", -(-held // 3))
     assert materialize._star_frame(src, "events")[0].rdd.getNumPartitions() == 3
+
+
+PAYLOADS = ['{"page": "home"}', '{"page": 5}', '{"page": null}', '{"page": {"a": 1}}', '{"page": [1, 2]}', '{"page": ""}',
+            '{"page": true}', "{}", "not json", "", None, '{"page": "home", "page2": "x"}', '{"page": "café \\"q\\""}']
+
+
+def test_shredded_payload(spark, scratch):
+    from tidemark.operators.usage import specific_page_usage
+    from tidemark.params import Params
+
+    events = [(i, 11, 1, 1 + i % 2, None, "page_view", "Web", "US", datetime(2024, 12, 5), p) for i, p in enumerate(PAYLOADS * 2)]
+    src = write_star(spark, os.path.join(scratch, "json-src"), {"events": events})
+    star = os.path.join(scratch, "json-star")
+    stored = materialize.write_star(src, star)
+    rows = lambda t: sorted(map(str, specific_page_usage(t, Params()).collect()))
+    assert rows(stored) == rows(src) and len(rows(src)) > 10
+    text = specific_page_usage(stored, Params())._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert scans and all("metadata_page#" in s and "metadata#" not in s for s in scans)
+    # A file that others wrote without the typed column: the text is parsed for all.
+    more = src.events.withColumn("event_sk", F.col("event_sk") + 100).withColumn("event_month", F.lit(date(2024, 12, 1)))
+    more.write.mode("append").partitionBy("event_month").parquet(f"{star}/fact_events")
+    both = read_star(spark, star)
+    assert rows(both) != rows(src)
+    counts = {r["specific_page"]: r["specific_page_views"] for r in specific_page_usage(both, Params()).where("product_sk = 1").collect()}
+    assert counts == {r["specific_page"]: 2 * r["specific_page_views"] for r in specific_page_usage(src, Params()).where("product_sk = 1").collect()}
+    zones.refresh(spark, star)
+    assert not zones.shredded(spark, star)

@@ -25,6 +25,7 @@ from tidemark.functions.joins import account_attrs, in_dim
 from tidemark.functions.predicates import ATTRS, not_navigation, open_at, ratio
 from tidemark.params import Params
 from tidemark.sources.star import Tables
+from tidemark.sources.zones import SHREDDED
 
 # Stored fact_events are partitioned by this column (first day of the
 # event's month); see tidemark.plans.materialize.
@@ -263,6 +264,14 @@ def product_users_by_country(t: Tables, p: Params) -> DataFrame:
             .agg(F.count_distinct("contact_sk").alias("user_count")))
 
 
+def _page(t: Tables) -> Column:
+    """JSON `page` of an event: the typed column of a stored star, which then is
+    all of the payload that is read, else parsed from the text."""
+    if "shredded" not in t.cache:
+        t.cache["shredded"] = t.shredded is not None and t.shredded()
+    return F.col(f"{SHREDDED}.value") if t.cache["shredded"] else F.get_json_object("metadata", PAGE_PATH)
+
+
 def specific_page_usage(t: Tables, p: Params) -> DataFrame:
     """Page views in December of the year before D (the subscription
     anchor, unlike V28), per product and JSON `page` (a missing key is a NULL
@@ -279,7 +288,7 @@ def specific_page_usage(t: Tables, p: Params) -> DataFrame:
     pv = events_between(t, lo, hi).where(
         (F.col("event_type") == PAGE_VIEW) & F.col("product_sk").isNotNull()
     ).select("product_sk", "event_type",
-             F.get_json_object("metadata", PAGE_PATH).alias("specific_page"))
+             _page(t).alias("specific_page"))
     per_page = pv.groupBy("product_sk", "specific_page").agg(
         F.count("event_type").alias("specific_page_views"))
     totals = per_page.groupBy("product_sk").agg(

@@ -14,7 +14,8 @@ Layout of the stored star:
   month) and range-clustered by (event_timestamp, event_sk) before writing, so
   each task writes a contiguous time slice (few files per month, time-sorted
   row groups) and the views' month windows prune partitions and row groups.
-  The secondary key splits a timestamp that holds many rows.
+  The secondary key splits a timestamp that holds many rows. The payload's page
+  is shredded into a typed column beside the text.
 * ``fact_subscriptions``: partitioned by the status (most views filter on it),
   marked with ``=`` so that an empty status stays apart from NULL, and sorted
   by (start_date, subscription_id), so start-date bounds skip row groups.
@@ -37,6 +38,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.fixed import PAGE_PATH
 from tidemark.functions.views import stored_key
 from tidemark.operators.usage import EVENT_MONTH
 from tidemark.params import Params
@@ -70,7 +72,8 @@ def _star_frame(t: Tables, attr: str) -> tuple[DataFrame, list[str]]:
     df = getattr(t, attr)
     if attr == "events":
         ts = F.col("event_timestamp")
-        df = df.withColumn(EVENT_MONTH, F.make_date(F.year(ts), F.month(ts), F.lit(1)))
+        df = df.withColumn(EVENT_MONTH, F.make_date(F.year(ts), F.month(ts), F.lit(1))).withColumn(
+            zones.SHREDDED, F.struct(F.get_json_object("metadata", PAGE_PATH).alias("value")))
         df = _ranged(t, attr, df, [ts, F.col("event_sk")]).sortWithinPartitions(EVENT_MONTH, ts, "event_sk")
         return df, [EVENT_MONTH]
     if attr == "subscriptions":

@@ -89,6 +89,8 @@ class Tables:
         self.calendar_span = None
         # table -> (MIN, MAX) of its zoned column (sources.zones), on a stored star.
         self.zone_bounds = None
+        # () -> whether all events hold the shredded payload (zones.SHREDDED).
+        self.shredded = None
         # attribute -> path that holds its rows.
         self.paths: dict[str, str] = {}
 
@@ -257,6 +259,8 @@ def read_star(spark: SparkSession, star_dir: str) -> Tables:
                 # A filter on this expression of the partition column prunes partitions.
                 own = own.withColumn("status", F.expr(f"substring({STATUS_PART}, 2)"))
                 return own.select(*[c.split()[0] for c in schema.replace("(12,2)", "").split(", ")])
+            if table == "fact_events" and zones.has_map(spark, star_dir):
+                return spark.read.schema(f"{schema}, {zones.SHREDDED} {zones.SHREDDED_TYPE}").parquet(path)
             return spark.read.schema(schema).parquet(path)
         return read
 
@@ -265,4 +269,5 @@ def read_star(spark: SparkSession, star_dir: str) -> Tables:
     t.paths = {attr: f"{star_dir.rstrip('/')}/{table}" for attr, (table, _) in STAR_TABLES.items()}
     if zones.has_map(spark, star_dir):
         t.zone_bounds = lambda table: zones.bounds(spark, star_dir, table)
+        t.shredded = lambda: zones.shredded(spark, star_dir)
     return t

@@ -6,8 +6,8 @@ column. ``bounds`` answers MIN and MAX from it: the fact's files are listed,
 never opened. A file counts by its path, length and time, so a file that the
 map does not know (written by others, or replaced) is found by the listing and
 alone is read; rows of files that are gone are passed over. The answer is
-therefore that of a full scan whoever wrote the files. ``refresh`` adds what
-the map lacks; ``files_between`` names the files that can hold a range.
+therefore that of a full scan whoever wrote the files. The map also tells
+which event files hold the shredded payload. ``refresh`` adds what the map lacks; ``files_between`` names the files that can hold a range.
 """
 
 from __future__ import annotations
@@ -22,9 +22,14 @@ from tidemark.sources import paths as files
 
 # Columns behind the anchors: table -> the column whose MAX anchors windows.
 ZONED = {"fact_subscriptions": "start_date", "fact_events": "event_timestamp", "dim_accounts": "created_at"}
+# The events' payload, shredded when the star is written: never NULL itself, so
+# that a file written without it is told from one whose rows have no page.
+SHREDDED, SHREDDED_TYPE = "metadata_page", "STRUCT<value: STRING>"
+_TYPES = {"fact_subscriptions": "start_date DATE", "dim_accounts": "created_at DATE",
+          "fact_events": f"event_timestamp TIMESTAMP_NTZ, {SHREDDED} {SHREDDED_TYPE}"}
 _MAP = "zone_map"
 _SCHEMA = ("table string, column string, file string, length bigint, modified bigint, "
-           "lo timestamp_ntz, hi timestamp_ntz, n bigint")
+           "lo timestamp_ntz, hi timestamp_ntz, n bigint, shredded boolean")
 
 
 def _map_dir(star_dir: str) -> str:
@@ -51,17 +56,20 @@ def _described(spark: SparkSession, star_dir: str, table: str, listed: list) ->
         return []
     column, folder = ZONED[table], f"{star_dir.rstrip('/')}/{table}"
     known = {f.name: f for f in listed}
-    df = spark.read.option("basePath", folder).parquet(*[files.literal(f"{folder}/{f.name}") for f in listed])
+    df = spark.read.schema(_TYPES[table]).option("basePath", folder).parquet(*[files.literal(f"{folder}/{f.name}") for f in listed])
     ntz = F.col(column).cast("timestamp_ntz")
+    shredded = F.col(SHREDDED).isNotNull() if table == "fact_events" else F.lit(True)
     found = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.min(ntz).alias("lo"), F.max(ntz).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+        F.min(ntz).alias("lo"), F.max(ntz).alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.min(shredded).alias("shredded")).collect()
     out, seen = [], set()
     for r in found:
         name = _relative(r["file"], folder)
         seen.add(name)
-        out.append((table, column, name, known[name].length, known[name].modified, r["lo"], r["hi"], r["n"]))
+        out.append((table, column, name, known[name].length, known[name].modified, r["lo"], r["hi"], r["n"],
+                    r["shredded"]))
     # Files without rows.
-    return out + [(table, column, f.name, f.length, f.modified, None, None, 0) for f in listed if f.name not in seen]
+    return out + [(table, column, f.name, f.length, f.modified, None, None, 0, True) for f in listed if f.name not in seen]
 
 
 def _entries(spark: SparkSession, star_dir: str, table: str) -> tuple[list[tuple], list]:
@@ -103,6 +111,12 @@ def files_between(spark: SparkSession, star_dir: str, table: str, lo, hi) -> lis
     return sorted(r[2] for r in zones(spark, star_dir, table) if r[5] is not None and r[6] >= lo and r[5] <= hi)
 
 
+def shredded(spark: SparkSession, star_dir: str) -> bool:
+    """Whether every event file has the shredded payload (files that the map lacks
+    are looked into)."""
+    return all(r[8] for r in zones(spark, star_dir, "fact_events"))
+
+
 def append(df: DataFrame, star_dir: str, table: str, partition_by=()) -> int:
     """Add rows to a stored table and its files to the map; returns the number of new files."""
     writer = df.write.mode("append")
