@@ -13,6 +13,7 @@ reads every whole text once, without a shuffle.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 from math import exp, fsum, log1p
 
@@ -77,22 +78,54 @@ def sentences(text: str | None) -> list[set]:
     return [s for s in found if s] or [set()]
 
 
-def _chosen(bags: list[list[set]], labels: np.ndarray, sample: Sample) -> list[bytes]:
+class Bags:
+    """Texts as numbers: each word once, sentences as arrays of word numbers, so
+    that the sample takes little of the driver's memory."""
+
+    def __init__(self, texts):
+        self.words: dict[bytes, int] = {}
+        flat, lengths, sizes = array("i"), array("q"), array("q")
+        for text in texts:
+            found = sentences(text)
+            sizes.append(len(found))
+            for s in found:
+                lengths.append(len(s))
+                flat.extend(self.words.setdefault(w, len(self.words)) for w in sorted(s))
+        self.flat, self.lengths, self.sizes = np.array(flat, np.int32), np.array(lengths, np.int64), np.array(sizes, np.int64)
+        names: dict[bytes, int] = {}
+        own = [[names.setdefault(f, len(names)) for f in features(w)] for w in self.words]
+        self.features = list(names)
+        self.per_word = np.array([len(x) for x in own], np.int64)
+        self.of_word = np.array([i for x in own for i in x], np.int32)
+
+    def documents(self):
+        """Word numbers of each document."""
+        ends = np.cumsum(np.concatenate([[0], self.lengths]))
+        at = 0
+        for n in self.sizes.tolist():
+            yield self.flat[ends[at]:ends[at + n]]
+            at += n
+
+    def spread(self, words: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into ``words``, value) of each word's ``counts`` values."""
+        starts = np.cumsum(counts) - counts
+        n = counts[words]
+        index = np.repeat(np.arange(len(words)), n)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return index, values[np.repeat(starts[words], n) + inside]
+
+
+def _chosen(bags: Bags, labels: np.ndarray, sample: Sample) -> list[int]:
     """Features by how far their share of toxic documents is from chance (z score)."""
-    toxic, clean = {}, {}
-    for bag, y in zip(bags, labels):
-        counts = toxic if y else clean
-        for f in {f for w in set().union(*bag) for f in features(w)}:
-            counts[f] = counts.get(f, 0) + 1
-    found = [f for f in toxic.keys() | clean.keys() if toxic.get(f, 0) + clean.get(f, 0) >= sample.least_documents]
-    if not found:
-        return []
-    a = np.array([toxic.get(f, 0) for f in found], float)
-    n = a + np.array([clean.get(f, 0) for f in found], float)
+    counts = np.zeros((2, len(bags.features)))
+    for words, y in zip(bags.documents(), labels):
+        held = np.unique(bags.spread(np.unique(words), bags.per_word, bags.of_word)[1])
+        counts[int(y > 0), held] += 1
+    n = counts.sum(0)
     share = labels.mean()
-    z = np.abs(a - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-    order = sorted(np.nonzero(z >= sample.least_z)[0].tolist(), key=lambda i: (-z[i], found[i]))
-    return [found[i] for i in order[:sample.features]]
+    z = np.abs(counts[1] - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
+    found = np.nonzero((n >= sample.least_documents) & (z >= sample.least_z))[0].tolist()
+    return sorted(found, key=lambda i: (-z[i], bags.features[i]))[:sample.features]
 
 
 def train(texts: list[str], labels: list[int], weights: list[float] | None = None,
@@ -102,14 +135,18 @@ def train(texts: list[str], labels: list[int], weights: list[float] | None = Non
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(float(np.log(share / (1 - share))) if len(y) else -5.0, {})
-    bags = [sentences(t) for t in texts]
-    vocabulary = _chosen(bags, y, sample)
-    number = {w: i for i, w in enumerate(vocabulary)}
-    sizes = np.array([len(b) for b in bags])
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    pairs = [(s, number[f]) for s, words in enumerate(x for b in bags for x in b)
-             for w in words for f in features(w) if f in number]
-    at, word = (np.array(c, np.int64) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    bags = Bags(texts)
+    chosen = _chosen(bags, y, sample)
+    vocabulary = [bags.features[i] for i in chosen]
+    number = np.full(len(bags.features), -1, np.int32)
+    number[chosen] = np.arange(len(chosen))
+    doc = np.repeat(np.arange(len(y)), bags.sizes)
+    # Chosen features alone, by word, and then by sentence.
+    of_word = number[bags.of_word]
+    word_of = np.repeat(np.arange(len(bags.per_word)), bags.per_word)
+    kept_of = np.bincount(word_of[of_word >= 0], minlength=len(bags.per_word))
+    index, word = bags.spread(bags.flat, kept_of, of_word[of_word >= 0])
+    at = np.repeat(np.arange(len(bags.lengths)), bags.lengths)[index]
     share = np.ones(len(y)) if weights is None else np.array(weights, float)
     share = share / share.sum()
     params = np.zeros(len(vocabulary) + 1)
@@ -181,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # The sample's ids first, so that only its texts move.
         few = marks.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample.per_label)
         rows += [(r.id, r.text, y) for r in texts.join(F.broadcast(few.select("id")), "id", "left_semi")
-                 .dropDuplicates(["id"]).collect()]
+                 .dropDuplicates(["id"]).toLocalIterator()]
     rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
     picked = {y: sum(r[2] == y for r in rows) for y in shares}
     each = [shares[y] / max(1, picked[y]) for _, _, y in rows]
