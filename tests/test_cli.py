@@ -17,7 +17,7 @@ def run(*args):
 
 def test_list():
     out = run("list")
-    assert out.returncode == 0 and len(out.stdout.split()) == 58
+    assert out.returncode == 0 and len(out.stdout.split()) == 60
 
 
 def test_show_and_sql():
