@@ -188,78 +188,89 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def run_offsets(values: np.ndarray) -> np.ndarray:
-    """How far each place lies from the start of its run of equal values."""
-    first = np.ones(len(values), bool)
-    first[1:] = values[1:] != values[:-1]
-    starts = np.nonzero(first)[0]
-    return np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
-
-
-def pairs_of(syms: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Each neighbouring pair as one number; -1 where a document ends between."""
-    pair = (syms[:-1] << 32) | syms[1:]
-    pair[last[:-1]] = -1
-    return pair
-
-
-def counted(pair: np.ndarray) -> np.ndarray:
-    """Where pairs count: all of them, but of a run of one symbol every second,
-    as neighbours there share a symbol."""
-    return (pair >= 0) & (run_offsets(pair) % 2 == 0)
-
-
-def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def run_offsets(same: np.ndarray) -> np.ndarray:
+    """How far each place lies from the start of its run; ``same`` marks places
+    that go on with the run of the place before."""
+    index = np.arange(len(same))
+    return index - np.maximum.accumulate(np.where(same, 0, index))
+
+
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+
+
+def frequent(pair: np.ndarray, spot: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each place's pair, pairs, counts) of the pairs that have at
+    least ``least`` of the places ``spot``; other places get the number after
+    the last. Counts are exact: a bucket of hashes below ``least`` only shows
+    early that none of its pairs has as many."""
+    own = np.flatnonzero(spot)
+    bits = max(8, len(own).bit_length() + 1)
+    bucket = ((pair[own].view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+    own = own[np.bincount(bucket, minlength=1 << bits)[bucket] >= least]
+    coded = pa.array(pair[own]).dictionary_encode()
+    index, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+    count = np.bincount(index, minlength=len(keys))
+    often = count >= least
+    none = int(often.sum())
+    code = np.full(len(pair), none, np.int64)
+    code[own] = np.where(often, np.cumsum(often) - 1, none)[index]
+    return code, keys[often], count[often]
+
+
+def compress(ids: np.ndarray, last: np.ndarray, base: int,
+             least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules) of a shard. ``last`` marks each document's last
     symbol; rule k of the (n, 2) array is nonterminal base + k. Each round
-    counts all pairs exactly and replaces those that occur LEAST_COUNT times,
+    counts all pairs exactly and replaces those that occur ``least`` times,
     the more frequent first, until none does. A pair below that count stays
-    below it, so later rounds count only the others (``open_``) and the pairs
-    with a new symbol."""
-    syms, rules = ids.astype(np.int64), []
+    below it, so later rounds look only at the places of the others and of
+    pairs with a new symbol (``open_``)."""
+    syms, last, rules = ids.astype(np.int32), last.copy(), []
     next_id = base
     open_ = np.ones(max(0, len(syms) - 1), bool)
-    while len(syms) > 1:
-        pair = pairs_of(syms, last)
-        spots = np.nonzero(open_ & counted(pair))[0]
-        coded = pa.array(pair[spots]).dictionary_encode()
-        code, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        count = np.bincount(code, minlength=len(keys))
-        chosen = np.nonzero(count >= LEAST_COUNT)[0]
-        if not len(chosen):
+    while True:
+        # Of a run of one symbol every second place counts, as neighbours there share a symbol.
+        at = np.flatnonzero(open_ & ~last[:-1])
+        pair = (syms[at].astype(np.int64) << 32) | syms[at + 1]
+        again = np.zeros(len(at), bool)
+        again[1:] = (at[1:] == at[:-1] + 1) & (pair[1:] == pair[:-1])
+        spot = run_offsets(again) % 2 == 0
+        code, keys, count = frequent(pair, spot, least)
+        none = len(keys)
+        if not none:
             break
         # Pairs of like frequency go in scrambled order, or along a chain of
         # them only the first pair would be replaced in a round.
-        level = np.log2(count[chosen]).astype(np.int64)
-        scrambled = keys[chosen].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        chosen = chosen[np.lexsort((scrambled, -level))]
-        none = len(chosen)
-        place = np.full(len(keys), none, np.int64)
-        place[chosen] = np.arange(none)
+        order = np.lexsort((keys.view(np.uint64) * _MIX, -np.log2(count).astype(np.int64)))
+        place = np.full(none + 1, none, np.int64)
+        place[order] = np.arange(none)
         # Turn of every place; inside a run the places between the counted ones have it too.
-        turn = np.full(len(pair) + 2, none, np.int64)
-        turn[spots + 1] = place[code]
-        odd = np.nonzero((pair[1:] == pair[:-1]) & (pair[1:] >= 0))[0] + 2
-        odd = odd[turn[odd] == none]
-        turn[odd] = turn[odd - 1]
+        turn = place[code]
+        between = np.flatnonzero(~spot)
+        turn[between] = turn[between - 1]
+        some = turn < none
+        at, turn = at[some], turn[some]
+        open_[:] = False
+        open_[at] = True
         # A run goes when its neighbours come later; of its places every second,
         # and where the one before comes sooner, from the second place on.
-        offset = run_offsets(turn)
-        begins = np.arange(len(turn)) - offset
-        late = (turn[begins - 1] < turn).astype(np.int64)
-        take = (turn < none) & (offset >= late) & ((offset - late) % 2 == 0)
-        take[:-1] &= turn[:-1] <= turn[1:]
-        at = np.nonzero(take[1:-1])[0]
-        own = turn[at + 1]
-        taken = np.bincount(own, minlength=none)
+        beside, again, late = (np.zeros(len(at), bool) for _ in range(3))
+        beside[1:] = at[1:] == at[:-1] + 1
+        again[1:] = beside[1:] & (turn[1:] == turn[:-1])
+        late[1:] = beside[1:] & (turn[:-1] < turn[1:])
+        offset = run_offsets(again)
+        wait = late[np.arange(len(at)) - offset].astype(np.int64)
+        take = (offset >= wait) & ((offset - wait) % 2 == 0)
+        take[:-1] &= ~beside[1:] | (turn[:-1] <= turn[1:])
         # A pair left with fewer places than that waits; the first in turn never does.
-        used = np.nonzero(taken >= LEAST_COUNT)[0]
-        at, own = (x[taken[own] >= LEAST_COUNT] for x in (at, own))
-        number = np.zeros(none, np.int64)
+        taken = np.bincount(turn[take], minlength=none)
+        used = np.flatnonzero(taken >= least)
+        number = np.zeros(none, np.int32)
         number[used] = next_id + np.arange(len(used))
-        open_ = turn[1:-1] < none
-        syms[at] = number[own]
-        last[at] |= last[at + 1]
+        take &= taken[turn] >= least
+        at, turn = at[take], turn[take]
+        syms[at] = number[turn]
+        last[at] = last[at + 1]
         stay = np.ones(len(syms), bool)
         stay[at + 1] = False
         fresh = np.zeros(len(syms), bool)
@@ -267,7 +278,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
         open_ = np.append(open_, False)[stay][:-1]
         fresh, syms, last = fresh[stay], syms[stay], last[stay]
         open_ |= fresh[:-1] | fresh[1:]
-        pairs = keys[chosen[used]]
+        pairs = keys[order[used]]
         rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
         next_id += len(used)
     return syms, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
