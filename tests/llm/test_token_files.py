@@ -85,8 +85,8 @@ def pair_counts(syms, last):
     return out
 
 
-def compressed(ids, last):
-    syms, last, rules = token_files.compress(np.array(ids, np.uint32), np.array(last), 1000)
+def compressed(ids, last, least=2):
+    syms, last, rules = token_files.compress(np.array(ids, np.uint32), np.array(last), 1000, least)
     whole = [[i] for i in range(1000)]
     for a, b in rules.tolist():
         whole.append(whole[a] + whole[b])
@@ -95,14 +95,15 @@ def compressed(ids, last):
     return syms.tolist(), last.tolist()
 
 
-def test_no_pair_is_left_twice():
+@pytest.mark.parametrize("least", [2, 3, token_files.LEAST_COUNT])
+def test_no_frequent_pair_is_left(least):
     rng = np.random.default_rng(5)
     for _ in range(150):
         n = int(rng.integers(1, 300))
         last = rng.random(n) < rng.choice([0, 0.02, 0.3])
         last[-1] = True
-        syms, last = compressed(rng.integers(0, rng.integers(1, 12), n).tolist(), last)
-        assert max(pair_counts(syms, last).values(), default=0) < 2
+        syms, last = compressed(rng.integers(0, rng.integers(1, 12), n).tolist(), last, least)
+        assert max(pair_counts(syms, last).values(), default=0) < least
 
 
 def test_copies_of_a_long_text_and_runs_become_few_symbols():
@@ -114,3 +115,14 @@ def test_copies_of_a_long_text_and_runs_become_few_symbols():
     alone = np.zeros(500, bool)
     alone[-1] = True
     assert len(compressed([7] * 500, alone)[0]) < 10
+
+
+def test_least_count_saves_bytes(tmp_path):
+    """Files are smallest near the least count that the storage cost gives."""
+    rng = np.random.default_rng(8)
+    ids = (rng.zipf(1.3, 200_000) % 5000).astype(np.uint32)
+    size = {}
+    for least in (2, token_files.LEAST_COUNT, 60):
+        syms, _, rules = token_files.compress(ids, np.arange(len(ids)) == len(ids) - 1, 50257, least)
+        size[least] = len(syms) * 18 / 8 + 12 * len(rules)
+    assert size[token_files.LEAST_COUNT] < min(size[2], size[60])
