@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from llm import small
 from tidemark.llm import decontam
 
@@ -91,3 +93,19 @@ def test_windows_hold_no_ids(spark):
     got = decontam.find(small.documents(spark, values), bench, keep=["doc_id"])
     assert small.rows(got, *COLUMNS) == plain(values, [x for x in items if x[0] is not None])[:2] + [
         (2, 11, 11, 0, hashlib.sha256(b"").hexdigest(), True)] + plain(values, items[:60])[3:]
+
+
+def test_columns_named_like_the_results_give_way(spark):
+    docs = spark.createDataFrame([(1, "one two three four", 99, "mine")], "doc_id long, text string, n_words int, `_k1` string")
+    items = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+    got = decontam.find(docs, items)
+    assert got.columns == ["doc_id", "text", "_k1", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    row = got.first()
+    assert (row.n_words, row.n_hit, row.n_items, row._k1) == (4, 2, 1, "mine")
+
+
+def test_values_over_neighbours(spark):
+    df = spark.createDataFrame([([5, 3, 9, 1, 7, 2, 8, 4, 6, 0, 11],), ([],), ([4],)], "v array<bigint>")
+    for n in range(1, 12):
+        got = [r.out for r in decontam._over(df, "v", n, lambda a, b: F.least(a, b), "out").collect()]
+        assert got == [[min(r.v[i:i + n]) for i in range(len(r.v) - n + 1)] for r in df.collect()]

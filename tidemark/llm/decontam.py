@@ -22,6 +22,7 @@ GRAM = 5
 # The benchmark's windows are broadcast only up to this many rows (of six numbers
 # each; the items' ids lie apart); beyond it the same joins shuffle.
 BROADCAST_ROWS = 100_000
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,39 +35,59 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def _grams(ws: str, n: int) -> Column:
-    """Hash of every n consecutive words of the array column."""
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(ws) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.slice(ws, i, n)))).otherwise(none)
-
-
-def _with_prints(df: DataFrame) -> DataFrame:
-    """Adds ``prints``: the winnowed fingerprint of each ten-word window of ``ws``."""
-    grams = F.when(F.size("ws") >= WINDOW, _grams("ws", GRAM)).otherwise(F.array().cast("array<bigint>"))
-    wide = WINDOW - GRAM + 1
-    return df.withColumn("grams", grams).withColumn("prints", F.when(F.size("grams") >= wide, F.transform(
-        F.sequence(F.lit(1), F.size("grams") - wide + 1),
-        lambda i: F.array_min(F.slice("grams", i, wide)))).otherwise(F.array().cast("array<bigint>")))
+def _over(df: DataFrame, values: str, n: int, fn, out: str) -> DataFrame:
+    """Adds ``out``: ``fn`` over every n consecutive values of an array column.
+    Arrays over 2, 4, ... values come from neighbours in the one before, and
+    those that n consists of are put together, each value once."""
+    def put(df, name, left, right, by, wide):
+        size = F.greatest(F.size(values) - wide + 1, F.lit(0))
+        return df.withColumn(name, F.zip_with(
+            F.slice(left, F.lit(1), size), F.slice(right, F.lit(by + 1), size), fn))
+
+    width, power, made, done = 1, values, None, 0
+    while True:
+        if n & width:
+            if made is None:
+                made, done = power, width
+            else:
+                df = put(df, f"_{out}_{done + width}", made, power, done, done + width)
+                made, done = f"_{out}_{done + width}", done + width
+        if done == n:
+            return df.withColumn(out, F.col(made))
+        df = put(df, f"_{out}_2x{width}", power, power, width, 2 * width)
+        power, width = f"_{out}_2x{width}", 2 * width
+
+
+def _with_keys(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds ``keys_n`` for each length n of ``lengths``: the winnowed fingerprint
+    of each ten-word window of ``ws``; for less than ten, the hash of each n words."""
+    df = df.withColumn("_hash", F.transform("ws", lambda w: F.xxhash64(w)))
+    for n in lengths:
+        if n < WINDOW:
+            df = _over(df, "_hash", n, lambda a, b: F.xxhash64(a, b), f"keys_{n}")
+        else:
+            df = _over(df, "_hash", GRAM, lambda a, b: F.xxhash64(a, b), "_grams")
+            df = _over(df, "_grams", WINDOW - GRAM + 1, lambda a, b: F.least(a, b), f"keys_{n}")
+    return df
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Stored (len, h1, h2, print, s1, s2), each distinct window with a key of
+    """Stored (len, h1, h2, key, s1, s2), each distinct window with a key of
     the set of its items, and (s1, s2, id), the items of each such set once."""
     own = items.select(F.col(id_col).cast("string").alias("id"), words(F.col(text_col)).alias("ws"))
     own = own.where(F.size("ws") > 0).withColumn("len", F.least(F.size("ws"), F.lit(WINDOW)))
     cut = own.select("id", "len", F.explode(F.transform(
         F.sequence(F.lit(1), F.size("ws") - F.col("len") + 1),
         lambda i: F.slice("ws", i, F.col("len")))).alias("ws"))
-    found = _with_prints(cut).select(
-        "len", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(11), "ws").alias("h2"),
-        F.array_min("prints").alias("print"), "id")
+    keys = F.coalesce(*[F.when(F.col("len") == n, F.get(f"keys_{n}", F.lit(0))) for n in range(1, WINDOW + 1)])
+    found = _with_keys(cut, list(range(1, WINDOW + 1))).select(
+        "len", F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit(11), "ws").alias("h2"), keys.alias("key"), "id")
     pairs = stored(found.distinct(), "pairs")
     # The ids of a window are never gathered: their hashes are summed without carry, in any order.
     named = F.col("id").isNotNull()
     key = [F.coalesce(F.bit_xor(F.when(named, F.xxhash64(F.lit(seed), "id"))), F.lit(0).cast("long")).alias(name)
            for seed, name in ((3, "s1"), (5, "s2"))]
-    wins = stored(pairs.groupBy("len", "h1", "h2", "print").agg(*key), "windows")
+    wins = stored(pairs.groupBy("len", "h1", "h2", "key").agg(*key), "windows")
     # One window stands for all that have its set.
     ones = wins.groupBy("s1", "s2").agg(F.min(F.struct("len", "h1", "h2")).alias("w")).select("s1", "s2", "w.*")
     sets = pairs.where(named).join(ones, ["len", "h1", "h2"]).select("s1", "s2", "id")
@@ -92,8 +113,8 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
 
     Nulls: a null text has no words and neither contaminates nor is hit; a null
     item id counts as no id. Equal texts, repeated rows too, get equal results;
-    repeated items count once. Only the named columns are read, but names in
-    ``keep`` must not clash with the added ones. Empty tables: no document gives
+    repeated items count once. Only the named columns are read; one that has the
+    name of an added column gives way to it. Empty tables: no document gives
     no row; no item leaves every document clean.
     """
     wins, sets = item_windows(items, item_id, item_text)
@@ -104,23 +125,19 @@ def find(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     k1, k2 = F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")
     own = docs.select(k1, k2, words(F.col(text_col)).alias("ws"))
-    suspects = None
-    for n in lengths:
-        if n == WINDOW:
-            prints = _with_prints(own).select("k1", "k2", F.explode(F.array_distinct("prints")).alias("print"))
-            mine = wins.where(F.col("len") == n).select("print").distinct()
-            got = prints.join(hint(mine), "print", "left_semi").select("k1", "k2")
-        else:
-            grams = own.select("k1", "k2", F.explode(F.array_distinct(_grams("ws", n))).alias("h1"))
-            mine = wins.where(F.col("len") == n).select("h1").distinct()
-            got = grams.join(hint(mine), "h1", "left_semi").select("k1", "k2")
-        suspects = got if suspects is None else suspects.union(got)
-    names = list(docs.columns) if keep is None else keep
-    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    base = docs.select(*names, F.regexp_count(text, F.lit(pattern)).cast("long").alias("n_words"),
+    # All lengths in one read of the texts; equal keys only propose, windows decide.
+    keyed = _with_keys(own, lengths).select("k1", "k2", F.explode(F.array_distinct(
+        F.concat(F.array().cast("array<bigint>"), *[F.col(f"keys_{n}") for n in lengths]))).alias("key"))
+    suspects = keyed.join(hint(wins.select("key").distinct()), "key", "left_semi").select("k1", "k2")
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
+    kept = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_kept")] if names else []
+    # Table lookups per character: ranges in one class took over ten times the time.
+    pattern = r"[\p{Alnum}\P{ASCII}]+"
+    base = docs.select(*kept, F.regexp_count(text, F.lit(pattern)).cast("long").alias("n_words"),
                        k1.alias("_k1"), k2.alias("_k2"))
+    names = ["_kept.*"] if names else []
     none = F.sha2(F.lit("").cast("binary"), 256)
-    if suspects is None:
+    if not lengths:
         return base.select(*names, "n_words", F.lit(0).cast("long").alias("n_hit"),
                            F.lit(0).cast("long").alias("n_items"), none.alias("items_sha256"),
                            F.lit(False).alias("contaminated"))
