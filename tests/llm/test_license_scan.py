@@ -20,11 +20,11 @@ def plain(values, threshold=ls.THRESHOLD):
                 base.add(label)
                 score = 1.0
             blocks |= {b for b in firsts if set(own) <= set(ws[b:b + ls.BLOCK])}
-        for notice, label in ls.NOTICES:
+        for notice, label, must in ls.NOTICES:
             own = set(notice.split())
             for b in firsts:
                 share = len(own & set(ws[b:b + ls.BLOCK])) / len(own)
-                if share >= (1 if len(own) <= ls.ALL_WORDS_UP_TO else threshold):
+                if set(must.split()) <= set(ws[b:b + ls.BLOCK]) and share >= (1 if len(own) <= ls.ALL_WORDS_UP_TO else threshold):
                     labels.add(label)
                     blocks.add(b)
                     score = max(score, share)
@@ -39,7 +39,7 @@ COLUMNS = ("id", "n_words", "n_base", "first_word", "last_word", "base_labels",
 def case():
     rng = random.Random(6)
     values = small.texts()
-    for notice, _ in [*ls.NOTICES, *ls.PHRASES]:
+    for notice, *_ in [*ls.NOTICES, *ls.PHRASES]:
         own = notice.split()
         for keep in (1.0, 0.85, 0.75):
             part = [w.upper() if rng.random() < 0.3 else w for w in own if rng.random() < keep]
@@ -87,7 +87,7 @@ def test_short_notice_with_a_word_missing():
 
 
 def test_notice_in_one_unaligned_block_only():
-    notice = dict((n, t) for t, n in ls.NOTICES)["isc"].split()
+    notice = dict((n, t) for t, n, _ in ls.NOTICES)["isc"].split()
     own = list(dict.fromkeys(notice))
     need = ceil(ls.THRESHOLD * len(own))
     # The needed words, the first and the last 64 words apart: one block holds them all.
@@ -102,10 +102,22 @@ def test_notice_in_one_unaligned_block_only():
 
 def test_every_block_against_brute_force():
     rng = random.Random(8)
-    vocabulary = sorted({w for t, _ in [*ls.NOTICES, *ls.PHRASES] for w in t.split()}) + ["x"] * 60
+    vocabulary = sorted({w for t, *_ in [*ls.NOTICES, *ls.PHRASES] for w in t.split()}) + ["x"] * 60
     for _ in range(60):
         values = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(300)))]
         for threshold in (0.5, 0.8):
             index = ls.Index(ls.templates(), {}, threshold)
             got = [(0, len(w), *ls.scan_words(w, index)) for w in map(ls.word_bytes, values)]
             assert got == plain(values, threshold)
+
+
+def test_no_label_without_the_words_that_name_the_licence():
+    assert label_of("Released under the GNU General Public License") == ["gpl"]
+    assert label_of("The report was released last week under a new press license agreement") == [""]
+    assert label_of("Licensed under the Apache License, Version 2.0") == ["apache-2.0"]
+    assert label_of("This text is licensed under CC BY.") == ["cc-by"]
+    assert label_of("licensed under CC-BY-SA 4.0") == ["cc-by", "cc-by-sa"]
+    for notice, label, must in ls.NOTICES:
+        assert set(must.split()) <= set(notice.split()) and label in label_of(notice)
+        for word in must.split():
+            assert label not in label_of(" ".join(w for w in notice.split() if w != word))

@@ -2,7 +2,8 @@
 
 Text blocks are all windows of BLOCK consecutive words, one from every word on
 (a shorter text is one block). A block matches a template if it holds at least
-the template's share of its distinct words. Words are ordered by how many
+the template's share of its distinct words, and among them those that name the
+licence (the template's ``must``). Words are ordered by how many
 documents of the whole corpus have them, rarest first. A matching block holds
 one of the template's first |T| - need + 1 words in that order (prefix filter),
 so an inverted index of those few rare words proposes all pairs of a template
@@ -38,22 +39,23 @@ PHRASES = (
     ("general public license", "gpl"),
     ("all rights reserved", "reserved"),
 )
+# The last words of each notice are those without which it names no licence.
 NOTICES = (
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
+    ("released under the mit license", "mit", "mit"),
+    ("licensed under the mit license", "mit", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software "
-     "and associated documentation files", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
+     "and associated documentation files", "mit", "permission charge software"),
+    ("licensed under the apache license version 2 0", "apache-2.0", "apache"),
     ("redistribution and use in source and binary forms with or without modification are permitted "
-     "provided that the following conditions are met", "bsd"),
+     "provided that the following conditions are met", "bsd", "redistribution binary"),
     ("this program is free software you can redistribute it and or modify it under the terms of the "
-     "gnu general public license as published by the free software foundation", "gpl-notice"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+     "gnu general public license as published by the free software foundation", "gpl-notice", "gnu license"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", "mozilla"),
     ("permission to use copy modify and or distribute this software for any purpose with or without "
-     "fee is hereby granted", "isc"),
-    ("licensed under cc by nc", "cc-by-nc"),
-    ("licensed under cc by sa", "cc-by-sa"),
-    ("dedicated to the public domain", "public-domain"),
+     "fee is hereby granted", "isc", "permission fee software"),
+    ("licensed under cc by nc", "cc-by-nc", "cc nc"),
+    ("licensed under cc by sa", "cc-by-sa", "cc sa"),
+    ("dedicated to the public domain", "public-domain", "public domain"),
 )
 
 
@@ -62,11 +64,13 @@ class Template:
     label: str
     words: tuple          # in text order
     phrase: bool
+    must: frozenset       # a matching block holds all of these
 
 
 def templates(phrases=PHRASES, notices=NOTICES) -> list[Template]:
-    return [Template(label, tuple(word_bytes(t)), base) for group, base in ((phrases, True), (notices, False))
-            for t, label in group if word_bytes(t)]
+    own = [(t, label, True, t) for t, label in phrases] + [(t, label, False, must) for t, label, must in notices]
+    return [Template(label, tuple(word_bytes(t)), base, frozenset(word_bytes(must)))
+            for t, label, base, must in own if word_bytes(t)]
 
 
 class Index:
@@ -99,8 +103,8 @@ class Index:
         last = max(0, len(words) - BLOCK)
         found = []
         for k in proposed:
-            own, need = self.sets[k], self.needs[k]
-            if len(own & spots.keys()) < need:
+            own, need, must = self.sets[k], self.needs[k], self.templates[k].must
+            if len(own & spots.keys()) < need or not must <= spots.keys():
                 continue
             heads = sorted(at for w in rare if k in self.prefix[w] for at in spots[w])
             for low, high in stretches(heads, last):
@@ -108,23 +112,26 @@ class Index:
                 for w in own & spots.keys():
                     at = spots[w]
                     if part := at[bisect_left(at, low):bisect_right(at, high + BLOCK - 1)]:
-                        here.append(part)
-                if len(here) < need:
+                        here.append((w in must, part))
+                if len(here) < need or sum(named for named, _ in here) < len(must):
                     continue
                 # A word is counted in a block by its first place there.
-                change = Counter()
-                for part in here:
+                change, musts = Counter(), Counter()
+                for named, part in here:
                     before = low - 1
                     for at in part:
                         start, stop = max(before + 1, at - BLOCK + 1), min(at, high) + 1
                         if start < stop:
                             change[start] += 1
                             change[stop] -= 1
+                            musts[start] += named
+                            musts[stop] -= named
                         before = at
-                overlap, edges = 0, sorted(change)
+                overlap, names, edges = 0, 0, sorted(change)
                 for start, stop in zip(edges, edges[1:]):
                     overlap += change[start]
-                    if overlap >= need:
+                    names += musts[start]
+                    if overlap >= need and names == len(must):
                         found.append((k, start, stop, overlap / len(own)))
         return found
 

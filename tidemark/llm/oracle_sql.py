@@ -11,18 +11,19 @@ _SPLIT = f"regexp_extract_all({_LOWER}, '{_WORDS}')"
 
 def _templates() -> str:
     rows = []
-    for k, (text, label, phrase) in enumerate(
-            [(t, n, True) for t, n in license_scan.PHRASES] + [(t, n, False) for t, n in license_scan.NOTICES]):
+    for k, (text, label, phrase, must) in enumerate(
+            [(t, n, True, t) for t, n in license_scan.PHRASES] +
+            [(t, n, False, must) for t, n, must in license_scan.NOTICES]):
         distinct = len(set(text.split()))
         share = 1 if phrase or distinct <= license_scan.ALL_WORDS_UP_TO else license_scan.THRESHOLD
-        rows.append(f"({k}, '{text}', '{label}', {phrase}, {share})")
+        rows.append(f"({k}, '{text}', '{label}', {phrase}, {share}, '{must}')")
     return ", ".join(rows)
 
 
 OP2 = f"""
 WITH d AS (SELECT doc_id, {_SPLIT} AS w FROM documents),
-t AS (SELECT k, phrase_text, label, is_phrase, string_split(phrase_text, ' ') AS own, share
-      FROM (VALUES {_templates()}) AS v(k, phrase_text, label, is_phrase, share)),
+t AS (SELECT k, phrase_text, label, is_phrase, string_split(phrase_text, ' ') AS own, share, string_split(must_text, ' ') AS must
+      FROM (VALUES {_templates()}) AS v(k, phrase_text, label, is_phrase, share, must_text)),
 place AS (
   SELECT doc_id, label, s - 1 AS spot
   FROM (SELECT doc_id, w, own, label, phrase_text, unnest(generate_series(1, len(w) - len(own) + 1)) AS s
@@ -37,7 +38,7 @@ found AS (
   SELECT doc_id, b, label, is_phrase,
          CAST(len(list_intersect(has, list_distinct(own))) AS DOUBLE) / len(list_distinct(own)) AS part
   FROM block, t
-  WHERE len(list_intersect(has, list_distinct(own))) >= ceil(share * len(list_distinct(own)))),
+  WHERE list_has_all(has, must) AND len(list_intersect(has, list_distinct(own))) >= ceil(share * len(list_distinct(own)))),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
