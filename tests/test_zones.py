@@ -130,3 +130,16 @@ def test_shredded_payload(spark, scratch):
     assert counts == {r["specific_page"]: 2 * r["specific_page_views"] for r in specific_page_usage(src, Params()).where("product_sk = 1").collect()}
     zones.refresh(spark, star)
     assert not zones.shredded(spark, star)
+
+
+def test_a_path_is_qualified_by_the_default_file_system(spark, tmp_path):
+    assert files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert files.qualified(spark, f"file://{tmp_path}/x").startswith("file:/")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    conf.set("fs.viewfs.mounttable.shared.link./data", f"file://{tmp_path}")
+    try:
+        assert files.qualified(spark, "/data/x") == "viewfs://shared/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)

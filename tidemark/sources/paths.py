@@ -15,6 +15,12 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, the default one where it names none."""
+    p, fs = _path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)
