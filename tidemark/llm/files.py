@@ -1,6 +1,8 @@
 """Binary files in the shared folder, from inside tasks.
 
-A path may be a URI of any file system that pyarrow knows. A task writes under
+A path may be a URI of any file system that pyarrow knows; the driver qualifies
+folders, so one without a scheme lies where Spark puts it, not on the task's
+own disk. A file system that pyarrow doesn't know is an error. A task writes under
 a name of its own and returns it in its rows; only names that reach a stored
 table count, so a lost or repeated attempt leaves at most an unused file.
 """

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import run_dir, stored
 from tidemark.llm.files import new_file, open_file
+from tidemark.sources.paths import qualified
 
 MAGIC = b"TMREPAIR"
 END_ID = 0
@@ -384,7 +385,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Write the shards; the stored manifest has (part, seq, path, n_ids), in
     document order by (part, seq). ``tokenizer`` names a file of public_tokenizers."""
     spark = docs.sparkSession
-    folder = folder or run_dir(spark, "tokens")
+    folder = qualified(spark, folder or run_dir(spark, "tokens"))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(1, total // PARTITION_BYTES))

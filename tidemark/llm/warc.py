@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import run_dir, stored
 from tidemark.llm.files import new_file, open_file
+from tidemark.sources.paths import qualified
 
 LEAST_REVISIT = 100           # payloads below this are never revisits
 ARCHIVE_BYTES = 64 << 20
@@ -104,7 +105,7 @@ def _page(urn: str | None) -> int | None:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    time_col: str | None = None, folder: str | None = None) -> DataFrame:
     """Write the archives; the stored manifest has (path, records)."""
-    folder = folder or run_dir(pages.sparkSession, "warc")
+    folder = qualified(pages.sparkSession, folder or run_dir(pages.sparkSession, "warc"))
     html = F.coalesce(F.col(html_col), F.lit(""))
     seconds = F.coalesce(F.col(time_col).cast("long"), F.lit(0)) if time_col else F.lit(0).cast("long")
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"),
