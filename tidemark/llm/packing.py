@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import positions
+from tidemark.llm.common import positions, stored
 
 BUCKETS = 16
 BUDGET = 8192
@@ -95,6 +95,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     empty table gives an empty result.
     """
     counted = docs.select(F.col(id_col).cast("long").alias("id"), token_count(F.col(text_col)).alias("n_tokens"))
+    # The texts are read once; histogram, range bounds and batches need the counts alone.
+    counted = stored(counted, "lengths")
     counted = counted.withColumn("bin", bin_of(F.col("n_tokens")))
     histogram = counted.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
     bounds = best_bounds([r["bin"] for r in histogram], [r["n"] for r in histogram], buckets)
