@@ -213,3 +213,37 @@ def test_whole_days():
     assert whole_days(day(12, 1, 6), day(12, 1, 5))[2] == []
     first, last, cut = whole_days(day(12, 1, 5), day(12, 2, 5))
     assert first > last and cut == [(day(12, 1, 5), day(12, 2, 5))]
+
+
+def test_a_state_row_is_a_word_however_sparse_the_contacts(spark, scratch):
+    """Contacts far apart in number take a word each, and no sort: the states' size follows their contacts."""
+    from tidemark.operators.usage_states import NUMBER, bit_of, bucket_of
+
+    rows = spark.createDataFrame([(1, n) for n in (1, 63, 64, 40_000, 2 ** 40)] + [(1, None)], f"k int, {NUMBER} bigint")
+    bits = rows.groupBy("k", bucket_of(NUMBER).alias("bucket")).agg(usage_states.any_bits(bit_of(NUMBER)).alias("users"))
+    assert dict(bits.dtypes)["users"] == "bigint"
+    assert {r["bucket"]: r["users"] for r in bits.collect()} == {
+        0: 2 - 2 ** 63, 1: 1, 625: 1, 2 ** 34: 1, None: 0}
+    assert usage_states.contacts_in(bits, ["k"], n="users").first()["n"] == 5
+
+    star, out = os.path.join(scratch, "word-star"), os.path.join(scratch, "word-out")
+    t = materialize.write_star(write_star(spark, os.path.join(scratch, "word-src")), star)
+    states = incremental.publish_states(spark, star, out)
+    for name, state in STATES.items():
+        assert all(dict(states(name).dtypes)[c] == "bigint" for c in state.bits), name
+        if state.bits:
+            plan = state.build(t.events.withColumn("part", F.lit("")), t, states.numbers())._jdf.queryExecution().toString()
+            assert "SortAggregate" not in plan, name
+
+
+def test_states_of_another_form_are_made_anew(spark, scratch):
+    """A record whose states were stored with other columns is not read as this one."""
+    star, out = os.path.join(scratch, "form-star"), os.path.join(scratch, "form-out")
+    materialize.write_star(write_star(spark, os.path.join(scratch, "form-src")), star)
+    record = incremental.publish_states(spark, star, out).record
+    old = {**record["schemas"], "devices": record["schemas"]["devices"].replace("`users` bigint", "`users` binary")}
+    incremental._publish(spark, out, record | {"schemas": old})
+    states = incremental.publish_states(spark, star, out)
+    changed = {n for n in STATES if states.record["segments"][n] != record["segments"][n]}
+    assert changed == {"devices"}
+    same_views(spark, star, states, names=SOME)

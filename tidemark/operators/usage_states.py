@@ -3,8 +3,10 @@
 A state is a table that adds up: built from any part of the events, united with
 the states of the other parts and merged by its keys, it equals the state of
 all events. Counts add; sets of contacts are exact bitmaps (contacts have
-numbers, a row holds the bits of 32768 of them) and add by OR, so distinct
-counts over months, devices or slices come from the stored bits alone.
+numbers, a row holds the bits of 64 of them in a long) and add by OR, so distinct
+counts over months, devices or slices come from the stored bits alone. A row
+is never larger than that of a few contacts that it holds, however few of its
+neighbours they have, and hash aggregates take it without sorting.
 
 ``STATES`` holds how each state is made from events; ``VIEWS`` how the views
 read them. Where plans.incremental keeps the states of all event files, a view
@@ -29,6 +31,26 @@ from tidemark.params import Params
 from tidemark.sources.star import Tables
 
 NUMBER = "contact_no"
+WORD_SHIFT = 6           # a word holds the bits of 64 contacts
+
+
+def bucket_of(number: str) -> Column:
+    return F.shiftright(number, WORD_SHIFT)
+
+
+def bit_of(number: str) -> Column:
+    at = F.col(number).bitwiseAND(F.lit((1 << WORD_SHIFT) - 1).cast("long")).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def any_bits(c) -> Column:
+    """The words' OR, 0 where there is none."""
+    return F.coalesce(F.bit_or(c), F.lit(0).cast("long"))
+
+
+def contacts(c: str) -> Column:
+    """Contacts of a group's words, each bucket once."""
+    return F.sum(F.bit_count(c).cast("long")).cast("bigint")
 
 
 def _used() -> Column:
@@ -54,7 +76,7 @@ class State:
     def merged(self, states: DataFrame, keys=None) -> DataFrame:
         """States united: by their own keys, or by fewer of them (the rest adds up)."""
         by = list(keys if keys is not None else self.keys) + (["bucket"] if self.bits else [])
-        aggs = ([F.sum(c).alias(c) for c in self.sums] + [F.bitmap_or_agg(c).alias(c) for c in self.bits]
+        aggs = ([F.sum(c).alias(c) for c in self.sums] + [any_bits(c).alias(c) for c in self.bits]
                 + [F.max(c).alias(c) for c in self.flags])
         return states.groupBy(*by).agg(*aggs) if aggs else states.select(*by).distinct()
 
@@ -64,17 +86,17 @@ class State:
         rows = self.make(events, t)
         if not self.bits:
             return rows
-        rows = rows.join(numbers, "contact_sk", "left").withColumn("bucket", F.bitmap_bucket_number(NUMBER))
-        at = F.bitmap_bit_position(NUMBER)
+        rows = rows.join(numbers, "contact_sk", "left").withColumn("bucket", bucket_of(NUMBER))
+        bit = bit_of(NUMBER)
         return rows.groupBy("part", *self.group()).agg(
             *[F.sum(c).alias(c) for c in self.sums],
-            *[F.bitmap_construct_agg(F.when(F.col(f"is_{c}"), at)).alias(c) for c in self.bits],
+            *[any_bits(F.when(F.col(f"is_{c}"), bit)).alias(c) for c in self.bits],
             *[F.max(c).alias(c) for c in self.flags])
 
 
 def contacts_in(states: DataFrame, keys, **counts: str) -> DataFrame:
     """Distinct contacts per key: ``counts`` gives a bitmap column for each name."""
-    return states.groupBy(*keys).agg(*[F.sum(F.bitmap_count(c)).cast("bigint").alias(n) for n, c in counts.items()])
+    return states.groupBy(*keys).agg(*[contacts(c).alias(n) for n, c in counts.items()])
 
 
 def _devices(ev: DataFrame, t: Tables) -> DataFrame:
@@ -168,8 +190,8 @@ def kpi_device_adoption(t: Tables, p: Params, states) -> DataFrame:
         rows = rows.where(F.col(c) == F.lit(value))
     rows = rows.select("device_type", "bucket", "users", F.col("feature_sk").isNotNull().alias("used"))
     bits = rows.groupBy("device_type", "bucket").agg(
-        F.bitmap_or_agg(F.when(F.col("used"), F.col("users"))).alias("used"),
-        F.bitmap_or_agg(F.when(~F.col("used"), F.col("users"))).alias("users"))
+        any_bits(F.when(F.col("used"), F.col("users"))).alias("used"),
+        any_bits(F.when(~F.col("used"), F.col("users"))).alias("users"))
     agg = contacts_in(bits, ["device_type"], feature_users="used", total_users="users")
     return agg.select("device_type", "feature_users", "total_users",
                       ratio(F.col("feature_users"), F.col("total_users")).alias("adoption_rate"))
@@ -181,8 +203,8 @@ def adoption_products(t: Tables, p: Params, states) -> DataFrame:
     rows = states("segments").where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     merged = STATES["segments"].merged(rows)
     agg = merged.groupBy(*keys).agg(
-        F.sum(F.bitmap_count("used")).cast("bigint").alias("product_employees_count"),
-        F.sum(F.bitmap_count("users")).cast("bigint").alias("total_employees_count"), F.max("any_used").alias("any_used"))
+        contacts("used").alias("product_employees_count"),
+        contacts("users").alias("total_employees_count"), F.max("any_used").alias("any_used"))
     return agg.where("any_used").select(
         "product_sk", "segment", "device_type", "product_employees_count", "total_employees_count",
         ratio(F.col("product_employees_count"), F.col("total_employees_count")).alias("adoption_rate"))
@@ -202,7 +224,7 @@ def stickiness(t: Tables, p: Params, states) -> DataFrame:
     today = F.col("day") == A.date_lit(None if T is None else T.date())
     rows = states("daily").where(F.col("day").between(A.date_lit(first), A.date_lit(None if T is None else T.date())))
     bits = rows.groupBy("product_sk", "bucket").agg(
-        F.bitmap_or_agg(F.when(today, F.col("users"))).alias("today"), F.bitmap_or_agg("users").alias("month"))
+        any_bits(F.when(today, F.col("users"))).alias("today"), any_bits("users").alias("month"))
     agg = contacts_in(bits, ["product_sk"], dau="today", mau="month")
     return agg.select("product_sk", F.when(F.col("product_sk").isNull(), F.lit(0.0))
                       .otherwise(ratio(F.col("dau"), F.col("mau"))).alias("stickiness"))
@@ -237,7 +259,7 @@ def event_depth(t: Tables, p: Params, states) -> DataFrame:
         rows = rows.unionByName(state.build(ev, t, states.numbers()).select(*columns))
     merged = state.merged(rows, keys)
     return merged.groupBy(*keys).agg(F.sum("n").cast("double").alias("events_count"),
-                                     F.sum(F.bitmap_count("users")).cast("bigint").alias("user_count"))
+                                     contacts("users").alias("user_count"))
 
 
 def login_frequency(t: Tables, p: Params, states) -> DataFrame:
@@ -246,7 +268,7 @@ def login_frequency(t: Tables, p: Params, states) -> DataFrame:
     month = None if T is None else date(T.year - 1, 12, 1)
     keys = ["product_sk", "segment"]
     merged = STATES["logins"].merged(states("logins").where(F.col("month") == A.date_lit(month)), keys)
-    agg = merged.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.bitmap_count("users")).alias("users"))
+    agg = merged.groupBy(*keys).agg(F.sum("n").alias("n"), contacts("users").alias("users"))
     return agg.select(*keys, ratio(F.col("n"), F.col("users")).alias("login_frequency"))
 
 

@@ -98,7 +98,7 @@ def _events_of(t: Tables, star_dir: str, names: list[str]) -> DataFrame:
 
 def _number_contacts(ev: DataFrame, known: States, out_dir: str) -> str | None:
     """Numbers for contacts that have none, in a table of their own. Each task's
-    numbers follow each other, so a bitmap's 32768 bits hold neighbours."""
+    numbers follow each other, so a word's 64 bits hold neighbours."""
     spark = ev.sparkSession
     held = known.numbers()
     new = ev.select("contact_sk").where("contact_sk IS NOT NULL").distinct().join(held, "contact_sk", "left_anti")
@@ -146,15 +146,14 @@ def update_states(spark: SparkSession, star_dir: str, out_dir: str, most_segment
     for name, state in STATES.items():
         have = [s for s in old["segments"].get(name, []) if s not in dropped]
         read = names
-        if any(old["dims"].get(d) != dims[d] for d in state.dims) or name not in old["segments"]:
-            have, read = [], everything     # its dimensions changed: all of it is made anew
+        empty = state.build(_no_events(t), t, numbers)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema if f.name != "part")
+        if (any(old["dims"].get(d) != dims[d] for d in state.dims) or name not in old["segments"]
+                or old["schemas"].get(name) != schema):
+            have, read = [], everything     # its dimensions or its form changed: all of it is made anew
+        record["schemas"][name] = schema
         if read:
-            rows = state.build(_events_of(t, star_dir, read), t, numbers)
-            record["schemas"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "part")
-            have = have + _write_segments(rows, out_dir, name, run)
-        else:
-            empty = state.build(_no_events(t), t, numbers)
-            record["schemas"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in empty.schema if f.name != "part")
+            have = have + _write_segments(state.build(_events_of(t, star_dir, read), t, numbers), out_dir, name, run)
         record["segments"][name] = sorted(_merged(spark, out_dir, record, name, have, run, most_segments))
     if new or dropped or record["manifest"] is None:
         rows = [(*f, s) for f, s in kept.items()] + [(*f, f"{_month_of(f[0])}-{run}") for f in new]
