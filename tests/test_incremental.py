@@ -247,3 +247,11 @@ def test_states_of_another_form_are_made_anew(spark, scratch):
     changed = {n for n in STATES if states.record["segments"][n] != record["segments"][n]}
     assert changed == {"devices"}
     same_views(spark, star, states, names=SOME)
+
+
+def test_a_task_of_the_star_build_has_a_bounded_share(spark, scratch, monkeypatch):
+    """A fact of 100 MB stored is sorted and written by several tasks, each with 16 MB of it."""
+    t = read_star(spark, write_star(spark, os.path.join(scratch, "share-src")).source)
+    monkeypatch.setattr(t, "input_bytes", lambda attr: 100 << 20)
+    df, _ = materialize._star_frame(t, "events")
+    assert df.rdd.getNumPartitions() == 7
