@@ -126,3 +126,43 @@ def test_least_count_saves_bytes(tmp_path):
         syms, _, rules = token_files.compress(ids, np.arange(len(ids)) == len(ids) - 1, 50257, least)
         size[least] = len(syms) * 18 / 8 + 12 * len(rules)
     assert size[token_files.LEAST_COUNT] < min(size[2], size[60])
+
+
+def test_run_offsets_of_any_mask():
+    rng = np.random.default_rng(11)
+    for same in [np.zeros(0, bool), np.zeros(5, bool), *[np.append(False, rng.random(40) < p) for p in (0.1, 0.5, 0.95)]]:
+        plain, run = [], 0
+        for x in same.tolist():
+            run = run + 1 if x else 0
+            plain.append(run)
+        assert token_files.run_offsets(same).tolist() == plain
+
+
+def test_hash_buckets_stay_small_and_counts_exact(monkeypatch):
+    """More places than buckets: collisions only let a rare pair through to the exact count."""
+    sizes, plain = [], np.bincount
+    monkeypatch.setattr(token_files.np, "bincount", lambda x, minlength=0: sizes.append(minlength) or plain(x, minlength=minlength))
+    pair = np.random.default_rng(12).integers(0, 1 << 19, 1 << 21)
+    code, keys, count = token_files.frequent(pair, np.ones(len(pair), bool), 8)
+    monkeypatch.undo()
+    assert max(sizes) <= 1 << 20
+    values, held = np.unique(pair, return_counts=True)
+    assert dict(zip(keys.tolist(), count.tolist())) == dict(zip(values[held >= 8].tolist(), held[held >= 8].tolist()))
+    assert (np.append(keys, -1)[code] == np.where(held[np.searchsorted(values, pair)] >= 8, pair, -1)).all()
+
+
+def test_pieces_go_to_the_library_in_small_calls():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.most = max(self.most, *(len(x.split()) for x in texts))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    enc = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer, enc.tokenizer = enc.tokenizer, Counted(enc.tokenizer)
+    text = " ".join(f"w{i:x}y{i % 7}" for i in range(1500))
+    ids, sizes = enc.encode(pa.array([text]))
+    assert 0 < enc.tokenizer.most <= 200
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and sizes.tolist() == [len(ids)]

@@ -35,6 +35,8 @@ PARTITION_BYTES = 16 << 20
 # length of its expansion), each replaced pair saves a symbol of some 18 bits: from six places on a rule pays.
 LEAST_COUNT = 6
 CACHED_PIECES = 400_000
+CALL_PIECES = 200           # pieces a call of the library takes: with more, its own offsets cost most of the time
+BUCKET_BITS = 20            # hash buckets of pairs stay in a core's cache
 _CHUNK_BYTES = 8 << 20
 
 # White space as the pre-tokenizer's \s has it, fixed values.
@@ -113,8 +115,8 @@ class Encoder:
             self._add(ids, sizes)
             new = [p for p in new if p not in known]
         mark = " " if spaced else "\n"
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
+        for i in range(0, len(new), CALL_PIECES):
+            part = new[i:i + CALL_PIECES]
             got = self.tokenizer.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)
             ids = np.array(got[0].ids, np.uint32)
             first = np.nonzero(self.spaced[ids] if spaced else ids == self.line_feed)[0]
@@ -145,13 +147,16 @@ class Encoder:
         entry = np.zeros(len(names), np.int64)
         number = np.empty(len(index), np.int64)
         for spaced, where in ((True, plain), (False, head)):
-            at = np.unique(index[where])
+            used = np.zeros(len(names), bool)
+            used[index[where]] = True
+            at = np.flatnonzero(used)
             entry[at] = self._look_up([names[i] for i in at.tolist()], spaced)
             number[where] = entry[index[where]]
         number[feed] = 1
-        starts = np.where(number > 0, self.ends[number - 1], 0)
-        lengths = self.ends[number] - starts
-        return self.flat[ragged(starts, lengths)], np.add.reduceat(lengths, begins)
+        first = np.append(0, self.ends[:self.entries - 1])
+        size = self.ends[:self.entries] - first
+        lengths = size[number]
+        return self.flat[ragged(first[number], lengths)], np.add.reduceat(lengths, begins)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each); no nulls."""
@@ -183,7 +188,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all [start, start + length), end to end."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+    # Half as wide where it holds them: the indices are most of the memory that is moved.
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 @cache
@@ -194,8 +203,14 @@ def encoder(path: str) -> Encoder:
 def run_offsets(same: np.ndarray) -> np.ndarray:
     """How far each place lies from the start of its run; ``same`` marks places
     that go on with the run of the place before."""
-    index = np.arange(len(same))
-    return index - np.maximum.accumulate(np.where(same, 0, index))
+    out = np.zeros(len(same), np.int64)
+    own = np.flatnonzero(same)
+    if len(own):
+        # Places that go on with a run, numbered within each stretch of them.
+        index = np.arange(len(own))
+        begins = np.append(True, own[1:] != own[:-1] + 1)
+        out[own] = index - np.maximum.accumulate(np.where(begins, index, 0)) + 1
+    return out
 
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -207,7 +222,7 @@ def frequent(pair: np.ndarray, spot: np.ndarray, least: int) -> tuple[np.ndarray
     the last. Counts are exact: a bucket of hashes below ``least`` only shows
     early that none of its pairs has as many."""
     own = np.flatnonzero(spot)
-    bits = max(8, len(own).bit_length() + 1)
+    bits = min(BUCKET_BITS, max(8, len(own).bit_length() + 1))
     bucket = ((pair[own].view(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
     own = own[np.bincount(bucket, minlength=1 << bits)[bucket] >= least]
     coded = pa.array(pair[own]).dictionary_encode()
@@ -215,8 +230,8 @@ def frequent(pair: np.ndarray, spot: np.ndarray, least: int) -> tuple[np.ndarray
     count = np.bincount(index, minlength=len(keys))
     often = count >= least
     none = int(often.sum())
-    code = np.full(len(pair), none, np.int64)
-    code[own] = np.where(often, np.cumsum(often) - 1, none)[index]
+    code = np.full(len(pair), none, np.int32)
+    code[own] = np.where(often, np.cumsum(often) - 1, none).astype(np.int32)[index]
     return code, keys[often], count[often]
 
 
@@ -245,13 +260,13 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int,
         # Pairs of like frequency go in scrambled order, or along a chain of
         # them only the first pair would be replaced in a round.
         order = np.lexsort((keys.view(np.uint64) * _MIX, -np.log2(count).astype(np.int64)))
-        place = np.full(none + 1, none, np.int64)
+        place = np.full(none + 1, none, np.int32)
         place[order] = np.arange(none)
         # Turn of every place; inside a run the places between the counted ones have it too.
         turn = place[code]
         between = np.flatnonzero(~spot)
         turn[between] = turn[between - 1]
-        some = turn < none
+        some = np.flatnonzero(turn < none)
         at, turn = at[some], turn[some]
         open_[:] = False
         open_[at] = True
@@ -262,8 +277,10 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int,
         again[1:] = beside[1:] & (turn[1:] == turn[:-1])
         late[1:] = beside[1:] & (turn[:-1] < turn[1:])
         offset = run_offsets(again)
-        wait = late[np.arange(len(at)) - offset].astype(np.int64)
-        take = (offset >= wait) & ((offset - wait) % 2 == 0)
+        wait, inner = late.copy(), np.flatnonzero(again)
+        wait[inner] = late[inner - offset[inner]]
+        take = ~late
+        take[inner] = (offset[inner] - wait[inner]) % 2 == 0
         take[:-1] &= ~beside[1:] | (turn[:-1] <= turn[1:])
         # A pair left with fewer places than that waits; the first in turn never does.
         taken = np.bincount(turn[take], minlength=none)
@@ -271,11 +288,13 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int,
         number = np.zeros(none, np.int32)
         number[used] = next_id + np.arange(len(used))
         take &= taken[turn] >= least
-        at, turn = at[take], turn[take]
+        some = np.flatnonzero(take)
+        at, turn = at[some], turn[some]
         syms[at] = number[turn]
         last[at] = last[at + 1]
         stay = np.ones(len(syms), bool)
         stay[at + 1] = False
+        stay = np.flatnonzero(stay)
         fresh = np.zeros(len(syms), bool)
         fresh[at] = True
         open_ = np.append(open_, False)[stay][:-1]
