@@ -34,7 +34,7 @@ PARTITION_BYTES = 16 << 20
 # Pairs are replaced until none occurs this often in the shard. A rule takes 12 bytes (two symbols and the
 # length of its expansion), each replaced pair saves a symbol of some 18 bits: from six places on a rule pays.
 LEAST_COUNT = 6
-CACHED_PIECES = 400_000
+CACHED_PIECES = 800_000
 CALL_PIECES = 200           # pieces a call of the library takes: with more, its own offsets cost most of the time
 BUCKET_BITS = 20            # hash buckets of pairs stay in a core's cache
 _CHUNK_BYTES = 8 << 20
